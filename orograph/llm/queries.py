@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orograph.llm import decontamination, exact_dedup, licenses, mixing, quality, sharding, token_counts
+from orograph.llm import decontamination, exact_dedup, licenses, mixing, near_dedup, quality, secret_scan, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,15 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_positions(_table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secret_scan.scan_secrets(docs, secret_scan.train(docs))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -49,6 +58,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shards": op1_shards,
     "op2_licenses": op2_licenses,
     "op3_mixing": op3_mixing,
+    "op5_near_dedup": op5_near_dedup,
+    "op6_secrets": op6_secrets,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
