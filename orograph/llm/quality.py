@@ -151,3 +151,17 @@ def score_quality(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> D
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), utf8(F.col("text")).alias("text"))
     scored = rows.mapInArrow(_scorer(model), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def _keeper(model: Model, threshold: float):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [model.score((x.as_py() or "").encode()) >= threshold for x in b.column("text")]
+            yield b.filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def keep_good(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame:
+    """The documents whose score reaches the threshold, with all their columns."""
+    return docs.mapInArrow(_keeper(model, threshold), docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orograph.llm import decontamination, exact_dedup, licenses, mixing, near_dedup, quality, secret_scan, sharding, token_counts
+from orograph.llm import decontamination, exact_dedup, licenses, mixing, near_dedup, quality, secret_scan, sharding, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_positions(_table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.shared_passages(_table(spark, sf_dir, "documents"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shards": op1_shards,
     "op2_licenses": op2_licenses,
     "op3_mixing": op3_mixing,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_near_dedup": op5_near_dedup,
     "op6_secrets": op6_secrets,
     "op7_exact_dedup": op7_exact_dedup,
