@@ -70,13 +70,23 @@ def morton(x: Column, y: Column) -> Column:
     return spread(x).bitwiseOR(F.shiftleft(spread(y), 1))
 
 
+def clamp(l: Column, b: Column, r: Column, t: Column) -> dict[str, Column]:  # noqa: E741
+    """The part of a box that lies in the world."""
+    return {"left": F.greatest(l, F.lit(-180.0)), "bottom": F.greatest(b, F.lit(-90.0)), "right": F.least(r, F.lit(180.0)), "top": F.least(t, F.lit(90.0))}
+
+
+def zoom_list(text: Column) -> Column:
+    """Zooms from a list such as 5-6-7."""
+    return F.transform(F.split(text, "-"), lambda s: F.trim(s).cast("long"))
+
+
 def tile_range(z: Column, l: Column, b: Column, r: Column, t: Column) -> dict[str, Column]:  # noqa: E741
     """start_x, start_y, end_x, end_y (rows from the south) of the tiles that a box meets.
 
     The box is clamped to the world; its corners move inwards by NUDGE so that
     an edge shared with the next tile doesn't count.
     """
-    l, b, r, t = F.greatest(l, F.lit(-180.0)), F.greatest(b, F.lit(-90.0)), F.least(r, F.lit(180.0)), F.least(t, F.lit(90.0))  # noqa: E741
+    l, b, r, t = clamp(l, b, r, t).values()  # noqa: E741
     x0, x1 = tile_x(l + NUDGE, z), tile_x(r - NUDGE, z)
     north, south = tile_y(t - NUDGE, z), tile_y(b + NUDGE, z)
     return {"start_x": F.least(x0, x1), "start_y": flip_y(F.greatest(north, south), z), "end_x": F.greatest(x0, x1), "end_y": flip_y(F.least(north, south), z)}

@@ -87,6 +87,24 @@ def seed_tiles(ranges: DataFrame) -> DataFrame:
     return rows.withColumn("code", tiling.morton(F.col("x"), F.col("y"))).drop("start_x", "start_y", "end_x", "end_y")
 
 
+def number(rows: DataFrame, scope: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add ``_n``, 0-based in ``order`` within ``scope``.
+
+    Rows are counted by buckets of the scope's range first, so that a scope is
+    numbered by many tasks: each bucket starts where the ones before it end.
+    """
+    first = order[0]
+    ends = rows.groupBy(*scope).agg(F.min(first).alias("_lo"), F.max(first).alias("_hi"))
+    width = F.greatest(F.lit(1), F.expr("(_hi - _lo) div 256 + 1"))
+    placed = rows.join(ends, list(scope)).withColumn("_bucket", F.floor((F.col(first) - F.col("_lo")) / width)).drop("_lo", "_hi")
+    counts = placed.groupBy(*scope, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*scope).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # 257 rows at most
+    starts = counts.select(*scope, "_bucket", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
+    local = F.row_number().over(Window.partitionBy(*scope, "_bucket").orderBy(*order)) - 1
+    numbered = placed.withColumn("_local", local).join(starts, [*scope, "_bucket"])
+    return numbered.withColumn("_n", F.col("_local") + F.col("_start")).drop("_bucket", "_local", "_start")
+
+
 def safe_level(files: DataFrame, *, tile_size: int = 256, budget: int = 4) -> DataFrame:
     """path, level: the lowest zoom at which a tile needs few enough source tiles; 0 if none does.
 

@@ -82,3 +82,34 @@ def mesh_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Height of a mesh tile's raster at column i and row j.
 HEIGHT = "cast((tile * 31 + i * 7 + j * 13) % 97 as double)"
+
+# The same stand-ins as DuckDB SQL.
+SQL_POINTS = """(SELECT (l_partkey % 3600) / 10e0 - 180e0 AS lon, ((l_suppkey * 7 + l_linenumber * 13) % 1800) / 10e0 - 89.95e0 AS lat, l_quantity AS h
+                 FROM lineitem)"""
+SQL_REQUESTS = """(SELECT event_id, ts, user_id, (1 + event_id % 6)::BIGINT AS z, (user_id % (2 ** (2 + event_id % 6))::BIGINT)::BIGINT AS x,
+                          (event_id % (2 ** (1 + event_id % 6))::BIGINT)::BIGINT AS y FROM events)"""
+SQL_BOUNDS = """-180e0 + x * (180e0 / 2 ** z) AS "left", 90e0 - y * (180e0 / 2 ** z) - (180e0 / 2 ** z) AS bottom,
+                -180e0 + x * (180e0 / 2 ** z) + (180e0 / 2 ** z) AS "right", 90e0 - y * (180e0 / 2 ** z) AS top"""
+SQL_TILES = f"(SELECT z, x, y, {SQL_BOUNDS} FROM (SELECT DISTINCT z, x, y FROM {SQL_REQUESTS}))"
+SQL_EXTENTS = """(SELECT n_nationkey::BIGINT AS ordinal, n_regionkey::BIGINT AS region, n_name AS name, n_nationkey * 10e0 - 125e0 AS "left",
+                         n_regionkey * 15e0 - 40e0 AS bottom, n_nationkey * 10e0 - 113e0 AS "right", n_regionkey * 15e0 - 20e0 AS top FROM nation)"""
+SQL_OPTIONS = """(SELECT p_partkey AS id, p_size, (10 + p_partkey % 14)::BIGINT AS z,
+                         CASE WHEN p_size % 2 = 0 THEN concat('./data/', p_brand, '.tif') END AS cog,
+                         CASE WHEN p_size % 3 = 0 THEN (p_size % 5)::BIGINT END AS min_zoom,
+                         CASE WHEN p_size % 5 = 0 THEN p_size::BIGINT END AS max_zoom,
+                         CASE WHEN p_size % 4 = 0 THEN 'martini' WHEN p_size % 7 = 0 THEN 'delatin' WHEN p_size % 11 = 0 THEN 'other' END AS meshing,
+                         CASE WHEN p_size % 6 = 0 THEN p_size::DOUBLE END AS no_data,
+                         CASE WHEN p_size % 9 = 0 THEN true END AS skip_cache,
+                         CASE WHEN p_size % 3 = 1 THEN p_size::BIGINT END AS grid_size,
+                         CASE WHEN p_size % 8 = 0 THEN concat('{"15":', p_size, ',"17":40}') WHEN p_size % 8 = 1 THEN '{"15":' END AS grid_sizes,
+                         CASE WHEN p_size % 4 = 1 THEN p_size::DOUBLE END AS max_error,
+                         CASE WHEN p_size % 6 = 0 THEN '{"16":2.5,"20":0.25}' END AS max_errors FROM part)"""
+SQL_MESH_TILES = "(SELECT s_suppkey AS tile, 7::BIGINT AS z, s_suppkey % 10 AS x, s_suppkey // 10 AS y FROM supplier)"
+SQL_HEIGHT = "((tile * 31 + i * 7 + j * 13) % 97)::DOUBLE"
+
+
+def sql_vertices(n: int, size: int) -> str:
+    """The grid vertices of the mesh tiles, with heights."""
+    at = lambda c: f"CASE WHEN {c} = {n} THEN {size} ELSE trunc({c} * ({size} / {n}))::BIGINT END"
+    return f"""(SELECT tile, z, x, y, i, j, j * {n + 1} + i AS vid, ({at("i")})::BIGINT AS vx, ({at("j")})::BIGINT AS vy, {SQL_HEIGHT} AS h
+                FROM {SQL_MESH_TILES}, (SELECT unnest(range(0, {n + 1})) AS i), (SELECT unnest(range(0, {n + 1})) AS j))"""
