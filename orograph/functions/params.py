@@ -91,4 +91,5 @@ def uptime(seconds: Column) -> Column:
 def remaining_time(done: Column, total: Column, elapsed: Column) -> Column:
     """mm:ss until the rest is done at the pace so far; null before anything is done."""
     left = F.ceil(elapsed / F.when(done > 0, done) * (total - done)).cast("long")
-    return F.concat(F.lpad(F.floor(left / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((left % 60).cast("string"), 2, "0"))
+    minutes = F.floor(left / 60).cast("string")
+    return F.concat(F.when(F.length(minutes) < 2, F.lpad(minutes, 2, "0")).otherwise(minutes), F.lit(":"), F.lpad((left % 60).cast("string"), 2, "0"))

@@ -87,6 +87,21 @@ def seed_tiles(ranges: DataFrame) -> DataFrame:
     return rows.withColumn("code", tiling.morton(F.col("x"), F.col("y"))).drop("start_x", "start_y", "end_x", "end_y")
 
 
+def overview_factor(overviews: Column) -> Column:
+    """The coarsest overview; a file without any counts as 1."""
+    return F.coalesce(F.array_max(overviews), F.lit(1))
+
+
+def safe_to_read(z: Column, level: Column, unsafe: Column) -> Column:
+    return (z >= level) | unsafe
+
+
+def ring_box(ring: Column) -> dict[str, Column]:
+    """The box of a ring of structs (x, y)."""
+    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+    return {"left": F.array_min(xs), "bottom": F.array_min(ys), "right": F.array_max(xs), "top": F.array_max(ys)}
+
+
 def number(rows: DataFrame, scope: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Add ``_n``, 0-based in ``order`` within ``scope``.
 
@@ -111,7 +126,7 @@ def safe_level(files: DataFrame, *, tile_size: int = 256, budget: int = 4) -> Da
     ``files`` has path, width (pixels), left, right and overviews (may be empty).
     """
     degrees = F.col("right") - F.col("left")
-    factor = F.coalesce(F.array_max("overviews"), F.lit(1))
+    factor = overview_factor(F.col("overviews"))
     zooms = files.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(23))))
     needed = F.ceil(F.least(tiling.tile_width(F.col("z")), degrees) * (F.col("width") / degrees) / (tile_size * factor))
     fits = zooms.withColumn("_fits", F.when(needed <= budget, F.col("z")))

@@ -23,7 +23,11 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, ts, user_id, z, x, y (from the north) of the tiles that events ask for."""
-    return table(spark, sf_dir, "events").selectExpr(
+    return as_requests(table(spark, sf_dir, "events"))
+
+
+def as_requests(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "event_id",
         "cast(ts as timestamp) as ts",
         "user_id",
