@@ -184,8 +184,11 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _common(sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, s, weight): how many of a node's shingles other components hold too, and how common these are."""
-    held = _rooted(sets.select("node", F.explode("values").alias("token")), roots)
+    """(node, s, weight): how many of a node's shingles other components hold too, and how common these are.
+
+    Shingles are told apart by 32 bits here, which can only raise ``s``.
+    """
+    held = _rooted(sets.select("node", F.explode("values").alias("token")).withColumn("token", F.expr("cast(token % 2147483648 as int)")), roots)
     tokens = held.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi")
     tokens = scratch(tokens.select("token", "c"), "tokens")
     met = held.select("node", "token").join(tokens, "token")
