@@ -96,10 +96,9 @@ def _first_names(texts: DataFrame, refs: DataFrame, size: int, key_bytes: int) -
         .distinct()
     )
     renamed = scratch(_named(by_content.select("block").distinct(), "block").withColumn("name", -1 - F.col("name")), "clash-names")
-    sizes = refs.select(*_ROW, "copies", F.size("keys").alias("blocks"))
-    rest = by_content.join(renamed, "block")
-    rest = rest.join(sizes, rest.doc_id.eqNullSafe(sizes.doc_id) & (rest.sha == sizes.sha))
-    return sure.unionByName(rest.select(rest.doc_id, rest.sha, "copies", "blocks", "pos", "name"))
+    sizes = refs.select(F.col("doc_id").alias("_doc"), F.col("sha").alias("_sha"), "copies", F.size("keys").alias("blocks"))
+    rest = by_content.join(renamed, "block").join(sizes, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("sha") == F.col("_sha")))
+    return sure.unionByName(rest.select(*_ROW, "copies", "blocks", "pos", "name"))
 
 
 def _placed_contents(size: int, key_bytes: int):
