@@ -145,6 +145,7 @@ def exact_duplicates(docs: DataFrame, *, block_bytes: int = 4096, key_bytes: int
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     named = name_documents(docs, block_bytes=block_bytes, key_bytes=key_bytes)
     groups = named.groupBy("level", "name").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    rows = named.join(groups, ["level", "name"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    # a table of its own, so that the join can split a name that very many documents share
+    rows = named.join(scratch(groups, "groups"), ["level", "name"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
     return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
