@@ -10,6 +10,7 @@ from orograph.operators import catalog, stitch
 from orograph.plans import inputs
 from orograph.plans.inputs import SQL_EXTENTS, SQL_POINTS, SQL_REQUESTS, SQL_TILES
 from orograph.plans.registry import query
+from orograph.sources import tiles
 
 _BOX = '"left", bottom, "right", top'
 
@@ -122,8 +123,8 @@ def seed_skip_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
                SELECT DISTINCT z, {_morton_sql('x', 'y')} AS code FROM {SQL_SEED})) GROUP BY ALL""")
 def seed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of ten tiles along each zoom's curve."""
-    tiles = _seed(spark, sf_dir).select("z", "code").distinct()
-    numbered = catalog.number(tiles, ["z"], ["code"])
+    seeds = _seed(spark, sf_dir).select("z", "code").distinct()
+    numbered = catalog.number(seeds, ["z"], ["code"])
     batch = F.expr("_n div 10").alias("batch")
     return numbered.groupBy("z", batch).agg(F.count(F.lit(1)).alias("n"), F.min("code").alias("first_code"), F.max("code").alias("last_code"))
 
@@ -152,3 +153,13 @@ def tile_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("z", "x", "y", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().alias("is_empty"))
 
 
+
+
+@query(f"SELECT DISTINCT z, x, y, {_morton_sql('x', 'y')} AS code FROM {SQL_SEED}")
+def seed_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeding in two runs: the second stores only what the first has not."""
+    path = inputs.shared_folder(spark, "tiles")
+    seeds = _seed(spark, sf_dir).select("z", "x", "y", "code").distinct()
+    tiles.write(seeds.where("x % 2 = 0"), path)
+    tiles.write(tiles.missing(seeds, path), path)
+    return tiles.read(spark, path).select("z", "x", "y", "code")
