@@ -169,3 +169,10 @@ def remesh(meshes: DataFrame, *, size: int) -> DataFrame:
             yield _rows(_SCHEMA, [b.column(c) for c in "zxy"], made)
 
     return tiles.mapInArrow(run, f"z long, x long, y long, {_VERTICES}, {_TRIANGLES}")
+
+
+def flatten(meshes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of vertices (vid, vx, vy, h) and of triangles (tid, a, b, c)."""
+    vertices = meshes.select("z", "x", "y", F.posexplode("vertices").alias("vid", "v")).select("z", "x", "y", F.col("vid").cast("long").alias("vid"), "v.*")
+    triangles = meshes.select("z", "x", "y", F.posexplode("triangles").alias("tid", "t")).select("z", "x", "y", F.col("tid").cast("long").alias("tid"), "t.*")
+    return vertices, triangles

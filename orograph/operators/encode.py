@@ -113,3 +113,15 @@ def encode_tiles(vertices: DataFrame, triangles: DataFrame, *, compress: bool =
     b = tiling.bounds(*(F.col(c) for c in TILE))
     rows = v.join(t, TILE).select(*TILE, "v", "t", F.array(*b.values()).alias("bounds"))
     return rows.mapInArrow(_encoder(compress), "z long, x long, y long, encoding string, data binary")
+
+
+def decompress(tiles: DataFrame) -> DataFrame:
+    """The tiles with plain bytes; those that aren't compressed stay."""
+    schema = pa.schema([*((c, pa.int64()) for c in TILE), ("encoding", pa.string()), ("data", pa.binary())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = [gzip.decompress(d) if e == "gzip" and d is not None else d for e, d in zip(b.column("encoding").to_pylist(), b.column("data").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in TILE), pa.array(["identity"] * len(data), pa.string()), pa.array(data, pa.binary())], schema=schema)
+
+    return tiles.select(*TILE, "encoding", "data").mapInArrow(run, "z long, x long, y long, encoding string, data binary")

@@ -330,3 +330,32 @@ def delatin_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
 def martini_remesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adaptive meshes triangulated anew with their neighbours' edge vertices."""
     return adaptive.remesh(adaptive.triangulate(_grids(spark, sf_dir), "martini", max_error=4.0), size=32)
+
+
+def _adaptive_tiles(meshes: DataFrame) -> DataFrame:
+    """Bytes of adaptive meshes, with normals from their faces."""
+    v, t = adaptive.flatten(meshes)
+    v = mesh.to_ecef(mesh.rescale(v))
+    return encode.encode_tiles(v.join(mesh.vertex_normals(v, t), ["z", "x", "y", "vid"]), t)
+
+
+@query()
+def martini_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of adaptive meshes whose edges agree with their neighbours' in places and heights."""
+    meshes = adaptive.remesh(adaptive.triangulate(_grids(spark, sf_dir), "martini", max_error=4.0), size=32)
+    return _adaptive_tiles(meshes)
+
+
+@query()
+def delatin_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _adaptive_tiles(adaptive.triangulate(_grids(spark, sf_dir), "delatin", max_error=12.0))
+
+
+@query(f"SELECT z, x, y, true AS same FROM {SQL_MESH_TILES}")
+def gzip_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compressed tiles hold the same bytes as plain ones."""
+    v = mesh.geocentric_normals(mesh.to_ecef(mesh.rescale(vertices(spark, sf_dir, 18))))
+    t = mesh.grid_triangles(inputs.mesh_tiles(spark, sf_dir), 18)
+    plain = encode.encode_tiles(v, t, compress=False).select("z", "x", "y", F.col("data").alias("plain"))
+    opened = encode.decompress(encode.encode_tiles(v, t))
+    return opened.join(plain, ["z", "x", "y"]).select("z", "x", "y", (F.col("data") == F.col("plain")).alias("same"))

@@ -97,6 +97,17 @@ def test_remeshed_tiles_share_their_edges(spark, sf_dir):
         assert sum(_area(r, t) for t in r.triangles) == 2 * 32 * 32
 
 
+@pytest.mark.parametrize("name", ["martini_tiles", "delatin_tiles"])
+def test_adaptive_tiles_decode(spark, sf_dir, name):
+    out = plans.QUERIES[name](spark, sf_dir).collect()
+    assert len(out) == 10
+    for r in out:
+        _, v, t, _, extensions = decode(gzip.decompress(bytes(r.data)))
+        assert len(extensions[encode.OCT_NORMALS]) == 2 * len(v) and v.min() == 0 and v.max() == 32767
+        a, b, c = (v[t[:, i], :2] for i in range(3))
+        assert np.abs((b - a)[:, 0] * (c - a)[:, 1] - (b - a)[:, 1] * (c - a)[:, 0]).sum() == 2 * 32767**2
+
+
 def _area(r, t):
     (ax, ay), (bx, by), (cx, cy) = ((r.vertices[i].vx, r.vertices[i].vy) for i in (t.a, t.b, t.c))
     return abs((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
