@@ -181,6 +181,19 @@ def test_planted_passages_are_found(spark):
             assert texts[r.doc_id][r.start_word : r.start_word + r.n_words] == texts[r.other_id][r.other_start : r.other_start + r.other_words]
 
 
+@pytest.mark.parametrize("gap", [60, 120, 200])
+def test_header_and_footer_of_one_pair(spark, gap):
+    rng = random.Random(gap)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, wanted = [], set()
+    for i in range(0, 40, 2):
+        header, footer = words(60), words(60)
+        rows += [(i + k, " ".join(header + words(gap) + footer), "a") for k in (0, 1)]
+        wanted |= {(i + 1, 0, 60), (i + 1, 60 + gap, 60)}
+    out = substring_dedup.shared_passages(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.start_word, r.n_words) for r in out} == wanted and all(r.edits == 0 for r in out)
+
+
 def test_quality_on_rows_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     scored = {r.doc_id: r for r in quality.score_quality(docs, quality.train(docs, labels)).collect()}
