@@ -1,7 +1,7 @@
 """License scans: stock phrases, and an exact set-similarity join with license templates.
 
-A text block (a line, or overlapping windows of a long line) matches a template
-when it contains at least ``threshold`` of the template's distinct words. The
+A text block (a line, or overlapping windows of a long line or of the whole
+text, for notices wrapped over lines) matches a template when it contains at least ``threshold`` of the template's distinct words. The
 join is exact. Words are ordered by how many documents hold them, rarest first;
 a match must hold a word of the template's prefix (all but the last
 ``needed - 1`` words in that order). Blocks with fewer words than needed fall
@@ -52,12 +52,13 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def blocks_of(text: bytes) -> Iterator[list[bytes]]:
-    """The words of each line; a line of over WINDOW words gives windows, the last one ending with the line."""
-    for line in text.split(b"\n"):
-        words = words_of(line)
+    """The words of each line and of the whole text; over WINDOW words give windows, the last one ending with them."""
+    lines = [words for line in text.split(b"\n") if (words := words_of(line))]
+    if len(lines) > 1:
+        lines.append([w for words in lines for w in words])
+    for words in lines:
         if len(words) <= WINDOW:
-            if words:
-                yield words
+            yield words
             continue
         for i in range(0, len(words) - WINDOW + STEP, STEP):
             yield words[i : i + WINDOW]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -194,6 +195,19 @@ def test_header_and_footer_of_one_pair(spark, gap):
     assert {(r.doc_id, r.start_word, r.n_words) for r in out} == wanted and all(r.edits == 0 for r in out)
 
 
+def test_licenses_wrapped_over_lines(spark):
+    before, after = "some words of prose " * 15, "and others behind them " * 15
+    rows, wanted = [], {}
+    for label, text in licenses.TEMPLATES.items():
+        for width in (20, 40, 72):
+            for mark in ("", "# ", " * "):
+                notice = "\n".join(mark + line for line in textwrap.wrap(text, width))
+                rows.append((len(rows), f"{before}\n{notice}\n{after}", "a"))
+                wanted[len(rows) - 1] = label
+    for r in licenses.scan_licenses(frame(spark, rows)).collect():
+        assert wanted[r.doc_id] in r.labels.split(",") and r.score == 1.0, (wanted[r.doc_id], r)
+
+
 def test_quality_on_rows_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     scored = {r.doc_id: r for r in quality.score_quality(docs, quality.train(docs, labels)).collect()}
