@@ -195,6 +195,21 @@ def test_header_and_footer_of_one_pair(spark, gap):
     assert {(r.doc_id, r.start_word, r.n_words) for r in out} == wanted and all(r.edits == 0 for r in out)
 
 
+def test_recall_of_edited_passages(spark):
+    rng = random.Random(3)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, cases = [], {}
+    for n, rate, _ in [(n, rate, k) for n in (60, 100) for rate in (0.1, 0.15, 0.2) for k in range(100)]:
+        passage, d = words(n), 2 * len(cases)
+        edited = list(passage)
+        for i in rng.sample(range(n), round(n * rate)):
+            edited[i] = "x"
+        rows += [(d, " ".join(words(40) + passage + words(40)), "a"), (d + 1, " ".join(words(40) + edited + words(40)), "a")]
+        cases[d + 1] = n, rate
+    hit = Counter(cases[d] for d in {r.doc_id for r in substring_dedup.shared_passages(frame(spark, rows)).collect()} & cases.keys())
+    assert all(hit[n, r] >= least for r, least in ((0.1, 99), (0.15, 99), (0.2, 97)) for n in (60, 100)), sorted(hit.items())
+
+
 def test_licenses_wrapped_over_lines(spark):
     before, after = "some words of prose " * 15, "and others behind them " * 15
     rows, wanted = [], {}
