@@ -195,6 +195,27 @@ def test_header_and_footer_of_one_pair(spark, gap):
     assert {(r.doc_id, r.start_word, r.n_words) for r in out} == wanted and all(r.edits == 0 for r in out)
 
 
+def _covered(out, doc_id, start, n):
+    """Whether one passage holds nine tenths of these words of a document."""
+    return any(r.doc_id == doc_id and min(r.start_word + r.n_words, start + n) - max(r.start_word, start) >= 0.9 * n for r in out)
+
+
+def test_repeated_words_and_lines(spark):
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line, lines = words(12), [words(10) for _ in range(8)]
+    repeats = [["so"] * 120, ["very", "well"] * 60, line * 8]
+    rows, wanted = [], []
+    for i, p in enumerate(repeats):
+        rows += [(10 + 2 * i + k, " ".join(words(40) + p + words(40)), "a") for k in (0, 1)]
+        wanted.append((11 + 2 * i, 40, len(p)))
+    # each line was first seen in another document, all of them together in one
+    rows += [(30 + i, " ".join(words(40) + l + words(40)), "a") for i, l in enumerate(lines)]
+    rows += [(50 + k, " ".join(words(40) + sum(lines, []) + words(40)), "a") for k in (0, 1)]
+    out = substring_dedup.shared_passages(frame(spark, rows)).collect()
+    assert [(w, [r for r in out if r.doc_id == w[0]]) for w in [*wanted, (51, 40, 80)] if not _covered(out, *w)] == []
+
+
 def test_recall_of_edited_passages(spark):
     rng = random.Random(3)
     words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
