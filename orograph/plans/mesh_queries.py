@@ -93,18 +93,16 @@ def _raster(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
 
 @query(f"SELECT {_KEY}, vid, vx, vy, ((tile * 31 + vx * 7 + ({mesh.GRID} - vy) * 13) % 97)::DOUBLE AS h FROM {SQL_V} WHERE tile < 200")
 def grid_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Heights at the vertices of 200 tiles, from their pixels; row 0 lies in the north."""
-    wanted = F.col("y") < 20
-    v = vertices(spark, sf_dir).where(wanted).drop("h", "i", "j")
-    return mesh.sample(v, _raster(spark, sf_dir, mesh.GRID).where(wanted))
+    """Heights at the vertices of all tiles, from their pixels; row 0 lies in the north."""
+    v = vertices(spark, sf_dir).drop("h", "i", "j")
+    return mesh.sample(v, _raster(spark, sf_dir, mesh.GRID))
 
 
 @query(f"SELECT {_KEY}, vid, vx, vy, ((tile * 31 + vx * 7 + ({mesh.MARTINI} - vy) * 13) % 97)::DOUBLE AS h FROM {sql_vertices(N, mesh.MARTINI)} WHERE tile < 200")
 def martini_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same on rasters of 257 x 257."""
-    wanted = F.col("y") < 20
-    v = vertices(spark, sf_dir, size=mesh.MARTINI).where(wanted).drop("h", "i", "j")
-    return mesh.sample(v, _raster(spark, sf_dir, mesh.MARTINI).where(wanted), size=mesh.MARTINI)
+    v = vertices(spark, sf_dir, size=mesh.MARTINI).drop("h", "i", "j")
+    return mesh.sample(v, _raster(spark, sf_dir, mesh.MARTINI), size=mesh.MARTINI)
 
 
 @query(f"SELECT {_KEY}, vid, lon, lat FROM {sql_placed(SQL_V, mesh.GRID)}")

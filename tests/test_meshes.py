@@ -116,3 +116,12 @@ def _area(r, t):
 def test_stream_equals_batch(spark, sf_dir):
     streamed = plans.QUERIES["stream_dedup"](spark, sf_dir).select("z", "x", "y")
     assert sorted(streamed.collect()) == sorted(inputs.requests(spark, sf_dir).select("z", "x", "y").distinct().collect())
+
+
+@pytest.mark.parametrize("name, size", [("grid_heights", 255), ("martini_heights", 256)])
+def test_heights_of_all_tiles(spark, tmp_path, name, size):
+    keys = [5, 199, 200, 990]
+    spark.createDataFrame([(k,) for k in keys], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = plans.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {t: sum(r.tile == t for r in rows) for t in keys} == dict.fromkeys(keys, 36) and len(rows) == 144
+    assert all(r.h == (r.tile * 31 + r.vx * 7 + (size - r.vy) * 13) % 97 for r in rows)
