@@ -35,6 +35,11 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, *, rows: int = 200_000) -> DataFrame:
+    """``df``, marked for a broadcast join if it has at most ``rows`` rows; it is counted, so it should be a scratch table."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def number_rows(df: DataFrame, order: Sequence[str], *, scope: Sequence[str] = (), spread: Sequence[str] = ()) -> DataFrame:
     """Add ``_row`` (0-based, gapless, within ``scope``) in the order ``scope + order``.
 

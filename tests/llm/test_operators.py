@@ -216,6 +216,51 @@ def test_repeated_words_and_lines(spark):
     assert [(w, [r for r in out if r.doc_id == w[0]]) for w in [*wanted, (51, 40, 80)] if not _covered(out, *w)] == []
 
 
+def test_passage_whose_parts_stand_elsewhere(spark):
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = words(80)
+    # more documents than a seed's list takes hold each piece of it, a pair holds all of it
+    pieces = [passage[i : i + 20] for i in (0, 15, 30, 45, 60)]
+    rows = [(i, " ".join(words(30) + pieces[i % 5] + words(30)), "a") for i in range(90)]
+    rows += [(100 + k, " ".join(words(30) + passage + words(30)), "a") for k in (0, 1)]
+    out = substring_dedup.shared_passages(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.other_id) for r in out} == {(101, 100)} and _covered(out, 101, 30, 80)
+
+
+def test_passage_of_a_large_group(spark):
+    rng = random.Random(13)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = words(70)
+    rows = [(i, " ".join(words(20) + passage + words(20)), "a") for i in range(400)]
+    out = substring_dedup.shared_passages(frame(spark, rows).coalesce(2)).collect()
+    assert {(r.start_word, r.n_words, r.edits) for r in out} == {(20, 70, 0)}
+    assert {r.doc_id for r in out if r.other_id == 0} == set(range(1, 400)) and len(out) < 2 * 400
+
+
+def test_passages_against_every_stretch(spark):
+    """Random texts of common phrases: each stretch of fifty equal words or more has a row over part of it."""
+    rng = random.Random(14)
+    phrases = [[f"p{i}w{j}" for j in range(rng.randrange(3, 15))] for i in range(25)]
+    texts = [sum((rng.choice(phrases) for _ in range(rng.randrange(2, 40))), []) for _ in range(60)]
+    for i in range(30, 60, 3):
+        source = texts[rng.randrange(i)]
+        start = rng.randrange(max(1, len(source) - 60))
+        texts[i] = texts[i] + source[start : start + rng.randrange(45, 90)] + texts[i + 1][:20]
+    out = substring_dedup.shared_passages(frame(spark, [(i, " ".join(t), "a") for i, t in enumerate(texts)])).collect()
+    found = defaultdict(list)
+    for r in out:
+        assert r.other_id < r.doc_id and r.edits <= 0.25 * max(r.n_words, r.other_words)
+        found[r.doc_id].append((r.start_word, r.start_word + r.n_words))
+    missed = 0
+    for d, a in enumerate(texts):
+        earlier = {tuple(b[i : i + 50]) for b in texts[:d] for i in range(len(b) - 49)}
+        for i in range(len(a) - 49):
+            if tuple(a[i : i + 50]) in earlier:
+                missed += not any(x < i + 50 and i < y for x, y in found[d])
+    assert not missed and out
+
+
 def test_recall_of_edited_passages(spark):
     rng = random.Random(3)
     words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
