@@ -1,20 +1,26 @@
 """Token counts by a compiled finite-state tokenizer.
 
-A byte-level BPE first splits a text into pre-tokens, then merges bytes inside
-each. Read pre-token by pre-token, it is a deterministic transducer: every
-transition carries the number of tokens that it emits. Transitions are compiled
-from the vocabulary's merges the first time they are taken and then kept.
-
-Where white space follows another character a pre-token always begins, so a
-chunk of text acts on the transducer's state in a simple way: an open head up
-to its first such place, a count for what is settled, and an open tail. These
-chunk maps compose associatively; a long text is cut into chunks and their maps
-are combined by a pairwise scan. The state that crosses a chunk's edge is only
-the unfinished fragment.
+A byte-level BPE splits a text into pre-tokens and merges bytes inside each.
+Both are one deterministic transducer over characters. Its state holds the kind
+of pre-token it is in, characters that wait for the next one (a blank, an
+apostrophe), and how the bytes read so far may go on: after each prefix the
+encoding has one last token, so all that can still matter are the token before
+each place from which some token's beginning reaches the end, that beginning,
+and how many tokens fewer it would be. There are finitely many such states. A
+transition carries the number of tokens by which the count changes. States and
+transitions are compiled from the vocabulary's merges when first taken, and kept.
+
+A blank behind any other character leads to one and the same state whatever the
+state before was. So a chunk of text acts on states simply: its head, up to the
+first such place, is run from the state it is given; the rest has one count and
+ends in one state. These maps compose associatively. Texts over ``long_chars``
+are cut into rows of chunks, and their maps are composed level by level, FAN at
+a time, so that no task holds more of a text than a chunk. (A text without any
+blank is all head and is run in one piece.)
 
 Defined results: null text counts as empty (no bytes, no tokens); repeated rows
 each give a row; special strings inside a text are single tokens, as the
-library has it by default.
+library has it by default; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +34,19 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_EDGE = regex.compile(r"(?<=[!-~\p{L}])[ \n]")
-#: Transitions kept in a worker; beyond that the table is compiled anew.
-_KEPT = 1_000_000
+#: States kept in a worker; beyond that the transducer is compiled anew.
+_KEPT = 400_000
+#: Chunk maps that are composed at once.
+FAN = 64
+
+START, LETTERS, NUMBERS, OTHERS, BLANKS, APOSTROPHE, ELIDED = range(7)
+_LETTER, _NUMBER, _SPACE = (regex.compile(p) for p in (r"\p{L}", r"\p{N}", r"\s"))
+# What an apostrophe at the start of a pre-token joins to.
+SHORT, LONGER = "stmd", {"r": "e", "v": "e", "l": "l"}
+
+#: (token before, node of the vocabulary's tree, tokens more than now) for each open beginning.
+Hypotheses = tuple[tuple[int, int, int], ...]
+State = tuple[int, str, Hypotheses]
 
 
 def _byte_letters() -> dict[int, str]:
@@ -41,30 +56,30 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Transducer(dict):
-    """Pre-token -> number of tokens; missing transitions are compiled from the merges."""
+class Merges:
+    """The vocabulary: merges by rank, and a tree of all tokens."""
 
-    def __init__(self, path: str):
-        super().__init__()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, spec: dict):
         letters = {v: bytes([k]) for k, v in _byte_letters().items()}
         raw = lambda s: b"".join(letters[c] for c in s)
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.ranks = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
-        self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"] if t["special"]) or r"(?!)")
-        self.special_strings = [t["content"] for t in spec["added_tokens"] if t["special"]]
-
-    def __missing__(self, pre_token: str) -> int:
-        if len(self) >= _KEPT:
-            self.clear()
-        n = self[pre_token] = self._compile(pre_token.encode("utf-8", "surrogatepass"))
-        return n
-
-    def _compile(self, data: bytes) -> int:
+        pairs = [tuple(map(raw, m if isinstance(m, list) else m.split(" "))) for m in spec["model"]["merges"]]
+        self.ranks = {p: i for i, p in enumerate(pairs)}
+        self.tokens = [bytes([b]) for b in range(256)] + list(dict.fromkeys(a + b for a, b in pairs))
+        self.children: list[dict[int, int]] = [{}]
+        self.token_at = [-1]
+        for i, t in enumerate(self.tokens):
+            node = 0
+            for b in t:
+                if b not in self.children[node]:
+                    self.children[node][b] = len(self.children)
+                    self.children.append({})
+                    self.token_at.append(-1)
+                node = self.children[node][b]
+            self.token_at[node] = i
+        self.stay: dict[tuple[int, int], bool] = {}
+
+    def encode(self, data: bytes) -> list[bytes]:
         parts = [data[i : i + 1] for i in range(len(data))]
-        if len(parts) > 400:
-            return self._compile_long(parts)
         rank_of, none = self.ranks.get, len(self.ranks)
         ranks = [rank_of(p, none) for p in zip(parts, parts[1:], strict=False)]
         while ranks and (least := min(ranks)) < none:
@@ -75,67 +90,146 @@ class Transducer(dict):
                 ranks[i - 1] = rank_of((parts[i - 1], parts[i]), none)
             if i < len(ranks):
                 ranks[i] = rank_of((parts[i], parts[i + 1]), none)
-        return len(parts)
-
-    def _compile_long(self, parts: list[bytes]) -> int:
-        """The same merges, lowest rank and leftmost first, through a heap: for runs of thousands of letters."""
-        import heapq
-
-        after, before = [*range(1, len(parts)), -1], [-1, *range(len(parts) - 1)]
-        left, ranks = len(parts), self.ranks
-        heap = [(r, i, p) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if (r := ranks.get(p)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, pair = heapq.heappop(heap)
-            j = after[i]
-            if j < 0 or (parts[i], parts[j]) != pair:
+        return parts
+
+    def stays(self, a: int, b: int) -> bool:
+        """Whether token b may follow token a (-1: the start): their bytes are encoded as these two."""
+        key = a, b
+        known = self.stay.get(key)
+        if known is None:
+            pair = [self.tokens[b]] if a < 0 else [self.tokens[a], self.tokens[b]]
+            known = self.stay[key] = self.encode(b"".join(pair)) == pair
+        return known
+
+    def read(self, open_: Hypotheses, byte: int) -> tuple[int, Hypotheses]:
+        """(change of the count, open beginnings) after one more byte of a pre-token."""
+        moved, change, last = [], None, -1
+        for before, node, more in open_:
+            node = self.children[node].get(byte)
+            if node is None:
                 continue
-            parts[i], parts[j], after[i] = pair[0] + pair[1], b"", after[j]
-            left -= 1
-            if after[i] >= 0:
-                before[after[i]] = i
-            for a in (before[i], i):
-                if a >= 0 and after[a] >= 0 and (r := ranks.get(p := (parts[a], parts[after[a]]))) is not None:
-                    heapq.heappush(heap, (r, a, p))
-        return left
-
-    def settled(self, text: str) -> int:
-        """Tokens of a text between two edges."""
-        if any(s in text for s in self.special_strings):
-            pieces = self.special.split(text)
-            return len(pieces) - 1 + sum(self.settled(p) for p in pieces if p)
-        return sum(map(self.__getitem__, _PRE_TOKEN.findall(text)))
-
-    def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
-        """(head, count, tail); count is None where the chunk has no edge and is all head."""
-        first = _EDGE.search(chunk, 1)
-        if first is None:
-            return chunk, None, ""
-        # from right to left, so that a long settled middle is not searched edge by edge
-        last = max(chunk.rfind(c, first.start()) for c in " \n")
-        while last > first.start() and not _EDGE.match(chunk, last):
-            last = max(chunk.rfind(c, first.start(), last) for c in " \n")
-        return chunk[: first.start()], self.settled(chunk[first.start() : last]), chunk[last:]
-
-    def compose(self, a: tuple[str, int | None, str], b: tuple[str, int | None, str]) -> tuple[str, int | None, str]:
-        if a[1] is None and b[1] is None:
-            return self.chunk_map(a[0] + b[0])
-        if a[1] is None:
-            head = self.chunk_map(a[0] + b[0])
-            return (head[0], b[1], b[2]) if head[1] is None else (head[0], head[1] + self.settled(head[2]) + b[1], b[2])
-        middle = self.chunk_map(a[2] + b[0])
-        if b[1] is None:
-            return (a[0], a[1], middle[0]) if middle[1] is None else (a[0], a[1] + self.settled(middle[0]) + middle[1], middle[2])
-        return a[0], a[1] + self.settled(a[2] + b[0]) + b[1], b[2]
-
-    def count(self, text: str, chunk_chars: int) -> int:
-        if len(text) <= chunk_chars:
-            return self.settled(text)
-        maps = [self.chunk_map(text[i : i + chunk_chars]) for i in range(0, len(text), chunk_chars)]
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, count, tail = maps[0]
-        return self.settled(head) + (count or 0) + self.settled(tail)
+            token = self.token_at[node]
+            # the encoding is unique: the first that fits is it
+            if change is None and token >= 0 and self.stays(before, token):
+                change, last = more + 1, token
+            if self.children[node]:
+                moved.append((before, node, more))
+        assert change is not None
+        return change, (*((b, n, m - change) for b, n, m in moved), (last, 0, 0))
+
+
+NEW: Hypotheses = ((-1, 0, 0),)
+
+
+class Transducer:
+    """States with their transitions: character -> (next state's transitions, change of the count)."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.merges = Merges(spec)
+        special = [t["content"] for t in spec["added_tokens"] if t["special"]]
+        self.special = regex.compile("|".join(map(regex.escape, special)) or r"(?!)")
+        self.special_strings = special
+        self.states: dict[State, dict] = {}
+
+    def state(self, key: State) -> dict:
+        found = self.states.get(key)
+        if found is None:
+            if len(self.states) >= _KEPT:
+                self.states = {}
+            found = self.states[key] = {None: key}
+        return found
+
+    def run(self, row: dict, text: str) -> tuple[int, dict]:
+        """(tokens, state) after a text without special strings."""
+        n = 0
+        for c in text:
+            step = row.get(c)
+            if step is None:
+                count, key = self.step(row[None], c)
+                step = row[c] = self.state(key), count
+            row, d = step
+            n += d
+        return n, row
+
+    def feed(self, open_: Hypotheses, text: str) -> tuple[int, Hypotheses]:
+        n = 0
+        for b in text.encode("utf-8", "surrogatepass"):
+            d, open_ = self.merges.read(open_, b)
+            n += d
+        return n, open_
+
+    def begin(self, c: str, lead: str = "") -> tuple[int, State]:
+        """A new pre-token whose first character is c, behind a blank or none."""
+        if _SPACE.match(c):
+            return 0, (BLANKS, c, NEW)
+        if c == "'" and not lead:
+            return 0, (APOSTROPHE, c, NEW)
+        n, open_ = self.feed(NEW, lead + c)
+        return n, (LETTERS if _LETTER.match(c) else NUMBERS if _NUMBER.match(c) else OTHERS, "", open_)
+
+    def step(self, state: State, c: str) -> tuple[int, State]:
+        kind, waits, open_ = state
+        if kind in (LETTERS, NUMBERS, OTHERS):
+            goes_on = bool(_LETTER.match(c)) if kind == LETTERS else bool(_NUMBER.match(c)) if kind == NUMBERS else not (_LETTER.match(c) or _NUMBER.match(c) or _SPACE.match(c))
+            if not goes_on:
+                return self.begin(c)
+            n, open_ = self.feed(open_, c)
+            return n, (kind, "", open_)
+        if kind == BLANKS:
+            if _SPACE.match(c):
+                n, open_ = self.feed(open_, waits)
+                return n, (BLANKS, c, open_)
+            if waits == " ":
+                return self.begin(c, " ")
+            alone = self.feed(NEW, waits)[0]
+            n, state = self.begin(c)
+            return alone + n, state
+        if kind == APOSTROPHE:
+            if c in SHORT:
+                return self.feed(NEW, "'" + c)[0], (START, "", NEW)
+            if c in LONGER:
+                return 0, (ELIDED, c, NEW)
+            n, open_ = self.feed(NEW, "'")
+            more, state = self.step((OTHERS, "", open_), c)
+            return n + more, state
+        if kind == ELIDED:
+            if c == LONGER[waits]:
+                return self.feed(NEW, "'" + waits + c)[0], (START, "", NEW)
+            n, open_ = self.feed(NEW, waits)
+            more, state = self.step((LETTERS, "", open_), c)
+            return self.feed(NEW, "'")[0] + n + more, state
+        return self.begin(c)
+
+    def end(self, row: dict) -> int:
+        """What the end of a text adds."""
+        kind, waits, open_ = row[None]
+        if kind == BLANKS:
+            return self.feed(open_, waits)[0]
+        if kind in (APOSTROPHE, ELIDED):
+            return self.feed(NEW, "'")[0] + (self.feed(NEW, waits)[0] if kind == ELIDED else 0)
+        return 0
+
+    def read(self, row: dict, text: str) -> tuple[int, dict]:
+        """Like ``run``, with special strings."""
+        if not any(s in text for s in self.special_strings):
+            return self.run(row, text)
+        pieces, total = self.special.split(text), 0
+        for i, piece in enumerate(pieces):
+            n, row = self.run(row, piece)
+            total += n
+            if i + 1 < len(pieces):
+                total += self.end(row) + 1
+                row = self.start()
+        return total, row
+
+    def start(self) -> dict:
+        return self.state((START, "", NEW))
+
+    def count(self, text: str) -> int:
+        n, row = self.read(self.start(), text)
+        return n + self.end(row)
 
 
 @cache
@@ -143,18 +237,137 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
-def _counter(path: str, chunk_chars: int):
+# --- chunk maps -----------------------------------------------------------
+
+#: (head, whether a blank behind another character ends it, count behind it, state at the end as JSON).
+ChunkMap = tuple[str, bool, int, str]
+_SETTLED = regex.compile(r"\S\s")
+
+
+def chunk_map(t: Transducer, chunk: str) -> ChunkMap:
+    found = _SETTLED.search(chunk)
+    if not found or any(s in chunk[: found.end()] for s in t.special_strings):
+        return chunk, False, 0, ""
+    head, blank = chunk[: found.end()], chunk[found.end() - 1]
+    n, row = t.read(t.state((BLANKS, blank, NEW)), chunk[found.end() :])
+    return head, True, n, json.dumps(row[None])
+
+
+def _row(t: Transducer, written: str) -> dict:
+    kind, waits, open_ = json.loads(written)
+    return t.state((kind, waits, tuple(map(tuple, open_))))
+
+
+def compose(t: Transducer, maps: list[ChunkMap]) -> ChunkMap:
+    """The map of consecutive chunks."""
+    heads, n, row = [], 0, None
+    for head, settled, count, after in maps:
+        if row is None:
+            heads.append(head)
+        else:
+            more, row = t.read(row, head)
+            n += more
+        if settled:
+            n, row = n + count, _row(t, after)
+    return "".join(heads), row is not None, n, json.dumps(row[None]) if row else ""
+
+
+def applied(t: Transducer, m: ChunkMap) -> int:
+    """Tokens of a text, from its map."""
+    head, settled, count, after = m
+    n, row = t.read(t.start(), head)
+    if settled:
+        n, row = n + count, _row(t, after)
+    return n + t.end(row)
+
+
+def cuts(t: Transducer, text: str, size: int) -> Iterator[str]:
+    """Pieces of about ``size`` characters; none ends within a special string."""
+    a, reach = 0, max(map(len, t.special_strings), default=1)
+    while a < len(text):
+        b = a + size
+        for m in t.special.finditer(text, max(a, b - reach), min(len(text), b + reach)):
+            if m.start() < b < m.end():
+                b = m.end()
+        yield text[a:b]
+        a = b
+
+
+def _cutter(path: str, size: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = transducer(path)
+        for b in batches:
+            for key, text in zip(b.column("key"), b.column("text"), strict=True):
+                for i, piece in enumerate(cuts(t, text.as_py(), size)):
+                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()]), pa.array([i], pa.int64()), pa.array([piece])], ["key", "i", "chunk"])
+
+    return run
+
+
+_MAP = "key string, i long, head string, settled boolean, n long, after string"
+
+
+def _mapper(path: str):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = transducer(path)
+        for b in batches:
+            made = [chunk_map(t, c.as_py()) for c in b.column("chunk")]
+            columns = zip(*made, strict=True) if made else [[]] * 4
+            types = (pa.string(), pa.bool_(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("i"), *(pa.array(c, k) for c, k in zip(columns, types, strict=True))], ["key", "i", "head", "settled", "n", "after"])
+
+    return run
+
+
+def _composer(path: str):
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("i")
+        maps = [(r["head"], r["settled"], r["n"], r["after"]) for r in rows.to_pylist()]
+        head, settled, n, after = compose(transducer(path), maps)
+        return pa.table({"key": rows.column("key")[:1], "i": pa.array([rows.column("i")[0].as_py() // FAN]), "head": [head], "settled": [settled], "n": pa.array([n], pa.int64()), "after": [after]})
+
+    return run
+
+
+def _finisher(path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
         for b in batches:
-            n = [t.count(x.as_py() or "", chunk_chars) for x in b.column("text")]
+            n = [applied(t, (r["head"], r["settled"], r["n"], r["after"])) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(n, pa.int64())], ["key", "n_tokens"])
+
+    return run
+
+
+def _counter(path: str):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = transducer(path)
+        for b in batches:
+            n = [t.count(x.as_py() or "") for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     return run
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, *, limit: int = 512, chunk_chars: int = 65_536) -> DataFrame:
+def long_counts(texts: DataFrame, path: str, *, chunk_chars: int, longest: int) -> DataFrame:
+    """(key, n_tokens) of distinct (key, text): chunks in rows of their own, maps composed FAN at a time."""
+    chunks = texts.mapInArrow(_cutter(path, chunk_chars), "key string, i long, chunk string")
+    maps = chunks.repartition("key", "i").mapInArrow(_mapper(path), _MAP)
+    left = -(-longest // chunk_chars)
+    while left > 1:
+        maps = maps.groupBy("key", F.expr(f"i div {FAN}").alias("g")).applyInArrow(_composer(path), _MAP)
+        left = -(-left // FAN)
+    return maps.mapInArrow(_finisher(path), "key string, n_tokens long")
+
+
+def token_counts(docs: DataFrame, tokenizer_path: str, *, limit: int = 512, chunk_chars: int = 65_536, long_chars: int = 1_048_576) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit. The tokenizer's file is read where the tasks run."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
-    counted = rows.mapInArrow(_counter(tokenizer_path, chunk_chars), "doc_id long, n_bytes long, n_tokens long")
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    is_long = F.coalesce(F.char_length("text") > long_chars, F.lit(False))
+    out = rows.where(~is_long).mapInArrow(_counter(tokenizer_path), "doc_id long, n_bytes long, n_tokens long")
+    longest = rows.agg(F.max(F.char_length("text"))).first()[0] or 0
+    if longest > long_chars:
+        large = rows.where(is_long).withColumn("key", F.sha2("text", 256))
+        counts = long_counts(large.select("key", "text").dropDuplicates(["key"]), tokenizer_path, chunk_chars=chunk_chars, longest=longest)
+        out = out.unionByName(large.select("doc_id", "n_bytes", "key").join(counts, "key").drop("key"))
+    return out.withColumn("over_limit", F.col("n_tokens") > limit)
