@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orograph.llm.common import each_text, utf8
+from orograph.llm.common import each_text, scratch, utf8
 
 # The patterns and the least lengths of their matches (assign: of group 2).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -135,8 +135,9 @@ SHAPES = np.array([_shape_features(f << 1, n, s) for f in range(128) for n in ra
 MIXES = np.array([[c == i and n == j and o == k for i in range(6) for j in range(6) for k in range(2)] for c in range(6) for n in range(6) for o in range(2)], np.float64)
 #: Around a token: before has = or :, before is a keyword, after has = or :, digits before, digits after, keyword itself; the text has many digits, is short.
 AROUND = np.array([[bool(i >> b & 1) for b in range(8)] for i in range(256)], np.float64)
-#: Words are told apart by so many values; 0 is a token without letters or none.
-WORDS = 1024
+#: Words are told apart by the letters among their first STEM bytes, by so many values; 0 is a token without letters or none.
+WORDS, STEM = 1024, 6
+_LETTERS = (_GROUP == 1) | (_GROUP == 2)
 #: What a token is described by, and the features of each value; words are features themselves.
 VIEWS: dict[str, np.ndarray | None] = {"shape": SHAPES, "mix": MIXES, "around": AROUND, "before": None, "second": None, "after": None}
 N_FEATURES = sum(WORDS if t is None else t.shape[1] for t in VIEWS.values())
@@ -176,10 +177,14 @@ def token_features(texts: list[bytes], whole: list[tuple[bool, bool]] | None = N
         while at >= 0:
             keyword[np.searchsorted(starts, at, side="right") - 1] = True
             at = low.find(k, at + 1)
-    letters = np.where((group == 1) | (group == 2), np.frombuffer(low, np.uint8), 0).astype(np.uint64)
-    place = np.arange(len(raw)) - np.repeat(np.append(0, starts), np.diff(np.concatenate([[0], starts, [len(raw)]])))
-    sums = np.add.reduceat(letters * _PLACES[place & 63], starts)
-    word = np.where(sums > 0, 1 + (sums * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % (WORDS - 1), 0)
+    word, small = np.zeros(len(starts), np.uint64), np.frombuffer(low, np.uint8)
+    for i in range(STEM):
+        at = starts + i
+        inside = at < ends
+        at[~inside] = 0
+        letter = inside & _LETTERS[small[at]]
+        word = np.where(letter, word * np.uint64(257) + small[at], word)
+    word = np.where(word > 0, 1 + (word * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % (WORDS - 1), 0)
     first = np.concatenate([[True], which[1:] != which[:-1]])
     last = np.concatenate([first[1:], [True]])
     before = lambda x: np.where(first, 0, np.concatenate([x[:1], x[:-1]]))
@@ -198,9 +203,6 @@ def token_features(texts: list[bytes], whole: list[tuple[bool, bool]] | None = N
     return which, starts - bases[which], ends - bases[which], codes
 
 
-_PLACES = np.random.default_rng(1).integers(1, 1 << 62, 64).astype(np.uint64)
-
-
 # --- the model ------------------------------------------------------------
 
 OUT, BEGIN, INSIDE = range(3)
@@ -216,7 +218,8 @@ class Crf:
             part = weights[at : at + width]
             self.by_code[name] = part if table is None else table @ part
             at += width
-        self.lead = 2 * float(moves.max() - moves.min())
+        #: By tag, what it can gain over outside from the steps to and from it.
+        self.lead = (moves - moves[:, [OUT]]).max(0) + (moves - moves[[OUT]]).max(1)
 
     def scores(self, codes: Codes) -> np.ndarray:
         return sum(self.by_code[name][codes[name]] for name in VIEWS)
@@ -236,7 +239,7 @@ class Crf:
     def tags(self, which: np.ndarray, scores: np.ndarray) -> np.ndarray:
         """Tags of all tokens; texts begin and end as if outside tokens stood around them."""
         out = np.zeros(len(scores), np.int8)
-        unsure = np.flatnonzero(scores[:, OUT] - scores[:, 1:].max(1) <= self.lead)
+        unsure = np.flatnonzero((scores[:, 1:] + self.lead[1:] >= scores[:, [OUT]]).any(1))
         if not len(unsure):
             return out
         cuts = np.flatnonzero((np.diff(unsure) > 1) | (np.diff(which[unsure]) > 0)) + 1
@@ -452,13 +455,11 @@ def train(docs: DataFrame, *, sample: int = 1000) -> Crf:
 
     The windows that reach the driver are at most two dozen of WIDTH tokens for each of them.
     """
-    texts = docs.select(utf8(F.col("text")).alias("text"), F.xxhash64("doc_id", "text").alias("h"), F.coalesce(F.col("text").rlike(_LIKELY), F.lit(False)).alias("likely"))
-    marks = texts.select("h", "likely")
-    chosen = None
-    for likely in (True, False):
-        part = marks.where(F.col("likely") == likely).select("h").distinct().orderBy("h").limit(sample)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    picked = texts.select("h", "text").join(F.broadcast(chosen), "h", "left_semi").dropDuplicates(["h"])
+    likely = F.coalesce(F.col("text").rlike(_LIKELY), F.lit(False))
+    marks = scratch(docs.select(F.xxhash64("doc_id", "text").alias("h"), likely.alias("likely")), "marks")
+    with_match, without = (marks.where(F.col("likely") == k).select("h").distinct().orderBy("h").limit(sample) for k in (True, False))
+    texts = docs.select(utf8(F.col("text")).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
+    picked = texts.join(F.broadcast(with_match.unionByName(without)), "h", "left_semi").dropDuplicates(["h"])
     rows = picked.mapInArrow(_windows, ", ".join(f"{c} array<int>" for c in ("tags", *VIEWS))).toArrow()
     if not rows.num_rows:
         return nothing_learned()

@@ -84,3 +84,12 @@ def test_planted_secrets_outside_the_patterns(spark):
         wrong += sum(not (x < b and a < y) for x, y in spans)
     print(f"recall {hit / len(rows):.3f}, precision {hit / max(1, hit + wrong):.3f}")
     assert hit >= 0.8 * len(rows) and hit >= 0.95 * (hit + wrong)
+
+
+def test_tags_are_the_best_path():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        crf = scan.Crf(rng.normal(size=(scan.N_FEATURES, 3)), rng.normal(size=(3, 3)))
+        scores, which = rng.normal(size=(40, 3)) * 3, np.repeat([0, 1], 20)
+        scores[:, scan.OUT] += 3
+        assert crf.tags(which, scores).tolist() == crf.viterbi(scores[:20]) + crf.viterbi(scores[20:])
