@@ -4,7 +4,7 @@ Pfair scheduling: with integer weights ``w`` that add up to a cycle of ``W``
 turns, block ``k`` of a source is released at turn ``floor(k * W / w)`` and due
 by turn ``ceil((k + 1) * W / w)``. Taking the released block with the earliest
 deadline at each turn keeps every source within one block of its target. The
-order repeats every ``W`` turns, so one cycle is laid out and each row finds
+order repeats every ``W`` turns, so one cycle is laid out, and each row finds
 its turn from its number within its source. Only DataFrame operations are used.
 
 When a source has no blocks left its turns fall out and the others keep their
@@ -30,35 +30,51 @@ def tempered_weights(counts: DataFrame, *, turns: int = 240) -> DataFrame:
     return counts.join(F.broadcast(total)).select("source", "n", F.greatest(F.lit(1), share).alias("weight"))
 
 
+#: Turns that are laid out before their picks are put aside, so that a long cycle is not copied turn by turn.
+STRETCH = 200
+#: Turns of a cycle, and turns times sources, at most; beyond that the weights are too fine for one task.
+LONGEST, MOST_STEPS = 4_000_000, 50_000_000
+
+_GCD = """aggregate(s, 0L, (g, x) -> aggregate(sequence(1, 93), named_struct('a', g, 'b', x.weight),
+            (p, i) -> if(p.b = 0, p, named_struct('a', p.b, 'b', p.a % p.b)), p -> p.a))"""
+
+_TURN = """(a, t) -> transform(
+             array(array_min(transform(s, (x, i) -> if(
+               element_at(a.sent, i + 1) < x.weight and element_at(a.sent, i + 1) * cycle < (t + 1) * x.weight,
+               named_struct('due', ((element_at(a.sent, i + 1) + 1) * cycle + x.weight - 1) div x.weight, 'i', i, 'block', element_at(a.sent, i + 1)),
+               null)))),
+             p -> named_struct('sent', transform(a.sent, (c, j) -> c + if(j = p.i, 1L, 0L)),
+                               'picks', concat(a.picks, array(named_struct('i', p.i, 'block', p.block)))))[0]"""
+
+
 def lay_out(weights: DataFrame) -> DataFrame:
     """(source, block, turn, cycle, weight) for the blocks of one cycle, by earliest deadline.
 
-    The state is one row: ``cycle`` turns over the sources, which the weights bound.
+    Weights are divided by their greatest common divisor. The state is one row
+    with a count for each source; the cycle's turns follow each other, so one
+    task lays it out: turns times sources steps. A cycle over LONGEST turns or
+    MOST_STEPS steps is an error, never an approximation.
     """
-    one = weights.agg(F.sort_array(F.collect_list(F.struct("source", "weight"))).alias("s"), F.sum("weight").alias("cycle"))
+    one = weights.agg(F.sort_array(F.collect_list(F.struct("source", "weight"))).alias("s"))
+    one = one.selectExpr("s", f"{_GCD} as g").selectExpr("transform(s, x -> named_struct('source', x.source, 'weight', x.weight div g)) as s")
+    one = one.selectExpr("s", "aggregate(s, 0L, (n, x) -> n + x.weight) as cycle")
+    one = one.selectExpr("s", f"if(cycle > {LONGEST} or cycle * size(s) > {MOST_STEPS}, raise_error(concat('weights make a cycle of ', cycle, ' turns')), cycle) as cycle").where("cycle > 0")
+    one = scratch(one, "weights")  # else the optimizer repeats these expressions inside the loop
+    none = "cast(array() as array<struct<i: int, block: bigint>>)"
+    stretch = f"""aggregate(sequence(g * {STRETCH}L, least((g + 1) * {STRETCH}L, cycle) - 1),
+                    named_struct('sent', o.sent, 'picks', {none}), {_TURN})"""
     plan = one.selectExpr(
         "s",
         "cycle",
-        """aggregate(
-             sequence(0L, cycle - 1),
-             named_struct('sent', transform(s, x -> 0L), 'picks', cast(array() as array<int>)),
-             (a, t) -> transform(
-               array(array_min(transform(s, (x, i) -> if(
-                 element_at(a.sent, i + 1) < x.weight and element_at(a.sent, i + 1) * cycle < (t + 1) * x.weight,
-                 named_struct('due', ((element_at(a.sent, i + 1) + 1) * cycle + x.weight - 1) div x.weight, 'i', i),
-                 null)))),
-               p -> named_struct('sent', transform(a.sent, (c, j) -> c + if(j = p.i, 1L, 0L)), 'picks', concat(a.picks, array(p.i)))
-             )[0],
-             a -> a.picks) as picks""",
-    )
-    turns = plan.selectExpr("s", "cycle", "picks", "posexplode(picks) as (turn, pick)")
-    return turns.selectExpr(
-        "s[pick].source as source",
-        "cast(size(filter(slice(picks, 1, turn), p -> p = pick)) as long) as block",
-        "cast(turn as long) as turn",
-        "cycle",
-        "s[pick].weight as weight",
+        f"""aggregate(sequence(0L, (cycle - 1) div {STRETCH}),
+              named_struct('sent', transform(s, x -> 0L), 'out', cast(array() as array<array<struct<i: int, block: bigint>>>)),
+              (o, g) -> transform(array({stretch}), r -> named_struct('sent', r.sent, 'out', concat(o.out, array(r.picks))))[0],
+              o -> o.out) as picks""",
     )
+    numbered = one.selectExpr("posexplode(s) as (i, x)", "cycle").selectExpr("i", "x.source as source", "x.weight as weight", "cycle")
+    turns = plan.selectExpr("posexplode(picks) as (g, part)").selectExpr("g", "posexplode(part) as (k, pick)")
+    turns = turns.selectExpr("pick.i as i", "pick.block as block", f"g * {STRETCH}L + k as turn")
+    return turns.join(numbered, "i").select("source", "block", "turn", "cycle", "weight")
 
 
 def mix_positions(docs: DataFrame, weights: DataFrame | None = None, *, key: Sequence[str] = ("doc_id",), turns: int = 240) -> DataFrame:

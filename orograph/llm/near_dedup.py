@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orograph.llm.common import each_text, runs, scratch, utf8, word_hashes
+from orograph.llm.common import each_text, runs, scratch, small, utf8, word_hashes
 
 #: Words in a shingle, values in a sketch, values with inverted lists.
 WORDS, K, LISTED = 5, 256, 16
@@ -201,7 +201,7 @@ def _possible(entries: DataFrame) -> DataFrame:
     bit = F.expr("pmod(band, 62)")
     rows = entries.withColumn("band", band)
     lists = rows.groupBy("v").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("mask"))
-    rows = rows.join(lists, "v")
+    rows = rows.join(small(scratch(lists, "lists")), "v")  # a table of its own, so that the join may split a long list
     below = F.expr(f"array_max(filter(sequence(0, {BANDS_BELOW}), d -> (shiftright(mask, pmod(band - d, 62)) & 1L) = 1L))")
     least = F.greatest(F.col("n") * 0.75, F.pow(F.lit(BAND), F.col("band") - below))
     return rows.where(7 * F.col("s") >= 3 * (F.col("n") + least) - 1e-6).drop("band", "mask")
@@ -210,7 +210,7 @@ def _possible(entries: DataFrame) -> DataFrame:
 def _open_lists(entries: DataFrame) -> DataFrame:
     """Entries of lists that hold several components, with the list's length ``c``."""
     lists = entries.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi")
-    return entries.join(lists.select("v", "c"), "v")
+    return entries.join(small(scratch(lists.select("v", "c"), "lists")), "v")
 
 
 def _typical(entries: DataFrame, classes: int) -> DataFrame:

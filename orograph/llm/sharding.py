@@ -23,39 +23,23 @@ def text_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def cut(rows: DataFrame, order: Sequence[str], *, shards: int, group: Sequence[str] = (), whole_share: float = 0.05) -> DataFrame:
-    """Add ``shard`` and ``slot`` to rows with a ``size``, contiguous in ``group + order``.
+def cut(rows: DataFrame, order: Sequence[str], *, shards: int) -> DataFrame:
+    """Add ``shard`` and ``slot`` to rows with a ``size``, contiguous in ``order``.
 
-    Rows that agree in ``group`` stay in one shard unless together they are
-    larger than ``whole_share`` of a shard's target; such a group is cut like
-    any other run of rows. A row or whole group goes where its middle byte lies,
-    so a shard misses its target by half of what lies on each of its two cuts.
+    A row goes where its middle byte lies, so a shard misses its target by half
+    of the rows that lie on its two cuts. The same rule holds for every row.
     """
     rows = scratch(rows, "sizes")
     total = rows.agg(F.sum("size")).first()[0] or 1
-    if group:
-        # at most shards / whole_share groups can be that large
-        large = rows.groupBy(*group).agg(F.sum("size").alias("_bytes")).where(F.col("_bytes") > whole_share * total / shards)
-        rows = rows.join(F.broadcast(large), list(group), "left")
-        rows = rows.withColumn("_split", F.col("_bytes").isNotNull()).drop("_bytes")
-        unit = [*group, "_split", *(f"_o{i}" for i in range(len(order)))]
-        rows = rows.withColumns({f"_o{i}": F.when(F.col("_split"), F.col(c)) for i, c in enumerate(order)})
-    else:
-        unit = list(order)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = scratch(rows.repartitionByRange(n, *unit).withColumn("_part", F.spark_partition_id()), "ranges")
+    parts = scratch(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     totals = parts.groupBy("_part").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     offsets = totals.select("_part", F.coalesce(F.sum("_bytes").over(earlier), F.lit(0)).alias("_from"), F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_first"))
-    so_far = Window.partitionBy("_part").orderBy(*dict.fromkeys([*unit, *order])).rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     placed = parts.withColumn("_end", F.sum("size").over(so_far)).withColumn("_local", F.row_number().over(so_far) - 1)
-    if group:
-        together = Window.partitionBy("_part", *unit)
-        placed = placed.withColumns({"_start": F.min(F.col("_end") - F.col("size")).over(together), "_size": F.sum("size").over(together)})
-    else:
-        placed = placed.withColumns({"_start": F.col("_end") - F.col("size"), "_size": F.col("size")})
     placed = placed.join(F.broadcast(offsets), "_part")
-    middle = 2 * (F.col("_from") + F.col("_start")) + F.col("_size")
+    middle = 2 * (F.col("_from") + F.col("_end")) - F.col("size")
     # the quotient first, so that nothing overflows at any corpus size
     shard = F.least(F.lit(shards - 1), F.floor(middle.cast("decimal(38,0)") * shards / (2 * total)).cast("int"))
     placed = placed.withColumn("shard", shard).withColumn("_row", F.col("_first") + F.col("_local"))
@@ -65,8 +49,8 @@ def cut(rows: DataFrame, order: Sequence[str], *, shards: int, group: Sequence[s
 
 
 def shard_documents(docs: DataFrame, *, shards: int = 16) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard; copies of a text lie side by side."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard; copies of a text lie side by side, in one shard but where a cut falls among them."""
     text = utf8(F.col("text"))
     rows = docs.select("doc_id", text_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
-    out = cut(rows, ["doc_id"], shards=shards, group=["text_hash", "text_crc32", "size"])
+    out = cut(rows, ["text_hash", "text_crc32", "size", "doc_id"], shards=shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -85,6 +85,20 @@ def test_mix_stays_within_a_block(spark):
             break
 
 
+@pytest.mark.parametrize("given", [[("a", 15_999), ("b", 1)], [("a", 40), ("b", 30), (None, 20)], [(f"s{i}", 1 + i % 4) for i in range(60)]])
+def test_cycles_keep_releases_and_deadlines(spark, given):
+    weights = spark.createDataFrame(given, "source string, weight long")
+    out = mixing.lay_out(weights).collect()
+    total = out[0].cycle
+    assert sorted(r.turn for r in out) == list(range(total)) and Counter(r.source for r in out) == {s: w * total // sum(w for _, w in given) for s, w in given}
+    assert all(r.block * total // r.weight <= r.turn < -(-(r.block + 1) * total // r.weight) for r in out)
+
+
+def test_too_fine_weights_are_an_error(spark):
+    with pytest.raises(Exception, match="weights make a cycle"):
+        mixing.lay_out(spark.createDataFrame([("a", 10_000_000), ("b", 1)], "source string, weight long")).collect()
+
+
 def test_exact_dedup_trusts_no_key(spark, table):
     rows = [(r.doc_id, r.text, r.source) for r in table[:60]] + ODD + [(80, "a  b", "a"), (81, "a\tb", "a"), (82, " a b", "a")]
     groups = defaultdict(list)

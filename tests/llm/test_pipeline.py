@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from test_near_dedup import brute
 
 import corpus_pipeline
@@ -32,3 +35,34 @@ def test_stages(spark, sf_dir, tmp_path):
     for r in placed:
         totals[r.shard] += r.size
     assert max(totals.values()) - sum(totals.values()) / 16 <= max(r.size for r in placed)
+
+
+def _stage_input(spark, tmp_path, name, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(d, t, "en", s, 1) for d, t, s in rows], schema).withColumns({c: F.lit("x") for c in ("row", "size", "shard", "position", "component_id", "_path")})
+    for k, part in enumerate(("one", "two")):  # the same file names in two folders
+        half = docs.where(f"pmod(xxhash64(doc_id, text, source), 2) = {k}")
+        half.coalesce(1).write.mode("overwrite").parquet(str(tmp_path / name / part))
+    return spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / name))
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    rng = random.Random(2)
+    prose = lambda n: " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) for _ in range(n))
+    item, other, third = prose(30), prose(40), prose(40)
+    near = other.split()
+    near[0] = "changed"
+    rows = [(1, None, "a"), (2, "", None), (3, "   ", "a"), (4, "one", "b"), (4, "one", "b"), (None, "one", "b")]
+    rows += [(5, other, "a"), (5, third, "a"), (6, "x " + item + " y", "a"), (6, prose(35), "a"), (None, item, None), (None, prose(33), "a"), (8, " ".join(near), "a"), (9, "word " * 30000, "b")]
+    bench = tmp_path / "tables"
+    spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string").write.parquet(str(bench / "benchmark.parquet"))
+    spark.createDataFrame([(4, 1), (9, 1)], "doc_id long, quality int").write.parquet(str(bench / "labels.parquet"))
+    docs = _stage_input(spark, tmp_path, "odd", rows)
+    got = {name: Counter((r.doc_id, r.text, r.source) for r in stage(spark, docs, str(bench)).collect()) for name, stage in corpus_pipeline.STAGES}
+    assert got["quality_classifier"] == got["mix_sources"] == got["shard_mix"] == Counter(rows)
+    one = Counter([(4, "one", "b")])
+    assert got["minhash_near_dedup"] == Counter(r for r in rows if r[1] not in ("one", item) and r[0] != 8) + one  # (6, "x ... y") is near the bare item
+    assert got["benchmark_decontamination"] == Counter(r for r in rows if not r[1] or item not in r[1])
+    empty = _stage_input(spark, tmp_path, "none", [(1, "a", "a")]).where("doc_id is null")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(bench)).count() == 0, name
