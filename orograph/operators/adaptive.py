@@ -6,6 +6,7 @@ small numpy problem (at most 257 x 257 pixels).
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -55,32 +56,83 @@ def rtin(height: np.ndarray, max_error: float) -> Mesh:
     return places, number.reshape(-1, 3)
 
 
+Triangle = tuple[int, int, int]
+
+
+def _named(i: int, j: int, k: int) -> Triangle:
+    """A triangle begins with its smallest corner."""
+    return (i, j, k) if i < j and i < k else (j, k, i) if j < k else (k, i, j)
+
+
 class Delaunay:
-    """Incremental Delaunay triangulation of whole-number points in a square; all predicates are exact."""
+    """Incremental Delaunay triangulation of whole-number points in a square; all predicates are exact.
+
+    ``third`` has the third corner behind each directed edge, so the triangle
+    around a point is walked to from the last one, and those whose circle holds
+    the point are found from there over their edges.
+    """
 
     def __init__(self, size: int):
         self.points = [(0, 0), (size, 0), (0, size), (size, size)]
-        self.triangles = {(0, 1, 2), (2, 1, 3)}
+        self.third: dict[tuple[int, int], int] = {}
+        for t in ((0, 1, 2), (2, 1, 3)):
+            self._add(t)
+        self.last = (0, 1)
+
+    def _add(self, t: Triangle) -> None:
+        i, j, k = t
+        self.third[i, j], self.third[j, k], self.third[k, i] = k, i, j
+
+    @property
+    def triangles(self) -> set[Triangle]:
+        return {_named(i, j, k) for (i, j), k in self.third.items()}
 
     def _side(self, i: int, j: int, p: tuple[int, int]) -> int:
         (ax, ay), (bx, by) = self.points[i], self.points[j]
         return (bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax)
 
-    def _in_circle(self, t: tuple[int, int, int], p: tuple[int, int]) -> bool:
+    def _in_circle(self, t: Triangle, p: tuple[int, int]) -> bool:
         (ax, ay), (bx, by), (cx, cy) = ((self.points[i][0] - p[0], self.points[i][1] - p[1]) for i in t)
         a, b, c = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
         return a * (bx * cy - by * cx) - b * (ax * cy - ay * cx) + c * (ax * by - ay * bx) > 0
 
-    def insert(self, p: tuple[int, int]) -> tuple[set, list]:
+    def _around(self, p: tuple[int, int]) -> Triangle:
+        i, j = self.last
+        while True:
+            k = self.third[i, j]
+            if self._side(j, k, p) < 0:
+                i, j = k, j
+            elif self._side(k, i, p) < 0:
+                i, j = i, k
+            elif self._side(i, j, p) < 0:
+                i, j = j, i
+            else:
+                return i, j, k
+
+    def insert(self, p: tuple[int, int]) -> tuple[set[Triangle], list[Triangle]]:
         """(removed, added) triangles; p must not be a vertex yet."""
         n = len(self.points)
-        bad = {t for t in self.triangles if self._in_circle(t, p)}
+        first = self._around(p)
         self.points.append(p)
-        edges = [(t[i], t[(i + 1) % 3]) for t in bad for i in range(3)]
-        border = set(edges) - {(j, i) for i, j in edges}
-        added = [(i, j, n) for i, j in sorted(border) if self._side(i, j, p) > 0]
-        self.triangles -= bad
-        self.triangles |= set(added)
+        bad, todo, border = {_named(*first)}, [first], []
+        while todo:
+            i, j, k = todo.pop()
+            for a, b in ((i, j), (j, k), (k, i)):
+                c = self.third.get((b, a))
+                t = None if c is None else _named(b, a, c)
+                if t in bad:
+                    continue
+                if t is not None and self._in_circle(t, p):
+                    bad.add(t)
+                    todo.append(t)
+                else:
+                    border.append((a, b))
+        for i, j, k in bad:
+            del self.third[i, j], self.third[j, k], self.third[k, i]
+        added = [_named(a, b, n) for a, b in sorted(border) if self._side(a, b, p) > 0]
+        for t in added:
+            self._add(t)
+        self.last = added[0][:2]
         return bad, added
 
 
@@ -102,25 +154,50 @@ def _worst(height: np.ndarray, points: np.ndarray) -> tuple[float, tuple[int, in
 def greedy(height: np.ndarray, max_error: float) -> Mesh:
     """The same by inserting the pixel with the largest error until none exceeds ``max_error``."""
     d = Delaunay(len(height) - 1)
-    worst = {t: _worst(height, np.array([d.points[i] for i in t])) for t in d.triangles}
-    while True:
-        error, (x, y) = max(worst.values(), key=lambda w: (w[0], -w[1][1], -w[1][0]))
-        if error <= max_error:
-            break
-        gone, new = d.insert((x, y))
-        for t in gone:
-            del worst[t]
-        worst |= {t: _worst(height, np.array([d.points[i] for i in t])) for t in new}
+    alive: set[Triangle] = set()
+    heap: list[tuple[float, int, int, Triangle]] = []
+
+    def enter(new: Iterable[Triangle]) -> None:
+        for t in new:
+            error, (x, y) = _worst(height, np.array([d.points[i] for i in t]))
+            alive.add(t)
+            if error > max_error:
+                heapq.heappush(heap, (-error, y, x, t))
+
+    enter(d.triangles)
+    while heap:
+        _, y, x, t = heapq.heappop(heap)
+        if t in alive:
+            gone, new = d.insert((x, y))
+            alive -= gone
+            enter(new)
     return np.array(d.points), np.array(sorted(d.triangles))
 
 
+def regular(height: np.ndarray, max_error: float) -> Mesh:
+    """A plain lattice of 18 cells at most, whatever the error: what an unknown method gives."""
+    side = len(height) - 1
+    n = min(18, side)
+    line = np.r_[(np.arange(n) * (side / n)).astype(np.int64), side]
+    ys, xs = (g.ravel() for g in np.meshgrid(line, line, indexing="ij"))
+    at = (np.arange(n)[:, None] * (n + 1) + np.arange(n)).ravel()
+    return np.column_stack([xs, ys]), np.concatenate([np.stack([at, at + 1, at + n + 1], 1), np.stack([at + n + 1, at + 1, at + n + 2], 1)])
+
+
 MESHERS: dict[str, Callable[[np.ndarray, float], Mesh]] = {"martini": rtin, "delatin": greedy}
 
 
+def _structs(parts: list[list[np.ndarray]], names: str, types: list[pa.DataType]) -> pa.Array:
+    """Lists of structs, from the columns of each list."""
+    columns = [pa.array(np.concatenate([np.zeros(0), *(p[i] for p in parts)]), pa.float64()).cast(t) for i, t in enumerate(types)]
+    offsets = np.cumsum([0, *(len(p[0]) for p in parts)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, names.split()))
+
+
 def _rows(schema: pa.Schema, keys: list, made: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    vertices = [[{"vx": int(x), "vy": int(y), "h": float(h)} for x, y, h in zip(*v.T, hs, strict=True)] for v, hs, _ in made]
-    triangles = [[{"a": int(a), "b": int(b), "c": int(c)} for a, b, c in t] for _, _, t in made]
-    return pa.RecordBatch.from_arrays([*keys, pa.array(vertices, schema.field("vertices").type), pa.array(triangles, schema.field("triangles").type)], schema=schema)
+    vertices = _structs([[v[:, 0], v[:, 1], h] for v, h, _ in made], "vx vy h", [pa.int64(), pa.int64(), pa.float64()])
+    triangles = _structs([[t[:, 0], t[:, 1], t[:, 2]] for _, _, t in made], "a b c", [pa.int64()] * 3)
+    return pa.RecordBatch.from_arrays([*keys, vertices.cast(schema.field("vertices").type), triangles.cast(schema.field("triangles").type)], schema=schema)
 
 
 _SCHEMA = pa.schema(
@@ -129,8 +206,11 @@ _SCHEMA = pa.schema(
 
 
 def triangulate(grids: DataFrame, method: str, *, max_error: float) -> DataFrame:
-    """z, x, y, vertices (vy from the south), triangles from ``heights``, the rows of a square raster, north first."""
-    mesher = MESHERS[method]
+    """z, x, y, vertices (vy from the south), triangles from ``heights``, the rows of a square raster, north first.
+
+    An unknown method gives a plain lattice.
+    """
+    mesher = MESHERS.get(method, regular)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

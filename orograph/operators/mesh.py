@@ -17,28 +17,34 @@ MOST_CELLS = 255
 GRID, MARTINI, EMPTY = 255, 256, 256
 
 
-def step(i: Column, n: int, size: int) -> Column:
+def cells(n: int | str) -> Column:
+    """Cells on a side, from a number or from the column that holds each tile's; MOST_CELLS at most."""
+    return F.least(F.col(n) if isinstance(n, str) else F.lit(n), F.lit(MOST_CELLS)).cast("long")
+
+
+def step(i: Column, n: Column, size: int) -> Column:
     """The place of lattice line i: evenly spaced, cut to a whole number, the last one exactly at the edge."""
-    return F.when(i == n, F.lit(size)).otherwise((i * (size / n)).cast("long")).cast("long")
+    return F.when(i == n, F.lit(size)).otherwise((i * (F.lit(float(size)) / n)).cast("long")).cast("long")
+
+
+def _lattice(tiles: DataFrame, last: Column) -> DataFrame:
+    line = F.sequence(F.lit(0).cast("long"), last)
+    return tiles.withColumn("j", F.explode(line)).withColumn("i", F.explode(line))
 
 
-def grid_vertices(tiles: DataFrame, n: int, *, size: int = GRID) -> DataFrame:
-    """i, j, vid, vx, vy for each of the (n + 1)² vertices, row by row."""
-    n = min(n, MOST_CELLS)
-    line = F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long"))
-    rows = tiles.withColumn("j", F.explode(line)).withColumn("i", F.explode(line))
-    return rows.withColumns({"vid": F.col("j") * (n + 1) + F.col("i"), "vx": step(F.col("i"), n, size), "vy": step(F.col("j"), n, size)})
+def grid_vertices(tiles: DataFrame, n: int | str, *, size: int = GRID) -> DataFrame:
+    """i, j, vid, vx, vy for each of the (n + 1)² vertices, row by row; ``n`` may be a column of the tiles."""
+    k = cells(n)
+    return _lattice(tiles, k).withColumns({"vid": F.col("j") * (k + 1) + F.col("i"), "vx": step(F.col("i"), k, size), "vy": step(F.col("j"), k, size)})
 
 
-def grid_triangles(tiles: DataFrame, n: int) -> DataFrame:
+def grid_triangles(tiles: DataFrame, n: int | str) -> DataFrame:
     """tid, a, b, c: two triangles for each cell, split from top right to bottom left."""
-    n = min(n, MOST_CELLS)
-    line = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
-    cells = tiles.withColumn("j", F.explode(line)).withColumn("i", F.explode(line))
-    corner = lambda dj, di: (F.col("j") + dj) * (n + 1) + F.col("i") + di
+    k = cells(n)
+    corner = lambda dj, di: (F.col("j") + dj) * (k + 1) + F.col("i") + di
     tl, tr, bl, br = corner(0, 0), corner(0, 1), corner(1, 0), corner(1, 1)
     two = F.array(F.struct(tl.alias("a"), tr.alias("b"), bl.alias("c")), F.struct(bl.alias("a"), tr.alias("b"), br.alias("c")))
-    rows = cells.select(*tiles.columns, (2 * (F.col("j") * n + F.col("i"))).alias("_first"), F.posexplode(two).alias("_k", "_t"))
+    rows = _lattice(tiles, k - 1).select(*tiles.columns, (2 * (F.col("j") * k + F.col("i"))).alias("_first"), F.posexplode(two).alias("_k", "_t"))
     return rows.select(*tiles.columns, (F.col("_first") + F.col("_k")).alias("tid"), "_t.a", "_t.b", "_t.c")
 
 
@@ -48,15 +54,10 @@ def sample(vertices: DataFrame, pixels: DataFrame, *, size: int = GRID) -> DataF
     return at.join(pixels, [*TILE, "row", "col"]).drop("row", "col")
 
 
-def rescale(vertices: DataFrame) -> DataFrame:
-    """lon, lat: vertex places stretched to the tile's box; the span is the tile's largest coordinate."""
-    span = F.max(F.greatest("vx", "vy")).over(Window.partitionBy(*TILE))
-    z, x, y = (F.col(c) for c in TILE)
-    b = tiling.bounds(z, x, y)
-    rows = vertices.withColumn("_span", span)
-    return rows.withColumns(
-        {"lon": b["left"] + F.col("vx") / F.col("_span") * (b["right"] - b["left"]), "lat": b["bottom"] + F.col("vy") / F.col("_span") * (b["top"] - b["bottom"])}
-    ).drop("_span")
+def rescale(vertices: DataFrame, *, size: int = GRID) -> DataFrame:
+    """lon, lat: vertex places, 0 to ``size``, stretched to the tile's box."""
+    b = tiling.bounds(*(F.col(c) for c in TILE))
+    return vertices.withColumns({"lon": b["left"] + F.col("vx") / size * (b["right"] - b["left"]), "lat": b["bottom"] + F.col("vy") / size * (b["top"] - b["bottom"])})
 
 
 def to_ecef(vertices: DataFrame) -> DataFrame:
@@ -67,18 +68,21 @@ def to_ecef(vertices: DataFrame) -> DataFrame:
 def vertex_normals(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
     """z, x, y, vid, nx, ny, nz: unit sums of the face normals around each vertex, weighted by area.
 
-    ``vertices`` has px, py, pz. A tile's vertices are gathered into a map once,
-    faces look their corners up there, and their sums stay in the tile's
-    partition: one shuffle of the vertices and one of the triangles.
+    ``vertices`` has vid (0-based, gapless) and px, py, pz. A tile's vertices
+    and triangles are gathered side by side once; faces look their corners up
+    by place, and their sums stay in the tile's partition. A vertex without a
+    face gives no row.
     """
-    point = F.struct("px", "py", "pz")
-    meshes = vertices.groupBy(*TILE).agg(F.map_from_entries(F.collect_list(F.struct("vid", point))).alias("_v"))
-    faces = triangles.join(meshes, list(TILE))
-    p, q, r = (tuple(F.col("_v")[F.col(c)][k] for k in ("px", "py", "pz")) for c in ("a", "b", "c"))
-    normal = geometry.cross(geometry.minus(q, p), geometry.minus(r, p))
-    faces = faces.select(*TILE, "a", "b", "c", *(c.alias(k) for c, k in zip(normal, ("fx", "fy", "fz"), strict=True)))
-    area = geometry.norm((F.col("fx"), F.col("fy"), F.col("fz"))) * 0.5
-    corners = faces.withColumn("_w", area).withColumn("vid", F.explode(F.array("a", "b", "c")))
+    points = vertices.groupBy(*TILE).agg(F.sort_array(F.collect_list(F.struct("vid", "px", "py", "pz"))).alias("v"))
+    faces = triangles.groupBy(*TILE).agg(F.collect_list(F.struct("a", "b", "c")).alias("t"))
+
+    def face(t: Column) -> Column:
+        p, q, r = (tuple(F.element_at(F.col("v"), (t[c] + 1).cast("int"))[k] for k in ("px", "py", "pz")) for c in ("a", "b", "c"))
+        normal = geometry.cross(geometry.minus(q, p), geometry.minus(r, p))
+        return F.struct(F.array(t["a"], t["b"], t["c"]).alias("at"), *(c.alias(k) for c, k in zip(normal, ("fx", "fy", "fz"), strict=True)))
+
+    made = points.join(faces, list(TILE)).select(*TILE, F.explode(F.transform("t", face)).alias("f")).select(*TILE, "f.*")
+    corners = made.withColumn("_w", geometry.norm((F.col("fx"), F.col("fy"), F.col("fz"))) * 0.5).withColumn("vid", F.explode("at"))
     sums = corners.groupBy(*TILE, "vid").agg(*(F.sum(F.col("_w") * F.col(f)).alias(n) for f, n in (("fx", "nx"), ("fy", "ny"), ("fz", "nz"))))
     unit = geometry.unit((F.col("nx"), F.col("ny"), F.col("nz")))
     return sums.select(*TILE, "vid", *(c.alias(k) for c, k in zip(unit, ("nx", "ny", "nz"), strict=True)))
@@ -93,7 +97,7 @@ def geocentric_normals(vertices: DataFrame) -> DataFrame:
 def empty_tiles(tiles: DataFrame, no_data: float, *, n: int = 20) -> DataFrame:
     """A flat mesh for each tile, with positions and geocentric normals."""
     flat = grid_vertices(tiles, n, size=EMPTY).withColumn("h", F.lit(float(no_data)))
-    return geocentric_normals(to_ecef(rescale(flat)))
+    return geocentric_normals(to_ecef(rescale(flat, size=EMPTY)))
 
 
 def is_empty(z: Column, min_zoom: Column) -> Column:

@@ -74,7 +74,7 @@ def grid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lattice lines of sizes where whole-number division would be wrong."""
     out = None
     for n in (18, 105, 117):
-        rows = spark.range(n + 1).select(F.col("id").alias("i"), mesh.step(F.col("id"), n, mesh.GRID).alias("place"), F.lit(n).cast("long").alias("n"))
+        rows = spark.range(n + 1).select(F.col("id").alias("i"), mesh.step(F.col("id"), F.lit(n).cast("long"), mesh.GRID).alias("place"), F.lit(n).cast("long").alias("n"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -91,14 +91,14 @@ def _raster(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
     return rows.select("z", "x", "y", "row", "col", F.expr("cast((tile * 31 + col * 7 + row * 13) % 97 as double)").alias("h"))
 
 
-@query(f"SELECT {_KEY}, vid, vx, vy, ((tile * 31 + vx * 7 + ({mesh.GRID} - vy) * 13) % 97)::DOUBLE AS h FROM {SQL_V} WHERE tile < 200")
+@query(f"SELECT {_KEY}, vid, vx, vy, ((tile * 31 + vx * 7 + ({mesh.GRID} - vy) * 13) % 97)::DOUBLE AS h FROM {SQL_V}")
 def grid_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heights at the vertices of all tiles, from their pixels; row 0 lies in the north."""
     v = vertices(spark, sf_dir).drop("h", "i", "j")
     return mesh.sample(v, _raster(spark, sf_dir, mesh.GRID))
 
 
-@query(f"SELECT {_KEY}, vid, vx, vy, ((tile * 31 + vx * 7 + ({mesh.MARTINI} - vy) * 13) % 97)::DOUBLE AS h FROM {sql_vertices(N, mesh.MARTINI)} WHERE tile < 200")
+@query(f"SELECT {_KEY}, vid, vx, vy, ((tile * 31 + vx * 7 + ({mesh.MARTINI} - vy) * 13) % 97)::DOUBLE AS h FROM {sql_vertices(N, mesh.MARTINI)}")
 def martini_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same on rasters of 257 x 257."""
     v = vertices(spark, sf_dir, size=mesh.MARTINI).drop("h", "i", "j")
@@ -300,17 +300,32 @@ for _method, (_taps, _kernel) in _KERNELS.items():
 # --- meshes that SQL cannot express: tested against plain versions ---------
 
 
+def grid_tiles(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
+    """lon, lat, h, positions and normals of grid tiles that agree with their neighbours.
+
+    Normals come from each tile's own faces, weighted by area; then normals and heights are averaged over shared edges.
+    """
+    normals = mesh.vertex_normals(mesh.to_ecef(mesh.rescale(vertices)), triangles)
+    joined = vertices.join(normals, ["z", "x", "y", "vid"])
+    return mesh.to_ecef(mesh.rescale(stitch.average_edges(joined, ["h", "nx", "ny", "nz"], size=mesh.GRID)))
+
+
 @query()
 def encode_grid_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantized-mesh bytes of the stitched grid tiles, with normals, compressed."""
-    v = stitch.average_edges(vertices(spark, sf_dir, 18), ["h"], size=mesh.GRID)
-    v = mesh.geocentric_normals(mesh.to_ecef(mesh.rescale(v)))
-    return encode.encode_tiles(v, mesh.grid_triangles(inputs.mesh_tiles(spark, sf_dir), 18))
+    """Quantized-mesh bytes of the stitched grid tiles of 35 x 35 cells, with normals, compressed."""
+    triangles = mesh.grid_triangles(inputs.mesh_tiles(spark, sf_dir), 35).drop("tile")
+    return encode.encode_tiles(grid_tiles(vertices(spark, sf_dir, 35).drop("tile"), triangles), triangles)
+
+
+#: Pixels on a side of the rasters of adaptive meshes, less one.
+SIDE = 256
 
 
 def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each mesh tile's raster of 33 x 33 in one row."""
-    h = F.expr("transform(sequence(0L, 1088L), k -> cast((tile * 31 + (k % 33) * (k % 33) div 5 + (k div 33) * 3) % 97 as float))")
+    """Each mesh tile's raster of 257 x 257 in one row: a slope, a bowl and a step; neighbours differ at their edges."""
+    c, r = f"(k % {SIDE + 1})", f"(k div {SIDE + 1})"
+    h = F.expr(f"""transform(sequence(0L, {(SIDE + 1) ** 2 - 1}L), k -> cast(
+        tile % 7 * 3 + {c} * {r} / 900.0 + pow({c} - 20 * (tile % 9) - 40, 2) / 400.0 + if({r} > 100 + tile % 50, 12.0, 0.0) as float))""")
     return inputs.mesh_tiles(spark, sf_dir).select("z", "x", "y", h.alias("heights"))
 
 
@@ -321,32 +336,44 @@ def martini_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def delatin_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adaptive.triangulate(_grids(spark, sf_dir), "delatin", max_error=12.0)
+    return adaptive.triangulate(_grids(spark, sf_dir), "delatin", max_error=4.0)
 
 
 @query()
 def martini_remesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adaptive meshes triangulated anew with their neighbours' edge vertices."""
-    return adaptive.remesh(adaptive.triangulate(_grids(spark, sf_dir), "martini", max_error=4.0), size=32)
+    return adaptive.remesh(adaptive.triangulate(_grids(spark, sf_dir), "martini", max_error=4.0), size=SIDE)
 
 
-def _adaptive_tiles(meshes: DataFrame) -> DataFrame:
-    """Bytes of adaptive meshes, with normals from their faces."""
+def adaptive_vertices(meshes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices with positions and normals, and triangles, of meshes with equal places on shared edges.
+
+    Heights are averaged over the edges, then normals are taken from the faces and averaged too.
+    """
     v, t = adaptive.flatten(meshes)
-    v = mesh.to_ecef(mesh.rescale(v))
-    return encode.encode_tiles(v.join(mesh.vertex_normals(v, t), ["z", "x", "y", "vid"]), t)
+    v = mesh.to_ecef(mesh.rescale(stitch.average_edges(v, ["h"], size=SIDE), size=SIDE))
+    v = v.join(mesh.vertex_normals(v, t), ["z", "x", "y", "vid"])
+    return stitch.average_edges(v, ["nx", "ny", "nz"], size=SIDE), t
+
+
+@query()
+def martini_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What martini_tiles encodes: neighbours agree on their edges in places, heights and normals."""
+    v, _ = adaptive_vertices(martini_remesh(spark, sf_dir))
+    return v.select("z", "x", "y", "vid", "vx", "vy", "h", "nx", "ny", "nz")
 
 
 @query()
 def martini_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles of adaptive meshes whose edges agree with their neighbours' in places and heights."""
-    meshes = adaptive.remesh(adaptive.triangulate(_grids(spark, sf_dir), "martini", max_error=4.0), size=32)
-    return _adaptive_tiles(meshes)
+    """Tiles of adaptive meshes whose edges agree with their neighbours' in places, heights and normals."""
+    return encode.encode_tiles(*adaptive_vertices(martini_remesh(spark, sf_dir)))
 
 
 @query()
 def delatin_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _adaptive_tiles(adaptive.triangulate(_grids(spark, sf_dir), "delatin", max_error=12.0))
+    """The same from greedy insertion."""
+    meshes = adaptive.remesh(adaptive.triangulate(_grids(spark, sf_dir), "delatin", max_error=4.0), size=SIDE)
+    return encode.encode_tiles(*adaptive_vertices(meshes))
 
 
 @query(f"SELECT z, x, y, true AS same FROM {SQL_MESH_TILES}")

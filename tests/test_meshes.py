@@ -49,10 +49,10 @@ def test_encoded_tiles_decode(spark, sf_dir):
     assert len(out) == 10
     for r in out:
         (low, high), v, t, edges, extensions = decode(gzip.decompress(bytes(r.data)))
-        assert len(v) == 19 * 19 and len(t) == 2 * 18 * 18 and low < high
-        assert v.min() == 0 and v.max() == 32767 and sorted(np.unique(t)) == list(range(361))
-        assert [len(e) for e in edges] == [19] * 4 and (v[edges[0], 0] == 0).all() and (v[edges[3], 1] == 32767).all()
-        assert len(extensions[encode.OCT_NORMALS]) == 2 * 361
+        assert len(v) == 36 * 36 and len(t) == 2 * 35 * 35 and low < high
+        assert v.min() == 0 and v.max() == 32767 and sorted(np.unique(t)) == list(range(1296))
+        assert [len(e) for e in edges] == [36] * 4 and (v[edges[0], 0] == 0).all() and (v[edges[3], 1] == 32767).all()
+        assert len(extensions[encode.OCT_NORMALS]) == 2 * 1296
         a, b, c = (v[t[:, i], :2] for i in range(3))
         area = np.abs((b - a)[:, 0] * (c - a)[:, 1] - (b - a)[:, 1] * (c - a)[:, 0]).sum()
         assert area == 2 * 32767**2  # the triangles cover the tile
@@ -93,8 +93,26 @@ def test_remeshed_tiles_share_their_edges(spark, sf_dir):
     out = {(r.x, r.y): r for r in plans.QUERIES["martini_remesh"](spark, sf_dir).collect()}
     for (x, y), r in out.items():
         if other := out.get((x + 1, y)):
-            assert {v.vy for v in r.vertices if v.vx == 32} == {v.vy for v in other.vertices if v.vx == 0}
-        assert sum(_area(r, t) for t in r.triangles) == 2 * 32 * 32
+            assert {v.vy for v in r.vertices if v.vx == 256} == {v.vy for v in other.vertices if v.vx == 0}
+        assert sum(_area(r, t) for t in r.triangles) == 2 * 256 * 256
+
+
+def test_adaptive_tiles_agree_on_their_edges(spark, sf_dir):
+    places, shared = {}, 0
+    for r in plans.QUERIES["martini_vertices"](spark, sf_dir).collect():
+        at = r.z, r.x * 256 + r.vx, r.y * 256 + 256 - r.vy
+        shared += at in places
+        assert places.setdefault(at, (r.h, r.nx, r.ny, r.nz)) == pytest.approx((r.h, r.nx, r.ny, r.nz), abs=1e-12)
+    assert shared > 100
+
+
+def test_delaunay_against_every_circle():
+    rng = np.random.default_rng(5)
+    d = adaptive.Delaunay(40)
+    for p in {tuple(map(int, p)) for p in rng.integers(0, 41, (150, 2))} - set(d.points):
+        d.insert(p)
+    assert sum(d._side(i, j, d.points[k]) for i, j, k in d.triangles) == 2 * 40 * 40
+    assert not any(d._in_circle(t, p) for t in d.triangles for p in d.points)
 
 
 @pytest.mark.parametrize("name", ["martini_tiles", "delatin_tiles"])
