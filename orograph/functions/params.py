@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # What a parameter is when nobody sets it.
 DEFAULTS = {
-    "cog": "./ctod/files/test_cog.tif",
+    "cog": "./data/default.tif",
     "minZoom": 1,
     "maxZoom": 18,
     "meshingMethod": "grid",

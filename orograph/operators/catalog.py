@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,8 +11,6 @@ from pyspark.sql import functions as F
 from orograph.functions import tiling
 
 BOX = ("left", "bottom", "right", "top")
-#: Extents up to this many bytes are broadcast; a larger catalog is binned first.
-BROADCAST_BYTES = 32_000_000
 
 
 def box(df_or_prefix: DataFrame | str, prefix: str = "") -> tuple[Column, Column, Column, Column]:
@@ -21,29 +20,40 @@ def box(df_or_prefix: DataFrame | str, prefix: str = "") -> tuple[Column, Column
 
 
 def _cells(df: DataFrame, zoom: int, name: str) -> DataFrame:
-    """A row for each cell of a coarse zoom that the row's box meets; touching counts."""
+    """A row for each cell of a zoom that the row's box meets (touching counts), and the first cell's place."""
     w = 180.0 / 2**zoom
-    span = lambda lo, hi: F.sequence(F.floor(lo / w).cast("long"), F.floor(hi / w).cast("long"))
     # a box that only touches a cell's edge must meet its neighbours on both sides
-    cells = df.withColumn("_cx", F.explode(span(F.col("left") + 180.0 - 1e-9, F.col("right") + 180.0 + 1e-9)))
-    return cells.withColumn("_cy", F.explode(span(F.lit(90.0) - F.col("top") - 1e-9, F.lit(90.0) - F.col("bottom") + 1e-9))).alias(name)
+    first = {"_x0": F.floor((F.col("left") + 180.0 - 1e-9) / w), "_y0": F.floor((F.lit(90.0) - F.col("top") - 1e-9) / w)}
+    last = {"_x1": F.floor((F.col("right") + 180.0 + 1e-9) / w), "_y1": F.floor((F.lit(90.0) - F.col("bottom") + 1e-9) / w)}
+    ends = df.withColumns({k: c.cast("long") for k, c in (first | last).items()})
+    cells = ends.withColumn("_cx", F.explode(F.sequence("_x0", "_x1"))).withColumn("_cy", F.explode(F.sequence("_y0", "_y1")))
+    return cells.drop("_x1", "_y1").alias(name)
 
 
-def prune(tiles: DataFrame, extents: DataFrame, *, zoom: int = 4, small: int | None = None) -> DataFrame:
-    """All pairs of a tile and an extent whose boxes meet.
+def cell_zoom(extents: DataFrame) -> int:
+    """A zoom whose cells are about as wide as the extents are on average, so that a cell holds few and a box meets few."""
+    width = extents.agg(F.avg(F.greatest(F.col("right") - F.col("left"), F.col("top") - F.col("bottom"), F.lit(1e-6)))).first()[0] or 180.0
+    return max(0, min(24, int(math.log2(180.0 / width))))
 
-    ``extents`` has ``ordinal`` and a box, ``tiles`` z, x, y and a box. A catalog
-    known to hold at most ``small`` rows is broadcast and compared directly;
-    otherwise both sides are binned to cells of a coarse zoom and joined on
-    these, and each pair is kept in one cell.
+
+def prune(tiles: DataFrame, extents: DataFrame, *, small: int = 10_000) -> DataFrame:
+    """All pairs of a tile and an extent whose boxes meet: z, x, y, ordinal.
+
+    ``extents`` has ``ordinal`` and a box, ``tiles`` z, x, y and a box; rows
+    repeated in either give repeated pairs, boxes with nulls none. A catalog of
+    at most ``small`` rows, which is counted, is broadcast and compared
+    directly; otherwise both sides are dealt to cells of a zoom that fits the
+    extents, and a pair stays in the first cell that both boxes meet.
     """
     meets = tiling.intersects(box("t"), box("e"))
-    if small is not None and small * 64 <= BROADCAST_BYTES:
+    if extents.limit(small + 1).count() <= small:
         pairs = tiles.alias("t").join(F.broadcast(extents.alias("e")), meets)
     else:
+        zoom = cell_zoom(extents)
         t, e = _cells(tiles, zoom, "t"), _cells(extents, zoom, "e")
-        pairs = t.join(e, (F.col("t._cx") == F.col("e._cx")) & (F.col("t._cy") == F.col("e._cy")) & meets)
-    return pairs.select("t.z", "t.x", "t.y", "e.ordinal").distinct()
+        here = (F.col("t._cx") == F.greatest("t._x0", "e._x0")) & (F.col("t._cy") == F.greatest("t._y0", "e._y0"))
+        pairs = t.join(e, (F.col("t._cx") == F.col("e._cx")) & (F.col("t._cy") == F.col("e._cy")) & here & meets)
+    return pairs.select("t.z", "t.x", "t.y", "e.ordinal")
 
 
 def fan_in_guard(pairs: DataFrame, *, most: int = 10, unsafe: bool = False) -> DataFrame:
@@ -134,13 +144,22 @@ def safe_level(files: DataFrame, *, tile_size: int = 256, budget: int = 4) -> Da
 
 
 def source_urls(vrt: DataFrame, base: Column) -> DataFrame:
-    """The sources of VRT documents as URLs: relative ones are joined to the folder of the VRT's own URL."""
+    """The sources of VRT documents: relative ones are joined to the folder of the VRT's own place, ``.`` and ``..`` resolved.
+
+    Sources that start with a slash, or are URLs, stay; only http(s) sources get the prefix for remote reading.
+    A document that is null or has no source gives no row.
+    """
     folder = F.regexp_replace(base, r"[^/]*$", "")
     sources = F.regexp_extract_all("xml", F.lit(r"<SourceFilename[^>]*>([^<]*)</SourceFilename>"), 1)
     rows = vrt.withColumn("_folder", folder).select("*", F.posexplode(sources).alias("n", "source"))
-    is_url = F.col("source").rlike("^https?://")
-    full = F.when(is_url, F.col("source")).otherwise(F.concat("_folder", "source"))
-    return rows.withColumn("url", F.concat(F.lit("/vsicurl/"), full)).drop("_folder")
+    full = F.when(F.col("source").rlike("^([a-z]+:/)?/"), F.col("source")).otherwise(F.concat("_folder", "source"))
+    head = F.regexp_extract(full, r"^([a-z]+://[^/]*)?", 0)
+    steps = F.split(F.expr("substr(_full, length(_head) + 1)"), "/")
+    # each step leaves the path as it is, shortens it by one, or goes on
+    path = F.aggregate(steps, F.array().cast("array<string>"), lambda p, s: F.when(s == ".", p).when((s == "..") & (F.size(p) > 1), F.slice(p, 1, F.size(p) - 1)).otherwise(F.concat(p, F.array(s))))
+    rows = rows.withColumn("_full", full).withColumn("_head", head).withColumn("_path", F.concat("_head", F.array_join(path, "/")))
+    prefix = F.when(F.col("_head").rlike("^https?:"), F.lit("/vsicurl/")).otherwise(F.lit(""))
+    return rows.withColumn("url", F.concat(prefix, "_path")).drop("_folder", "_full", "_head", "_path")
 
 
 def last_wins(options: DataFrame, name: str, order: str) -> DataFrame:

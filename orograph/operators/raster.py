@@ -53,7 +53,7 @@ def block_resample(pixels: DataFrame, key: Sequence[str], factor: int, method: s
     raise ValueError(f"unknown method {method!r}")
 
 
-def _kernel(method: str, d: Column) -> tuple[int, Column]:
+def kernel(method: str, d: Column) -> tuple[int, Column]:
     """(taps on each side, weight at distance d) of an interpolating kernel."""
     d = F.abs(d)
     if method == "bilinear":
@@ -75,10 +75,10 @@ def interpolate(points: DataFrame, pixels: DataFrame, key: Sequence[str], method
 
     Each point asks for its taps by row and column; taps that are missing carry no weight.
     """
-    taps, _ = _kernel(method, F.lit(0.0))
+    taps, _ = kernel(method, F.lit(0.0))
     offsets = F.sequence(F.lit(1 - taps), F.lit(taps))
     asked = points.withColumn("_r", F.explode(offsets)).withColumn("_c", F.explode(offsets))
     asked = asked.withColumns({"row": F.floor("py") + F.col("_r"), "col": F.floor("px") + F.col("_c")})
-    weight = _kernel(method, F.col("py") - F.col("row"))[1] * _kernel(method, F.col("px") - F.col("col"))[1]
+    weight = kernel(method, F.col("py") - F.col("row"))[1] * kernel(method, F.col("px") - F.col("col"))[1]
     met = asked.withColumn("_w", weight).where("_w <> 0").join(pixels, [*key, "row", "col"])
     return met.groupBy(*key, "pid").agg((F.sum(F.col("_w") * F.col("h")) / F.sum("_w")).alias("h"))

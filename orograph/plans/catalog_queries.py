@@ -17,7 +17,7 @@ SQL_PAIRS = f"(SELECT t.z, t.x, t.y, e.ordinal FROM {SQL_TILES} t JOIN {SQL_EXTE
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.prune(inputs.tiles(spark, sf_dir), inputs.extents(spark, sf_dir), small=inputs.EXTENTS)
+    return catalog.prune(inputs.tiles(spark, sf_dir), inputs.extents(spark, sf_dir))
 
 
 @query(f"SELECT z, x, y, ordinal FROM {SQL_PAIRS}")
@@ -29,7 +29,7 @@ def mosaic_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT z, x, y, ordinal FROM {SQL_PAIRS}")
 def mosaic_prune_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for a catalog of any size: joined by cells of a coarse zoom."""
-    return catalog.prune(inputs.tiles(spark, sf_dir), inputs.extents(spark, sf_dir))
+    return catalog.prune(inputs.tiles(spark, sf_dir), inputs.extents(spark, sf_dir), small=0)
 
 
 @query(f"SELECT * FROM (SELECT z, x, y, ordinal, count(*) OVER (PARTITION BY z, x, y) AS n FROM {SQL_PAIRS}) WHERE n <= 10")
@@ -44,7 +44,7 @@ def extents_touching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring boxes that share an edge meet."""
     rows = inputs.table(spark, sf_dir, "nation").selectExpr("cast(n_nationkey as bigint) as ordinal", "n_nationkey * 12.0D - 125.0D as left", "0.0D as bottom", "n_nationkey * 12.0D - 113.0D as right", "1.0D as top")
     tiles = rows.selectExpr("0L as z", "ordinal as x", "0L as y", "left", "bottom", "right", "top")
-    pairs = catalog.prune(tiles, rows, small=inputs.EXTENTS)
+    pairs = catalog.prune(tiles, rows)
     return pairs.where("x < ordinal").select(F.col("x").alias("ordinal"), F.col("ordinal").alias("other"))
 
 
@@ -106,7 +106,7 @@ def dataset_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("type", params.dataset_type(F.col("path")))
 
 
-@query(f"""SELECT id, coalesce(cog, './ctod/files/test_cog.tif') AS cog, coalesce(min_zoom, 1) AS min_zoom, coalesce(max_zoom, 18) AS max_zoom,
+@query(f"""SELECT id, coalesce(cog, './data/default.tif') AS cog, coalesce(min_zoom, 1) AS min_zoom, coalesce(max_zoom, 18) AS max_zoom,
            CASE WHEN meshing IN ('grid', 'martini', 'delatin') THEN meshing ELSE 'grid' END AS meshing, coalesce(no_data, 0e0) AS no_data, coalesce(skip_cache, false) AS skip_cache FROM {SQL_OPTIONS}""")
 def param_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = inputs.options(spark, sf_dir)
@@ -243,13 +243,27 @@ def overview_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(spark, sf_dir).select("path", catalog.overview_factor(F.col("overviews")).alias("factor"))
 
 
-@query(f"""SELECT z, x, y, path FROM {SQL_TILES}, (SELECT path, coalesce(min(z2), 0) AS level FROM (SELECT path, CASE WHEN ceil(least(180e0 / 2 ** z2, r - l) * (width / (r - l)) / (256 * factor)) <= 4 THEN z2 END AS z2
-           FROM (SELECT * FROM ({_FILES}) WHERE path::BIGINT < 20), (SELECT unnest(range(0, 24)) AS z2)) GROUP BY path) WHERE z >= level""")
+@query(f"""SELECT z, x, y, f.path FROM {SQL_TILES} t JOIN (SELECT *, 45e0 AS b, 45e0 + p AS t FROM (SELECT f.*, p_size / 10e0 AS p FROM ({_FILES}) f JOIN part ON p_partkey::VARCHAR = f.path)) f
+           ON NOT (t."left" > f.r OR t."right" < f.l OR t.bottom > f.t OR t.top < f.b)
+           JOIN (SELECT path, coalesce(min(z2), 0) AS level FROM (SELECT path, CASE WHEN ceil(least(180e0 / 2 ** z2, r - l) * (width / (r - l)) / (256 * factor)) <= 4 THEN z2 END AS z2
+           FROM ({_FILES}), (SELECT unnest(range(0, 24)) AS z2)) GROUP BY path) s ON s.path = f.path WHERE z >= level""")
 def unsafe_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles that a file may be read for: from its safe level on (twenty files, by their keys)."""
-    levels = catalog.safe_level(_files(spark, sf_dir).where("cast(path as bigint) < 20"))
-    tiles = inputs.tiles(spark, sf_dir).select("z", "x", "y").join(F.broadcast(levels))
-    return tiles.where(catalog.safe_to_read(F.col("z"), F.col("level"), F.lit(False))).select("z", "x", "y", "path")
+    """The files that each tile meets and may read: from a file's safe level on."""
+    files = _files(spark, sf_dir).withColumns({"ordinal": F.col("path").cast("long"), "bottom": F.lit(45.0), "top": F.expr("45.0D + (right - 5.0D)")})
+    pairs = catalog.prune(inputs.tiles(spark, sf_dir), files.select("ordinal", *catalog.BOX))
+    levels = catalog.safe_level(files).withColumn("ordinal", F.col("path").cast("long"))
+    return pairs.join(levels, "ordinal").where(catalog.safe_to_read(F.col("z"), F.col("level"), F.lit(False))).select("z", "x", "y", "path")
+
+
+_LOCAL = "concat('<VRT><SourceFilename relativeToVRT=\"1\">../up/', p_size, '.tif</SourceFilename><SourceFilename>./', p_brand, '.tif</SourceFilename><SourceFilename>/abs/x.tif</SourceFilename><SourceFilename>https://s.example/y.tif</SourceFilename></VRT>')"
+
+
+@query("""SELECT p_partkey AS id, n::INTEGER AS n, CASE n WHEN 0 THEN concat('data/up/', p_size, '.tif') WHEN 1 THEN concat('data/vrt/', p_brand, '.tif')
+           WHEN 2 THEN '/abs/x.tif' ELSE '/vsicurl/https://s.example/y.tif' END AS url FROM part, (SELECT unnest(range(0, 4)) AS n)""")
+def vrt_local_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources of local VRT documents: no prefix but for remote ones, dots resolved."""
+    rows = inputs.table(spark, sf_dir, "part").selectExpr("p_partkey as id", f"{_LOCAL} as xml")
+    return catalog.source_urls(rows, F.lit("data/vrt/mosaic.vrt")).select("id", "n", "url")
 
 
 @query(f"""SELECT id, concat_ws('_', coalesce(cog, '-'), coalesce(meshing, 'grid'), z, id % 7, id % 5, coalesce(grid_size::VARCHAR, '-')) AS key,

@@ -65,10 +65,6 @@ def extents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Rows of the mosaic's catalog.
-EXTENTS = 25
-
-
 def options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests' optional parameters, many of them null."""
     return table(spark, sf_dir, "part").selectExpr(

@@ -67,8 +67,8 @@ def metadata_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mosaic_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mosaic file holds its datasets in order."""
     root = inputs.shared_folder(spark, "mosaics")
-    mosaics.write(inputs.extents(spark, sf_dir), root, "all.ctod", "all")
-    return mosaics.read(spark, f"{root}/all.ctod")
+    mosaics.write(inputs.extents(spark, sf_dir), root, "all.json", "all")
+    return mosaics.read(spark, f"{root}/all.json")
 
 
 @query(f"SELECT z, x, y, concat(z, '/', x, '/', y) AS data FROM {SQL_MESH_TILES}")

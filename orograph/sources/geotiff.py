@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -145,37 +145,48 @@ def decode(data: bytes, h: dict) -> np.ndarray:
 _BLOCK = ["width", "height", "block_width", "block_height", "sample", "samples", "compression", "predictor", "nodata"]
 
 
+_BLOCKS = pa.schema([("path", pa.string()), *((c, pa.int64()) for c in ("level", "block", "row", "col", "columns")), ("heights", pa.list_(pa.float64())), ("error", pa.string())])
+_BLOCKS_DDL = "path string, level long, block long, row long, col long, columns long, heights array<double>, error string"
+
+
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("path", pa.string()), *((c, pa.int64()) for c in ("level", "row", "col", "columns")), ("heights", pa.list_(pa.float64()))])
     for b in batches:
-        rows = []
         for r in b.to_pylist():
             across = -(-r["width"] // r["block_width"])
             row, col = r["block"] // across * r["block_height"], r["block"] % across * r["block_width"]
             system, at = files.locate(r["path"])
-            with system.open_input_file(at) as source:
-                source.seek(r["offset"])
-                grid = decode(source.read(r["size"]), r)[: r["height"] - row, : r["width"] - col]
-            empty = np.isnan(grid) if r["nodata"] is None else np.isnan(grid) | (grid == r["nodata"])
-            heights = pa.array(grid.ravel(), pa.float64(), mask=empty.ravel())
-            rows.append((r["path"], r["level"], row, col, grid.shape[1], heights.to_pylist()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 6, schema, strict=True)], schema=schema)
-
-
-def blocks(found: DataFrame) -> DataFrame:
-    """path, level, row, col (of the first pixel), columns, heights (by rows; null without data) of the blocks of headers.
-
-    Filter the headers first: by level, by box. Blocks that a file leaves out give no row.
+            try:
+                with system.open_input_file(at) as source:
+                    source.seek(r["offset"])
+                    grid = decode(source.read(r["size"]), r)[: r["height"] - row, : r["width"] - col]
+            except (OSError, ValueError, zlib.error, zstandard.ZstdError) as e:
+                made = [pa.array([0], pa.int64()), pa.array([None], _BLOCKS.field("heights").type), pa.array([f"{type(e).__name__}: {e}"])]
+            else:
+                empty = np.isnan(grid) if r["nodata"] is None else np.isnan(grid) | (grid == r["nodata"])
+                flat = pa.array(grid.ravel(), pa.float64(), mask=empty.ravel())
+                made = [pa.array([grid.shape[1]], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat), pa.array([None], pa.string())]
+            keys = [pa.array([r["path"]]), *(pa.array([v], pa.int64()) for v in (r["level"], r["block"], row, col))]
+            yield pa.RecordBatch.from_arrays([*keys, made[0], made[1].cast(_BLOCKS.field("heights").type), made[2]], schema=_BLOCKS)
+
+
+def blocks(found: DataFrame, needed: DataFrame | None = None) -> DataFrame:
+    """path, level, block, row, col (of the first pixel), columns, heights (by rows; null without data), error of the blocks of headers.
+
+    ``needed`` names the blocks to read (path, level, block); without it all
+    are. Blocks that a file leaves out give no row; one that can't be read has
+    no heights and says why.
     """
     part = F.posexplode(F.arrays_zip("offsets", "sizes")).alias("block", "at")
     rows = found.where("error is null").select("path", "level", *_BLOCK, part).where("at.sizes > 0")
-    rows = rows.select("path", "level", *_BLOCK, "block", F.col("at.offsets").alias("offset"), F.col("at.sizes").alias("size"))
-    return rows.repartition("path", "level", "block").mapInArrow(_blocks, "path string, level long, row long, col long, columns long, heights array<double>")
+    rows = rows.select("path", "level", *_BLOCK, F.col("block").cast("long").alias("block"), F.col("at.offsets").alias("offset"), F.col("at.sizes").alias("size"))
+    if needed is not None:
+        rows = rows.join(needed, ["path", "level", "block"], "left_semi")
+    return rows.repartition("path", "level", "block").mapInArrow(_blocks, _BLOCKS_DDL)
 
 
 def pixels(found: DataFrame) -> DataFrame:
     """path, level, row, col, h of every pixel that has data."""
-    each = blocks(found).select("path", "level", F.col("row").alias("_r"), F.col("col").alias("_c"), "columns", F.posexplode("heights").alias("_i", "h")).where("h is not null")
+    each = blocks(found).where("heights is not null").select("path", "level", F.col("row").alias("_r"), F.col("col").alias("_c"), "columns", F.posexplode("heights").alias("_i", "h")).where("h is not null")
     return each.select("path", "level", F.expr("_r + _i div columns").alias("row"), F.expr("_c + _i % columns").alias("col"), "h")
 
 
@@ -184,27 +195,43 @@ def box(found: DataFrame) -> DataFrame:
     return found.withColumns({"right": F.col("left") + F.col("width") * F.col("pixel_x"), "bottom": F.col("top") - F.col("height") * F.col("pixel_y")})
 
 
-def encode(grid: np.ndarray, left: float, top: float, pixel: float, *, nodata: float | None = None, block: int = 256) -> bytes:
-    """A raster of heights as the bytes of a tiled, deflated file of one level."""
-    grid = np.asarray(grid, "<f4")
+def encode(grid: np.ndarray, left: float, top: float, pixel: float, *, nodata: float | None = None, block: int = 256, overviews: Sequence[int] = ()) -> bytes:
+    """A raster of heights as the bytes of a tiled, deflated file; each overview takes the first pixel of so many each way."""
+    out = b"II*\0" + bytes(4)
+    link = 4  # where the place of the next directory is written
+    for factor in (1, *overviews):
+        parts, directory = _level(np.asarray(grid, "<f4")[::factor, ::factor], left, top, pixel * factor, nodata, block, len(out))
+        at = len(out) + len(parts)
+        out = out[:link] + struct.pack("<I", at) + out[link + 4 :] + parts
+        data, link = directory(at)
+        out += data
+    return out
+
+
+def _level(grid: np.ndarray, left: float, top: float, pixel: float, nodata: float | None, block: int, start: int) -> tuple[bytes, Callable[[int], tuple[bytes, int]]]:
+    """The blocks of one level, and its directory (with the place of its link) once its own place is known."""
     rows, cols = (-(-n // block) * block for n in grid.shape)
     whole = np.full((rows, cols), 0 if nodata is None else nodata, "<f4")
     whole[: grid.shape[0], : grid.shape[1]] = grid
     parts = [zlib.compress(whole[r : r + block, c : c + block].tobytes()) for r in range(0, rows, block) for c in range(0, cols, block)]
-    offsets = (8 + np.cumsum([0, *map(len, parts)])).tolist()
+    offsets = (start + np.cumsum([0, *map(len, parts)])).tolist()
     tags = [(WIDTH, "I", (grid.shape[1],)), (HEIGHT, "I", (grid.shape[0],)), (BITS, "H", (32,)), (COMPRESSION, "H", (DEFLATE,)), (SAMPLES, "H", (1,))]
     tags += [(TILE_WIDTH, "I", (block,)), (TILE_HEIGHT, "I", (block,)), (TILES, "I", tuple(offsets[:-1])), (TILE_BYTES, "I", tuple(map(len, parts))), (KIND, "H", (3,))]
     tags += [(PIXEL_SCALE, "d", (pixel, pixel, 0.0)), (TIE_POINT, "d", (0.0, 0.0, 0.0, left, top, 0.0))]
     if nodata is not None:
         text = f"{nodata}\0".encode()
         tags.append((NODATA, "s", (text,)))
-    at, entries, tail = offsets[-1], [], b""
-    after = at + 2 + 12 * len(tags) + 4
-    for tag, code, values in tags:
-        n = len(values[0]) if code == "s" else len(values)
-        packed = struct.pack(f"<{n}{code}", *values)
-        field = next(k for k, v in FIELDS.items() if v == code)
-        if len(packed) > 4:
-            packed, tail = struct.pack("<I", after + len(tail)), tail + packed
-        entries.append(struct.pack("<HHI", tag, field, n) + packed.ljust(4, b"\0"))
-    return b"".join([b"II*\0", struct.pack("<I", at), *parts, struct.pack("<H", len(tags)), *entries, bytes(4), tail])
+
+    def directory(at: int) -> tuple[bytes, int]:
+        entries, tail = [], b""
+        after = at + 2 + 12 * len(tags) + 4
+        for tag, code, values in tags:
+            n = len(values[0]) if code == "s" else len(values)
+            packed = struct.pack(f"<{n}{code}", *values)
+            field = next(k for k, v in FIELDS.items() if v == code)
+            if len(packed) > 4:
+                packed, tail = struct.pack("<I", after + len(tail)), tail + packed
+            entries.append(struct.pack("<HHI", tag, field, n) + packed.ljust(4, b"\0"))
+        return b"".join([struct.pack("<H", len(tags)), *entries, bytes(4), tail]), after - 4
+
+    return b"".join(parts), directory
