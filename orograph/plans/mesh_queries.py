@@ -44,17 +44,28 @@ def rounded(df: DataFrame, keys: str, columns: str, places: int) -> DataFrame:
 
 SQL_V = sql_vertices(N, mesh.GRID)
 SQL_P = sql_ecef(sql_placed(SQL_V, mesh.GRID))
-SQL_T = f"""(SELECT tile, z, x, y, 2 * (j * {N} + i) + k AS tid, CASE k WHEN 0 THEN tl ELSE bl END AS a, tl + 1 AS b, CASE k WHEN 0 THEN bl ELSE bl + 1 END AS c FROM (
-    SELECT tile, z, x, y, i, j, k, j * {N + 1} + i AS tl, (j + 1) * {N + 1} + i AS bl
-    FROM {SQL_MESH_TILES}, (SELECT unnest(range(0, {N})) AS i), (SELECT unnest(range(0, {N})) AS j), (SELECT unnest([0, 1]) AS k)))"""
-SQL_NORMALS = f"""(SELECT z, x, y, vid, CASE WHEN l > 1e-8 THEN sx / l ELSE sx END AS nx, CASE WHEN l > 1e-8 THEN sy / l ELSE sy END AS ny, CASE WHEN l > 1e-8 THEN sz / l ELSE sz END AS nz FROM (
+
+
+def sql_triangles(tiles: str, n: int, keys: str) -> str:
+    return f"""(SELECT {keys}, 2 * (j * {n} + i) + k AS tid, CASE k WHEN 0 THEN tl ELSE bl END AS a, tl + 1 AS b, CASE k WHEN 0 THEN bl ELSE bl + 1 END AS c FROM (
+        SELECT {keys}, i, j, k, j * {n + 1} + i AS tl, (j + 1) * {n + 1} + i AS bl
+        FROM {tiles}, (SELECT unnest(range(0, {n})) AS i), (SELECT unnest(range(0, {n})) AS j), (SELECT unnest([0, 1]) AS k)))"""
+
+
+def sql_normals(triangles: str, pos: str) -> str:
+    """Area-weighted normals from triangles and a table of positions."""
+    at = lambda t, v: f"JOIN {pos} {t} ON {t}.z = t.z AND {t}.x = t.x AND {t}.y = t.y AND {t}.vid = t.{v}"
+    return f"""(SELECT z, x, y, vid, CASE WHEN l > 1e-8 THEN sx / l ELSE sx END AS nx, CASE WHEN l > 1e-8 THEN sy / l ELSE sy END AS ny, CASE WHEN l > 1e-8 THEN sz / l ELSE sz END AS nz FROM (
     SELECT *, sqrt(sx * sx + sy * sy + sz * sz) AS l FROM (
       SELECT z, x, y, vid, sum(w * fx) AS sx, sum(w * fy) AS sy, sum(w * fz) AS sz FROM (
         SELECT z, x, y, unnest([a, b, c]) AS vid, fx, fy, fz, 0.5e0 * sqrt(fx * fx + fy * fy + fz * fz) AS w FROM (
           SELECT t.z, t.x, t.y, t.a, t.b, t.c, (q.py - p.py) * (r.pz - p.pz) - (q.pz - p.pz) * (r.py - p.py) AS fx,
                  (q.pz - p.pz) * (r.px - p.px) - (q.px - p.px) * (r.pz - p.pz) AS fy, (q.px - p.px) * (r.py - p.py) - (q.py - p.py) * (r.px - p.px) AS fz
-          FROM {SQL_T} t JOIN pos p ON p.z = t.z AND p.x = t.x AND p.y = t.y AND p.vid = t.a JOIN pos q ON q.z = t.z AND q.x = t.x AND q.y = t.y AND q.vid = t.b
-               JOIN pos r ON r.z = t.z AND r.x = t.x AND r.y = t.y AND r.vid = t.c)) GROUP BY z, x, y, vid)))"""
+          FROM {triangles} t {at("p", "a")} {at("q", "b")} {at("r", "c")})) GROUP BY z, x, y, vid)))"""
+
+
+SQL_T = sql_triangles(SQL_MESH_TILES, N, "tile, z, x, y")
+SQL_NORMALS = sql_normals(SQL_T, "pos")
 _WITH_POS = f"WITH pos AS (SELECT * FROM {SQL_P}) "
 _EDGE = f"(vx IN (0, {mesh.GRID}) OR vy IN (0, {mesh.GRID}))"
 

@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orograph.operators import catalog, raster
-from orograph.plans import inputs
+from orograph.functions import params, tiling
+from orograph.operators import catalog, encode, mesh, raster, stitch, tile_read
+from orograph.plans import inputs, mesh_queries
 from orograph.plans.inputs import SQL_EXTENTS, SQL_MESH_TILES
 from orograph.plans.registry import query
 from orograph.sources import files, geotiff, mosaics
+from orograph.sources import tiles as stored
 
 #: The stand-in rasters: SIDE pixels wide with blocks of BLOCK, so that blocks at the edges are cut.
 SIDE, BLOCK, NODATA, PIXEL = 40, 16, 11.0, 0.025
@@ -77,3 +79,84 @@ def tile_files_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = inputs.shared_folder(spark, "terrain")
     files.write_tiles(inputs.mesh_tiles(spark, sf_dir).select("z", "x", "y", F.concat_ws("/", "z", "x", "y").cast("binary").alias("data")), root)
     return files.read_tiles(spark, root).select("z", "x", "y", F.col("data").cast("string").alias("data"))
+
+
+# --- from raster files to tiles -------------------------------------------
+
+#: The zoom of the tiles that are asked for; their grid has what the parameters say for it.
+ZOOM, CELLS = 8, 18
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tile around each raster's middle."""
+    rows = inputs.table(spark, sf_dir, "supplier").selectExpr(f"{ZOOM}L as z", "s_suppkey % 100 + 0.5D as lon", "s_suppkey div 100 - 0.5D as lat")
+    return rows.select("z", tiling.tile_x(F.col("lon"), F.col("z")).alias("x"), tiling.tile_y(F.col("lat"), F.col("z")).alias("y")).distinct()
+
+
+def _mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _headers(spark, sf_dir).withColumn("ordinal", F.regexp_extract("path", _NUMBER, 1).cast("long"))
+
+
+def tile_meshes(asked: DataFrame, mosaic: DataFrame, *, method: str = "nearest") -> tuple[DataFrame, DataFrame]:
+    """Vertices (stitched heights, positions, averaged normals) and triangles of the tiles asked for, from raster files.
+
+    The tiles around them are read too, since edges agree with all eight.
+    """
+    unset = F.lit(None).cast("string")
+    tiles = stitch.expand(asked).withColumn("cells", params.grid_size(F.col("z"), unset, unset))
+    triangles = mesh.grid_triangles(tiles, "cells").drop("cells")
+    heights = tile_read.tile_vertices(tiles, mosaic, cells="cells", method=method)
+    vertices = mesh_queries.grid_tiles(heights, triangles)
+    return tuple(df.join(asked, ["z", "x", "y"], "left_semi") for df in (vertices, triangles))
+
+
+_W = f"(180e0 / {2**ZOOM})"
+SQL_ASKED = f"(SELECT DISTINCT {ZOOM}::BIGINT AS z, floor((s_suppkey % 100 + 0.5e0 + 180e0) / {_W})::BIGINT AS x, floor((90e0 - (s_suppkey // 100 - 0.5e0)) / {_W})::BIGINT AS y FROM supplier)"
+_AROUND = f"(SELECT DISTINCT z, x + dx AS x, y + dy AS y FROM {SQL_ASKED}, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy) WHERE x + dx BETWEEN 0 AND {2 ** (ZOOM + 1) - 1} AND y + dy BETWEEN 0 AND {2**ZOOM - 1})"
+_AT = "CASE WHEN {c} = %d THEN 255 ELSE trunc({c} * (255 / %d))::BIGINT END" % (CELLS, CELLS)
+SQL_RASTER_TILES = f"""WITH around AS (SELECT * FROM {_AROUND}),
+    v AS (SELECT z, x, y, j * {CELLS + 1} + i AS vid, ({_AT.format(c="i")})::BIGINT AS vx, ({_AT.format(c="j")})::BIGINT AS vy
+          FROM around, (SELECT unnest(range(0, {CELLS + 1})) AS i), (SELECT unnest(range(0, {CELLS + 1})) AS j)),
+    p AS (SELECT *, -180e0 + x * {_W} + (vx + 0.5e0) * ({_W} / 256) AS lon, 90e0 - y * {_W} - (255 - vy + 0.5e0) * ({_W} / 256) AS lat FROM v),
+    f AS (SELECT s_suppkey AS t, (s_suppkey % 100)::DOUBLE AS l, (s_suppkey // 100)::DOUBLE AS top FROM supplier),
+    met AS (SELECT z, x, y, vid, t, (t * 31 + floor((lon - l) / {PIXEL}::DOUBLE)::BIGINT * 7 + floor((top - lat) / {PIXEL}::DOUBLE)::BIGINT * 13) % 97 AS h
+            FROM p JOIN f ON lon >= l AND lon < l + 1e0 AND lat <= top AND lat > top - 1e0),
+    h AS (SELECT z, x, y, vid, min_by(h, t)::DOUBLE AS h FROM met WHERE h <> {NODATA} GROUP BY z, x, y, vid),
+    own AS (SELECT v.*, coalesce(h, 0e0) AS h FROM v LEFT JOIN h ON h.z = v.z AND h.x = v.x AND h.y = v.y AND h.vid = v.vid),
+    pos AS (SELECT * FROM {mesh_queries.sql_ecef(mesh_queries.sql_placed("own", mesh.GRID))}),
+    n AS (SELECT own.*, nx, ny, nz FROM own JOIN {mesh_queries.sql_normals(mesh_queries.sql_triangles("around", CELLS, "z, x, y"), "pos")} s ON s.z = own.z AND s.x = own.x AND s.y = own.y AND s.vid = own.vid),
+    s AS (SELECT z, x, y, vid, vx, vy, {mesh_queries.sql_averaged("h nx ny nz")} FROM n)"""
+
+
+@query(f"""{SQL_RASTER_TILES} SELECT s.z, s.x, s.y, vid, vx, vy, round(h, 6) + 0e0 AS h, round(nx, 6) + 0e0 AS nx, round(ny, 6) + 0e0 AS ny, round(nz, 6) + 0e0 AS nz
+           FROM s JOIN {SQL_ASKED} a ON a.z = s.z AND a.x = s.x AND a.y = s.y""")
+def raster_tile_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From raster files to stitched vertices: files, levels, blocks, heights, grids by zoom, edges, normals."""
+    vertices, _ = tile_meshes(_asked(spark, sf_dir), _mosaic(spark, sf_dir))
+    return mesh_queries.rounded(vertices, "z, x, y, vid, vx, vy", "h nx ny nz", 6)
+
+
+def _generated(spark: SparkSession, asked: DataFrame, mosaic: DataFrame) -> DataFrame:
+    """The tiles' bytes, by way of the store: those that it has are not made again."""
+    root = inputs.shared_folder(spark, "tiles")
+    tiles = encode.encode_tiles(*tile_meshes(asked, mosaic))
+    stored.write(tiles.withColumn("code", tiling.morton(F.col("x"), F.col("y"))), root)
+    return stored.read(spark, root)
+
+
+@query(f"SELECT z, x, y, 'gzip' AS encoding FROM {SQL_ASKED}")
+def raster_to_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole request: raster files to stored tile bytes (their content is decoded in the tests)."""
+    return _generated(spark, _asked(spark, sf_dir), _mosaic(spark, sf_dir)).select("z", "x", "y", "encoding")
+
+
+@query(f"""SELECT 7::BIGINT AS z, x, y FROM (SELECT DISTINCT x, y FROM (SELECT (s_suppkey % 100)::DOUBLE AS l, (s_suppkey // 100)::DOUBLE AS t FROM supplier),
+             (SELECT unnest(range(0, 256)) AS x), (SELECT unnest(range(0, 128)) AS y)
+           WHERE x BETWEEN floor((l + 1e-11 + 180e0) / 1.40625e0) AND floor((l + 1e0 - 1e-11 + 180e0) / 1.40625e0)
+             AND y BETWEEN floor((90e0 - (t - 1e-11)) / 1.40625e0) AND floor((90e0 - (t - 1e0 + 1e-11)) / 1.40625e0))""")
+def seed_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeding that generates: the tiles of a zoom that the mosaic's rasters meet, made and stored."""
+    mosaic = _mosaic(spark, sf_dir)
+    ranges = catalog.availability(geotiff.box(mosaic).where("level = 0"), ["ordinal"], max_zoom=7, first=7)
+    seeds = catalog.seed_tiles(ranges).select(F.col("z").cast("long").alias("z"), "x", tiling.flip_y(F.col("y"), F.col("z")).alias("y")).distinct()
+    return _generated(spark, seeds, mosaic).select("z", "x", "y")
