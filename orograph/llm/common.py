@@ -16,9 +16,14 @@ _U = np.uint64
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one where that is unset (tests)."""
+    """The application's folder for scratch tables under spark.checkpoint.dir; where that is unset, a temporary one, in local mode only.
+
+    The tables stay until the application's folder is deleted: a result reads them when it is used.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="orograph-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/orograph-{spark.sparkContext.applicationId}"
