@@ -1,12 +1,14 @@
 """License scans: stock phrases, and an exact set-similarity join with license templates.
 
-A text block (a line, or overlapping windows of a long line or of the whole
-text, for notices wrapped over lines) matches a template when it contains at least ``threshold`` of the template's distinct words. The
-join is exact. Words are ordered by how many documents hold them, rarest first;
-a match must hold a word of the template's prefix (all but the last
-``needed - 1`` words in that order). Blocks with fewer words than needed fall
-to the length filter, and a first hit too late in the prefix to the positional
-filter; what is left is counted.
+A text block is as many consecutive words of a document as the template has,
+from any word on, over line breaks and comment marks; a shorter document is one
+block. It matches the template when it holds at least ``threshold`` of the
+template's distinct words. The join is exact. Words are ordered by how many
+documents hold them, rarest first; a match must hold a word of the template's
+prefix (all but the last ``needed - 1`` words in that order), and the first one
+it holds must leave ``needed`` words from there on. Documents with fewer of the
+template's words than needed fall to the length filter. What is left is counted
+by sliding over the places of the template's words.
 
 Only the counts of the templates' own words reach the driver. Defined results:
 null text counts as empty (no words, no labels, score 0); repeated rows each
@@ -40,38 +42,54 @@ TEMPLATES = {
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "unlicense": "This is free and unencumbered software released into the public domain",
+    "apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a
+        copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is
+        distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions
+        and limitations under the License.""",
+    "bsd-3-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+        materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+        derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR
+        IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
+        COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT
+        OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+        LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "gpl-notice-text": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software
+        Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
+        WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have
+        received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.""",
+    "isc-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and
+        this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER
+        RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+        PERFORMANCE OF THIS SOFTWARE.""",
+    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the
+        Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,
+        and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be
+        included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+        LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+        CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+        DEALINGS IN THE SOFTWARE.""",
 }
 
 #: Lower-cases A-Z and turns every other ASCII byte that is no letter or digit into a space; others stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-WINDOW, STEP = 64, 32
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def blocks_of(text: bytes) -> Iterator[list[bytes]]:
-    """The words of each line and of the whole text; over WINDOW words give windows, the last one ending with them."""
-    lines = [words for line in text.split(b"\n") if (words := words_of(line))]
-    if len(lines) > 1:
-        lines.append([w for words in lines for w in words])
-    for words in lines:
-        if len(words) <= WINDOW:
-            yield words
-            continue
-        for i in range(0, len(words) - WINDOW + STEP, STEP):
-            yield words[i : i + WINDOW]
-
-
 def places(words: list[bytes], phrases: dict[bytes, str]) -> list[tuple[int, str]]:
     """(start, label) wherever a phrase's words stand consecutively."""
     joined, found = b" " + b" ".join(words) + b" ", []
     for phrase, label in phrases.items():
-        at = joined.find(phrase)
+        at, passed, start = joined.find(phrase), 0, 0
         while at >= 0:
-            found.append((joined.count(b" ", 0, at), label))
-            at = joined.find(phrase, at + 1)
+            start += joined.count(b" ", passed, at)
+            found.append((start, label))
+            passed, at = at, joined.find(phrase, at + 1)
     return found
 
 
@@ -82,26 +100,45 @@ class Join:
         self.prefix: dict[bytes, list[tuple[int, int]]] = {}
         self.templates = []
         for label, text in sorted(templates.items()):
-            tokens = sorted(set(words_of(text.encode())), key=lambda w: (frequency.get(w, 0), w))
+            words = words_of(text.encode())
+            tokens = sorted(set(words), key=lambda w: (frequency.get(w, 0), w))
             needed = max(1, ceil(threshold * len(tokens) - 1e-9))
             for i, w in enumerate(tokens[: len(tokens) - needed + 1]):
                 self.prefix.setdefault(w, []).append((len(self.templates), i))
-            self.templates.append((label, frozenset(tokens), needed))
+            self.templates.append((label, frozenset(tokens), needed, len(words)))
 
-    def matches(self, block: list[bytes]) -> dict[str, float]:
-        have, first, found = set(block), {}, {}
+    def matches(self, words: list[bytes], have: frozenset[bytes] | set[bytes]) -> dict[str, float]:
+        """The best share of each template's words in a block, where it meets the threshold; ``have`` are the words, each once."""
+        first, found = {}, {}
         for w in have & self.prefix.keys():
             for t, i in self.prefix[w]:
                 first[t] = min(i, first.get(t, i))
         for t, i in first.items():
-            label, tokens, needed = self.templates[t]
-            if len(have) < needed or len(tokens) - i < needed:
+            label, tokens, needed, width = self.templates[t]
+            if len(tokens) - i < needed or len(tokens & have) < needed:
                 continue
-            if (n := len(tokens & have)) >= needed:
+            if (n := most_in(words, tokens, width)) >= needed:
                 found[label] = n / len(tokens)
         return found
 
 
+def most_in(words: list[bytes], tokens: frozenset[bytes], width: int) -> int:
+    """The most distinct tokens in ``width`` consecutive words."""
+    hits = [(i, w) for i, w in enumerate(words) if w in tokens]
+    held: dict[bytes, int] = {}
+    best = left = 0
+    for i, w in hits:
+        held[w] = held.get(w, 0) + 1
+        while hits[left][0] <= i - width:
+            gone = hits[left][1]
+            held[gone] -= 1
+            if not held[gone]:
+                del held[gone]
+            left += 1
+        best = max(best, len(held))
+    return best
+
+
 def _frequencies(vocabulary: frozenset[bytes]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = dict.fromkeys(vocabulary, 0)
@@ -124,11 +161,7 @@ def _scanner(join: Join, phrases: dict[str, str]):
         words = words_of(text)
         found = places(words, spaced)
         base = {label for _, label in found}
-        scores: dict[str, float] = {}
-        if not join.prefix.keys().isdisjoint(words):
-            for block in blocks_of(text):
-                for label, s in join.matches(block).items():
-                    scores[label] = max(s, scores.get(label, 0.0))
+        scores = {} if join.prefix.keys().isdisjoint(words) else join.matches(words, set(words))
         at = [i for i, _ in found]
         score = 1.0 if base else max(scores.values(), default=0.0)
         return len(words), len(found), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | scores.keys())), score
@@ -158,29 +191,26 @@ def scan_licenses(docs: DataFrame, *, templates: dict[str, str] | None = None, p
 
 
 def oracle(threshold: float = 0.8, templates: dict[str, str] | None = None) -> str:
-    """The same scan as DuckDB SQL, by comparing every block with every template."""
+    """The same scan as DuckDB SQL, by comparing every block of the documents that hold enough of a template's words."""
 
     def tokens(text: str) -> Sequence[str]:
         return sorted({w.decode() for w in words_of(text.encode())})
 
-    values = ", ".join(f"('{k}', {tokens(v)!r})" for k, v in sorted((TEMPLATES if templates is None else templates).items()))
+    chosen = sorted((TEMPLATES if templates is None else templates).items())
+    values = ", ".join(f"('{k}', {tokens(v)!r}, {len(words_of(v.encode()))})" for k, v in chosen)
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     split = r"regexp_extract_all(" + low + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     phrases = ", ".join(f"({k.split()!r}, '{v}')" for k, v in PHRASES.items())
     return f"""
-        WITH d AS (SELECT doc_id, {split.format("coalesce(text, '')")} AS w, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        WITH d AS (SELECT doc_id, {split.format("coalesce(text, '')")} AS w FROM documents),
         p(p, label) AS (VALUES {phrases}),
         b AS (SELECT doc_id, i - 1 AS start_word, label FROM (SELECT doc_id, w, p, label, unnest(range(1, len(w) - len(p) + 2)) AS i FROM d, p)
               WHERE w[i : i + len(p) - 1] = p),
         base AS (SELECT doc_id, count(*) AS n, min(start_word) AS f, max(start_word) AS l, list(DISTINCT label) AS ls FROM b GROUP BY doc_id),
-        lines AS (SELECT doc_id, {split.format("l")} AS w FROM (SELECT doc_id, unnest(ls) AS l FROM d)),
-        blocks AS (SELECT DISTINCT doc_id, list_sort(list_distinct(w)) AS w FROM (
-            SELECT doc_id, w FROM lines WHERE len(w) BETWEEN 1 AND {WINDOW}
-            UNION ALL SELECT doc_id, w[i + 1 : i + {WINDOW}] FROM (
-                SELECT doc_id, w, unnest(range(0, len(w) - {WINDOW} + {STEP}, {STEP})) AS i FROM lines WHERE len(w) > {WINDOW}))),
-        t(label, w) AS (VALUES {values}),
-        s AS (SELECT doc_id, label, len(list_intersect(blocks.w, t.w)) / len(t.w) AS c FROM blocks, t
-              WHERE len(list_intersect(blocks.w, t.w)) >= ceil({threshold} * len(t.w) - 1e-9)),
+        t(label, w, width) AS (VALUES {values}),
+        near AS (SELECT doc_id, d.w, t.w AS tw, label, width FROM d, t WHERE len(list_intersect(list_distinct(d.w), t.w)) >= ceil({threshold} * len(t.w) - 1e-9)),
+        blocks AS (SELECT doc_id, label, tw, w[i : i + width - 1] AS w FROM (SELECT *, unnest(range(1, greatest(1, len(w) - width + 1) + 1)) AS i FROM near)),
+        s AS (SELECT doc_id, label, n / m AS c FROM (SELECT doc_id, label, len(list_intersect(list_distinct(w), tw)) AS n, len(tw) AS m FROM blocks) WHERE n >= ceil({threshold} * m - 1e-9)),
         m AS (SELECT doc_id, list(DISTINCT label) AS ls, max(c) AS c FROM s GROUP BY doc_id)
         SELECT doc_id, len(d.w) AS n_words, coalesce(n, 0) AS n_base, f AS first_word, l AS last_word,
                coalesce(array_to_string(list_sort(base.ls), ','), '') AS base_labels,

@@ -303,6 +303,30 @@ def test_licenses_wrapped_over_lines(spark):
         assert wanted[r.doc_id] in r.labels.split(",") and r.score == 1.0, (wanted[r.doc_id], r)
 
 
+def test_licenses_at_any_width(spark):
+    """Wrapped at a few words a line, with words left out and others put in; a long template of one's own; brute force."""
+    rng = random.Random(21)
+    templates = licenses.TEMPLATES | {"own": " ".join(f"term{i}" for i in range(100))}
+    vocabulary = sorted({w.decode() for t in templates.values() for w in licenses.words_of(t.encode())})
+    rows = []
+    for text in templates.values():
+        for drop in (0.0, 0.1, 0.3):
+            words = [w for w in text.split() if rng.random() >= drop]
+            lines = [" ".join(words[i : i + 8]) for i in range(0, len(words), 8)]
+            rows.append((len(rows), " ".join(rng.choices(vocabulary, k=30)) + "\n * " + "\n * ".join(lines) + "\n" + " ".join(rng.choices(vocabulary, k=30)), "a"))
+    got = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, rows), templates=templates).collect()}
+    for d, text, _ in rows:
+        words, wanted = licenses.words_of(text.encode()), {}
+        for label, t in templates.items():
+            tokens, width = set(licenses.words_of(t.encode())), len(licenses.words_of(t.encode()))
+            best = max(len(tokens.intersection(words[i : i + width])) for i in range(max(1, len(words) - width + 1)))
+            if best >= 0.8 * len(tokens) - 1e-9:
+                wanted[label] = best / len(tokens)
+        base = {v for k, v in licenses.PHRASES.items() if f" {k} " in f" {b' '.join(words).decode()} "}
+        assert got[d].labels == ",".join(sorted(base | wanted.keys())) and (base or got[d].score == pytest.approx(max(wanted.values(), default=0)))
+        assert d % 3 or list(templates)[d // 3] in wanted
+
+
 def test_quality_on_rows_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     scored = {r.doc_id: r for r in quality.score_quality(docs, quality.train(docs, labels)).collect()}
