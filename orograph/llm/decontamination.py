@@ -58,6 +58,17 @@ def best_match(item: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def merged(windows: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Sorted windows, those that overlap or touch as one, so that no part of a text is compared twice."""
+    start, end = windows[0]
+    for lo, hi in windows[1:]:
+        if lo > end:
+            yield start, end
+            start = lo
+        end = max(end, hi)
+    yield start, end
+
+
 class Finder:
     def __init__(self, items: list[tuple[int, str]], rate: float):
         self.items = [(i, t, int(rate * len(t))) for i, t in items]
@@ -83,13 +94,8 @@ class Finder:
             if exact:
                 found.append((item_id, 0, min(exact) + len(item)))
                 continue
-            best, done = None, -1
-            for s in sorted(where):
-                # one window for all starts that lie within it
-                lo, hi = max(0, s - budget), min(len(text), s + len(item) + budget)
-                if hi <= done:
-                    continue
-                done = hi
+            best = None
+            for lo, hi in merged([(max(0, s - budget), min(len(text), s + len(item) + budget)) for s in sorted(where)]):
                 edits, end = best_match(item, text[lo:hi])
                 if edits <= budget and (best is None or edits < best[0]):
                     best = edits, lo + end

@@ -16,6 +16,7 @@ rows each give a row; a doc_id with several labels counts as its lowest.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -124,17 +125,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = 6000) -> Model:
-    """The model; at most ``sample`` labelled rows leave the executors, as feature numbers."""
+    """The model; at most ``sample`` labelled documents leave the executors, each as the distinct numbers of its features (BITS bounds them).
+
+    Rows that share a doc_id count once, with the smallest of their texts.
+    """
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     chosen = marked.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"))
-    picked = texts.join(F.broadcast(chosen), "doc_id")  # the sample bounds the broadcast side
-    rows = picked.select("doc_id", "quality", "text").mapInArrow(_extract, "doc_id long, quality int, features array<int>")
+    picked = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # the sample bounds both
+    rows = picked.mapInArrow(_extract, "doc_id long, quality int, features array<int>")
     held = rows.select("doc_id", "quality", "features").toArrow()
     order = np.argsort(held.column("doc_id").to_numpy(), kind="stable")
     quality = held.column("quality").to_numpy()[order]
-    lists = held.column("features").to_pylist()
-    return fit([np.array(lists[i], np.int32) for i in order], quality)
+    lists = [c.values.to_numpy()[i:j] for c in held.column("features").chunks for i, j in pairwise(c.offsets.to_numpy())]
+    return fit([lists[i] for i in order], quality)
 
 
 def _scorer(model: Model):

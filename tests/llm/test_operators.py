@@ -179,6 +179,15 @@ def test_leaks_against_every_pair(spark):
     assert got == wanted and items7
 
 
+def test_leaks_with_a_piece_that_repeats(spark):
+    item = "abcabcabcabcabcabcabcabcxyz"
+    docs = [(1, "abc" * 400 + "abcabcabcabcabcabcabcabcxyz", "a"), (2, "abc" * 400, "a"), (3, "", "a"), (4, None, "a")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = [(r.doc_id, r.edits, r.end) for r in decontamination.find_leaks(frame(spark, docs), bench).collect()]
+    assert got == [(1, 0, 1227)]
+    assert decontamination.find_leaks(frame(spark, []), bench).count() == 0 and decontamination.find_leaks(frame(spark, docs), bench.where("item_id > 5")).count() == 0
+
+
 def test_planted_passages_are_found(spark):
     rng = random.Random(6)
     words = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
