@@ -91,6 +91,22 @@ def layer_json(ranges: DataFrame, key: Sequence[str], *, levels: int | None = No
     return rows.select(*key, F.to_json(levels_of if levels is None else F.slice(levels_of, 1, levels)).alias("available"))
 
 
+def layer_documents(ranges: DataFrame, boxes: DataFrame, key: str, *, query: Column, max_zoom: int) -> DataFrame:
+    """``key`` and ``document``: the whole layer description of each dataset as JSON.
+
+    ``boxes`` has the key and a box; ``query`` is the parameters' URL part, such
+    as ``&cog=a`` (empty or null: none); ``available`` goes from zoom 0 to ``max_zoom``.
+    """
+    available = layer_json(ranges, [key], levels=max_zoom + 1).select(key, F.from_json("available", "array<array<struct<startX: bigint, startY: bigint, endX: bigint, endY: bigint>>>").alias("available"))
+    url = F.concat(F.lit("{z}/{x}/{y}.terrain?v={version}"), F.coalesce(query, F.lit("")))
+    # Fixed values of the format; the box of the world is what viewers expect here.
+    fixed = {"tilejson": "2.1.0", "name": "orograph", "description": "Terrain tiles", "version": "1.1.0", "format": "quantized-mesh-1.0", "attribution": "", "schema": "tms"}
+    parts = [F.lit(v).alias(k) for k, v in fixed.items()]
+    parts += [F.array(F.lit("octvertexnormals")).alias("extensions"), F.array(url).alias("tiles"), F.lit("EPSG:4326").alias("projection")]
+    parts += [F.array(*map(F.lit, (0.0, -90.0, 180.0, 90.0))).alias("bounds"), F.array(*BOX).alias("cogBounds"), F.col("available")]
+    return boxes.join(available, key).select(key, F.to_json(F.struct(*parts)).alias("document"))
+
+
 def seed_tiles(ranges: DataFrame) -> DataFrame:
     """Every tile of the ranges with its Morton code; x, y with y from the south."""
     rows = ranges.withColumn("x", F.explode(F.sequence("start_x", "end_x"))).withColumn("y", F.explode(F.sequence("start_y", "end_y")))

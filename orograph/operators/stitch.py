@@ -32,11 +32,16 @@ def average_edges(vertices: DataFrame, columns: Sequence[str], *, size: int) ->
     return vertices.where(~on_edge(size)).unionByName(edge)
 
 
+def inputs_of(requests: DataFrame) -> DataFrame:
+    """A row for each tile that a request (z, x, y and any others) needs: its own and its up to eight neighbours."""
+    ring = F.array(F.struct(F.lit(0).alias("dx"), F.lit(0).alias("dy")), *(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for _, dx, dy in tiling.DIRECTIONS))
+    rows = requests.withColumn("_d", F.explode(ring)).withColumns({"x": F.col("x") + F.col("_d.dx"), "y": F.col("y") + F.col("_d.dy")}).drop("_d")
+    return rows.where(tiling.in_matrix(F.col("z"), F.col("x"), F.col("y")))
+
+
 def expand(requested: DataFrame) -> DataFrame:
     """The requested tiles and their neighbours, each once: what has to be read before edges can be averaged."""
-    ring = F.array(F.struct(F.lit(0).alias("dx"), F.lit(0).alias("dy")), *(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for _, dx, dy in tiling.DIRECTIONS))
-    rows = requested.select("z", "x", "y", F.explode(ring).alias("d")).select("z", (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"))
-    return rows.where(tiling.in_matrix(F.col("z"), F.col("x"), F.col("y"))).distinct()
+    return inputs_of(requested.select("z", "x", "y")).distinct()
 
 
 def neighbours(tiles: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ from orograph.operators import catalog, encode, mesh, raster, stitch, tile_read
 from orograph.plans import inputs, mesh_queries
 from orograph.plans.inputs import SQL_EXTENTS, SQL_MESH_TILES
 from orograph.plans.registry import query
-from orograph.sources import files, geotiff, mosaics
+from orograph.plans.tile_queries import sql_ranges
+from orograph.sources import datasets, files, geotiff, mosaics
 from orograph.sources import tiles as stored
 
 #: The stand-in rasters: SIDE pixels wide with blocks of BLOCK, so that blocks at the edges are cut.
@@ -160,3 +161,51 @@ def seed_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranges = catalog.availability(geotiff.box(mosaic).where("level = 0"), ["ordinal"], max_zoom=7, first=7)
     seeds = catalog.seed_tiles(ranges).select(F.col("z").cast("long").alias("z"), "x", tiling.flip_y(F.col("y"), F.col("z")).alias("y")).distinct()
     return _generated(spark, seeds, mosaic).select("z", "x", "y")
+
+
+# --- configurations and layer descriptions --------------------------------
+
+SQL_CONFIG = """(SELECT concat('c', p_size % 10) AS file, p_partkey AS id, CASE WHEN p_partkey % 97 <> 96 THEN concat('d', p_partkey % 40) END AS name, concat('./', p_brand, '.tif') AS cog,
+    CASE WHEN p_size % 3 = 0 THEN (p_size % 5)::BIGINT END AS min_zoom, CASE WHEN p_size % 4 = 0 THEN 'martini' END AS meshing, CASE WHEN p_size % 6 = 0 THEN p_size::DOUBLE END AS no_data,
+    CASE WHEN p_size % 8 = 0 THEN concat('{"15":', p_size, '.0}') END AS grid_sizes FROM part)"""
+
+
+@query(f"""SELECT c.file, name, cog, min_zoom, meshing, no_data, grid_sizes FROM {SQL_CONFIG} c LEFT JOIN (SELECT file, min(id) AS stop FROM {SQL_CONFIG} WHERE name IS NULL GROUP BY file) s ON s.file = c.file
+           WHERE stop IS NULL OR id < stop QUALIFY row_number() OVER (PARTITION BY c.file, name ORDER BY id DESC) = 1""")
+def dataset_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configurations written and read: an unnamed dataset ends its file, the last of a name stays."""
+    root = inputs.shared_folder(spark, "configs")
+    rows = inputs.table(spark, sf_dir, "part").selectExpr(
+        "concat('c', p_size % 10) as file",
+        "p_partkey as ordinal",
+        "case when p_partkey % 97 <> 96 then concat('d', p_partkey % 40) end as name",
+        "concat('./', p_brand, '.tif') as cog",
+        "case when p_size % 3 = 0 then cast(p_size % 5 as bigint) end as min_zoom",
+        "case when p_size % 4 = 0 then 'martini' end as meshing",
+        "case when p_size % 6 = 0 then cast(p_size as double) end as no_data",
+        "case when p_size % 8 = 0 then map('15', cast(p_size as double)) end as grid_sizes",
+    )
+    datasets.write(rows, root)
+    return datasets.read(spark, root).where("problem is null").select("file", "name", "cog", "min_zoom", "meshing", "no_data", "grid_sizes")
+
+
+_LEVELS = 7
+_LAYER = "tilejson string, version string, format string, schema string, projection string, extensions array<string>, tiles array<string>, bounds array<double>, cogBounds array<double>, available array<array<struct<startX: bigint, startY: bigint, endX: bigint, endY: bigint>>>"
+
+
+@query(f"""SELECT ordinal, z, start_x, start_y, end_x, end_y, '2.1.0' AS tilejson, '1.1.0' AS version, 'quantized-mesh-1.0' AS format, 'tms' AS "schema", 'EPSG:4326' AS projection,
+             'octvertexnormals' AS extension, concat('{{z}}/{{x}}/{{y}}.terrain?v={{version}}&minZoom=', ordinal % 4, '&cog=', name) AS tile, 180e0 AS east, e."left", e.top
+           FROM (SELECT ordinal, 0 AS z, 0 AS start_x, 0 AS start_y, 1 AS end_x, 0 AS end_y FROM {SQL_EXTENTS} UNION ALL
+                 SELECT ordinal, z, start_x, start_y, end_x, end_y FROM {sql_ranges(SQL_EXTENTS, 'ordinal', _LEVELS)}) r JOIN {SQL_EXTENTS} e USING (ordinal)""")
+def layer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layer descriptions written to files, and read back as a row for each zoom."""
+    root, boxes = inputs.shared_folder(spark, "layers"), inputs.extents(spark, sf_dir)
+    ranges = catalog.availability(boxes, ["ordinal"], max_zoom=_LEVELS, first=0)
+    url = F.concat(F.lit("&"), params.query_url(F.lit(""), minZoom=F.col("ordinal") % 4, cog=F.col("name")).substr(F.lit(2), F.lit(10_000)))
+    docs = catalog.layer_documents(ranges, boxes, "ordinal", query=url, max_zoom=_LEVELS)
+    files.write(docs.select(F.concat(F.col("ordinal").cast("string"), F.lit("/layer.json")).alias("name"), F.col("document").cast("binary").alias("data")), root)
+    read = spark.read.schema(_LAYER).option("recursiveFileLookup", "true").json(root).withColumn("ordinal", F.regexp_extract(F.input_file_name(), r"(\d+)/layer\.json$", 1).cast("long"))
+    rows = read.select("*", F.posexplode("available").alias("z", "r")).withColumn("r", F.col("r")[0])
+    places = [F.col(f"r.{k}").alias(c) for k, c in (("startX", "start_x"), ("startY", "start_y"), ("endX", "end_x"), ("endY", "end_y"))]
+    last = [F.col("extensions")[0].alias("extension"), F.col("tiles")[0].alias("tile"), F.col("bounds")[2].alias("east"), F.col("cogBounds")[0].alias("left"), F.col("cogBounds")[3].alias("top")]
+    return rows.select("ordinal", "z", *places, "tilejson", "version", "format", "schema", "projection", *last)
