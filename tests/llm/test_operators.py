@@ -99,6 +99,42 @@ def test_too_fine_weights_are_an_error(spark):
         mixing.lay_out(spark.createDataFrame([("a", 10_000_000), ("b", 1)], "source string, weight long")).collect()
 
 
+def test_shards_against_a_plain_cut(spark, table):
+    rows = [(r.doc_id, r.text, r.source) for r in table] + ODD + [(500 + i, "same text", "a") for i in range(150)]
+    docs = frame(spark, rows)
+    hashes = [(r.h, r.c, r.n, r.doc_id) for r in docs.selectExpr("xxhash64(cast(coalesce(text, '') as binary)) as h", "crc32(cast(coalesce(text, '') as binary)) as c", "length(cast(coalesce(text, '') as binary)) + 1 as n", "doc_id").collect()]
+    hashes.sort(key=lambda r: (*r[:3], r[3] is not None, r[3] or 0))
+    total, start, wanted, slots = sum(r[2] for r in hashes), 0, Counter(), Counter()
+    for _, c, n, d in hashes:
+        shard = min(6, (2 * start + n) * 7 // (2 * total))
+        wanted[d, n, c, shard, slots[shard]] += 1
+        slots[shard] += 1
+        start += n
+    got = Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in sharding.shard_documents(docs, shards=7).collect())
+    assert got == wanted
+
+
+def test_mix_against_plain_turns(spark):
+    rng = random.Random(4)
+    rows = [(i, "t", rng.choice(["a"] * 9 + ["b"] * 4 + ["c", None])) for i in range(300)]
+    weights = {"a": 14, "b": 10, "c": 4, None: 2}
+    got = sorted(mixing.mix_positions(frame(spark, rows), spark.createDataFrame([(s, w) for s, w in weights.items() if s], "source string, weight long").union(spark.createDataFrame([(None, 2)], "source string, weight long"))).collect(), key=lambda r: r.position)
+    left = defaultdict(list)
+    for d, _, s in rows:
+        left[s].append(d)
+    weights = {s: w // 2 for s, w in weights.items()}
+    cycle, names = sum(weights.values()), sorted(weights, key=lambda s: (s is not None, s or ""))
+    sent, wanted, t = dict.fromkeys(names, 0), [], 0
+    while len(wanted) < len(rows):  # one turn after the other: of the released blocks the one due first
+        free = [(-(-(sent[s] + 1) * cycle // weights[s]), i, s) for i, s in enumerate(names) if sent[s] * cycle // weights[s] <= t]
+        s = min(free)[2]
+        if sent[s] < len(left[s]):
+            wanted.append(left[s][sent[s]])
+        sent[s] += 1
+        t += 1
+    assert [r.doc_id for r in got] == wanted
+
+
 def test_exact_dedup_trusts_no_key(spark, table):
     rows = [(r.doc_id, r.text, r.source) for r in table[:60]] + ODD + [(80, "a  b", "a"), (81, "a\tb", "a"), (82, " a b", "a")]
     groups = defaultdict(list)
