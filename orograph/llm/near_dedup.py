@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orograph.llm.common import each_text, runs, scratch, small, utf8, word_hashes
+from orograph.llm.common import discard, each_text, runs, scratch, small, utf8, word_hashes
 
 #: Words in a shingle, values in a sketch, values with inverted lists.
 WORDS, K, LISTED = 5, 256, 16
@@ -188,7 +188,8 @@ def _common(sets: DataFrame, roots: DataFrame) -> DataFrame:
 
     Shingles are told apart by 32 bits here, which can only raise ``s``.
     """
-    held = _rooted(sets.select("node", F.explode("values").alias("token")).withColumn("token", F.expr("cast(token % 2147483648 as int)")), roots)
+    held = sets.select("node", F.explode("values").alias("token")).withColumn("token", F.expr("cast(token % 2147483648 as int)"))
+    held = _rooted(held, small(roots))
     tokens = held.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi")
     tokens = scratch(tokens.select("token", "c"), "tokens")
     met = held.select("node", "token").join(tokens, "token")
@@ -258,10 +259,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met = entries.where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("times"))
     best = met.groupBy("node").agg(F.max(F.struct("times", (-F.col("head")).alias("h"))).alias("m")).where("m.times >= 2")
     pairs = scratch(best.select((-F.col("m.h")).alias("a"), F.col("node").alias("b")), "pairs")
-    links = _links(pairs, _node_sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), nodes, texts))
+    sets = _node_sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), nodes, texts)
+    links = _links(pairs, sets)
+    discard(sets, pairs)
     roots = scratch(components(links), "roots")
 
     opened = scratch(_open_lists(_rooted(entries.drop("c", "head"), roots)).drop("c"), "open")
+    discard(entries)
     often = opened.groupBy("node").agg(F.count(F.lit(1)).alias("_times")).where(F.col("_times") >= LEAST_LISTS).select("node")
     often = scratch(often, "often")
     sets = _node_sets(often.withColumnRenamed("node", "doc_id"), nodes, texts)
