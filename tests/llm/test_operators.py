@@ -50,12 +50,35 @@ def _library():
 def test_token_counts_equal_the_library(spark, table):
     path, library = _library()
     texts = [(r.doc_id, r.text, r.source) for r in table] + ODD + [(90, "<|endoftext|> a<|endoftext|>", "a"), (91, "x" * 5000, "a"), (92, "  \n\n   don't '80s ½²", "a")]
-    for chunk in (7, 65536):
-        out = token_counts.token_counts(frame(spark, texts[-40:]), path, chunk_chars=chunk)
+    for chunk, whole in ((50, 200), (65536, 1 << 20)):
+        out = token_counts.token_counts(frame(spark, texts[-40:]), path, chunk_chars=chunk, long_chars=whole)
         wanted = Counter((d, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 512) for d, t, _ in texts[-40:])
         assert Counter(map(tuple, out.collect())) == wanted
 
 
+def test_one_long_text_over_many_rows(spark, table):
+    path, library = _library()
+    text = " ".join(r.text or "" for r in table) * 4 + "<|endoftext|>" * 3 + "x" * 3000
+    assert len(text) > 1_500_000
+    docs = frame(spark, [(1, text, "a"), (1, text, "a"), (2, text[1:], "a"), (3, "short", "a")])
+    out = token_counts.token_counts(docs, path, chunk_chars=10_000, long_chars=100_000).collect()
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    assert sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in out) == [(d, len(t.encode()), count(t)) for d, t in ((1, text), (1, text), (2, text[1:]), (3, "short"))]
+
+
+def test_maps_of_chunks_compose(table):
+    path, library = _library()
+    t = token_counts.Transducer(path)
+    rng = random.Random(3)
+    odd = ["don't I'll 'sx !'s 'rex ''s", "  \n\n  a ", "<|endoftext|> a<|endoftext|>", "x" * 300, "½² é 漢字 😀", "'", " ", "\u3000 b\x1cd"]
+    for _ in range(60):
+        text = "".join(rng.choice([rng.choice(odd), (rng.choice(table).text or "")[: rng.randrange(200)]]) for _ in range(6))
+        maps = [token_counts.chunk_map(t, c) for c in token_counts.cuts(t, text, rng.randrange(1, 60))]
+        while len(maps) > 1:
+            maps = [token_counts.compose(t, maps[i : i + 3]) for i in range(0, len(maps), 3)]
+        assert not maps or token_counts.applied(t, maps[0]) == len(library.encode(text, add_special_tokens=False).ids)
+
+
 def test_shards_follow_the_law(spark, table):
     rows = [(r.doc_id, r.text, r.source) for r in table] + ODD
     out = sharding.shard_documents(frame(spark, rows), shards=16).collect()
