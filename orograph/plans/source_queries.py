@@ -23,6 +23,15 @@ SIDE, BLOCK, NODATA, PIXEL = 40, 16, 11.0, 0.025
 _NUMBER = r"(\d+)\.tif$"
 
 
+def _cut_rasters(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rasters with no data in the first three columns."""
+    j, i = np.mgrid[:SIDE, :SIDE]
+    for b in batches:
+        tiles = b.column("tile").to_pylist()
+        data = [geotiff.encode(np.where(i > 2, (t * 31 + i * 7 + j * 13) % 97, NODATA), float(t % 100), float(t // 100), PIXEL, nodata=NODATA, block=BLOCK) for t in tiles]
+        yield pa.RecordBatch.from_arrays([pa.array([f"{t}.tif" for t in tiles], pa.string()), pa.array(data, pa.binary())], ["name", "data"])
+
+
 def _rasters(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     j, i = np.mgrid[:SIDE, :SIDE]
     for b in batches:
@@ -82,6 +91,23 @@ def tile_files_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_tiles(spark, root).select("z", "x", "y", F.col("data").cast("string").alias("data"))
 
 
+_BUILT = f"""SELECT tile, concat('/data/', tile, '.tif') AS name, round((tile % 100) + c0 * {PIXEL}::DOUBLE, 9) AS "left", round((tile // 100) - (r1 + 1) * {PIXEL}::DOUBLE, 9) AS bottom,
+             round((tile % 100) + (c1 + 1) * {PIXEL}::DOUBLE, 9) AS "right", round((tile // 100) - r0 * {PIXEL}::DOUBLE, 9) AS top"""
+
+
+@query(f"""SELECT 'metadata' AS extent, * FROM ({_BUILT} FROM (SELECT tile, 0 AS c0, 0 AS r0, {SIDE - 1} AS c1, {SIDE - 1} AS r1 FROM {SQL_MESH_TILES})) UNION ALL
+           SELECT 'valid' AS extent, * FROM ({_BUILT} FROM (SELECT tile, min(col) AS c0, min("row") AS r0, max(col) AS c1, max("row") AS r1 FROM {SQL_PIXELS} WHERE col > 2 GROUP BY tile))""")
+def mosaic_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mosaic's list from a folder of rasters, by headers and by pixels with data (three columns without), with a folder of its own."""
+    root = inputs.shared_folder(spark, "rasters")
+    files.write(inputs.mesh_tiles(spark, sf_dir).select("tile").mapInArrow(_cut_rasters, "name string, data binary"), root)
+    found, out = geotiff.headers(spark, root), None
+    for extent in ("metadata", "valid"):
+        rows = mosaics.build(found, extent=extent, folder="/data/").select(F.lit(extent).alias("extent"), _tile(), "name", *(F.round(c, 9).alias(c) for c in catalog.BOX))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 # --- from raster files to tiles -------------------------------------------
 
 #: The zoom of the tiles that are asked for; their grid has what the parameters say for it.
