@@ -25,6 +25,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a shared folder and read back: for what several steps read."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lon, lat, h of the line items."""
     return table(spark, sf_dir, "lineitem").select(

@@ -121,7 +121,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _headers(spark, sf_dir).withColumn("ordinal", F.regexp_extract("path", _NUMBER, 1).cast("long"))
+    return inputs.kept(_headers(spark, sf_dir).withColumn("ordinal", F.regexp_extract("path", _NUMBER, 1).cast("long")), "headers")
 
 
 def tile_meshes(asked: DataFrame, mosaic: DataFrame, *, method: str = "nearest") -> tuple[DataFrame, DataFrame]:
@@ -132,7 +132,7 @@ def tile_meshes(asked: DataFrame, mosaic: DataFrame, *, method: str = "nearest")
     unset = F.lit(None).cast("string")
     tiles = stitch.expand(asked).withColumn("cells", params.grid_size(F.col("z"), unset, unset))
     triangles = mesh.grid_triangles(tiles, "cells").drop("cells")
-    heights = tile_read.tile_vertices(tiles, mosaic, cells="cells", method=method)
+    heights = inputs.kept(tile_read.tile_vertices(tiles, mosaic, cells="cells", method=method), "heights")
     vertices = mesh_queries.grid_tiles(heights, triangles)
     return tuple(df.join(asked, ["z", "x", "y"], "left_semi") for df in (vertices, triangles))
 
