@@ -43,9 +43,13 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete scratch tables that nothing will read again: all that was made from them is in files of its own."""
+    """Delete scratch tables that nothing will read again: all that was made from them is in files of its own.
+
+    Spark removes the shuffle files of finished jobs when the driver collects garbage, so that is asked for too.
+    """
+    spark = tables[0].sparkSession
+    spark._jvm.System.gc()
     for t in tables:
-        spark = t.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

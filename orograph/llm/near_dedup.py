@@ -269,12 +269,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     often = opened.groupBy("node").agg(F.count(F.lit(1)).alias("_times")).where(F.col("_times") >= LEAST_LISTS).select("node")
     often = scratch(often, "often")
     sets = _node_sets(often.withColumnRenamed("node", "doc_id"), nodes, texts)
-    opened = scratch(_open_lists(_possible(opened.join(_common(sets, roots), "node"))).drop("c"), "open")
+    common = _common(sets, roots)
+    opened = scratch(_open_lists(_possible(opened.join(common, "node"))).drop("c"), "open")
+    discard(common)
 
     met = opened.drop("weight").join(_typical(opened, HEADS), "v").where("root <> head_root").groupBy("node", "head").agg(F.count(F.lit(1)).alias("times"), F.first("weight").alias("weight"))
     named = met.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "weight", (-F.col("head")).alias("h"))), asc=False).alias("m"))  # HEADS * LISTED at most
     tried = named.select("node", F.explode(F.slice("m", 1, TRIED)).alias("m")).select((-F.col("m.h")).alias("a"), F.col("node").alias("b"))
-    links = links.unionByName(_links(scratch(tried, "pairs"), sets))
+    tried = scratch(tried, "pairs")
+    links = links.unionByName(_links(tried, sets))
+    discard(tried)
     roots = scratch(components(links), "roots")
 
     opened = scratch(_open_lists(_possible(_rooted(opened.drop("root"), roots))).drop("c"), "open")
