@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orograph.llm import decontamination, exact_dedup, lexical_search, licenses, mixing, near_dedup, periodic_runs, quality, secret_scan, sharding, substring_dedup, token_counts
+from orograph.llm import decontamination, exact_dedup, lexical_search, licenses, mixing, near_dedup, periodic_runs, quality, secret_scan, sharding, substring_dedup, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.through_archives(_table(spark, sf_dir, "pages"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic_runs.with_planted_periods(_table(spark, sf_dir, "documents"))
     return periodic_runs.run_digests(periodic_runs.periodic_runs(docs))
@@ -79,12 +83,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
+    "op11_warc": op11_warc,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES: dict[str, str] = {
     "op2_licenses": licenses.oracle(),
+    "op11_warc": warc.oracle(),
     "op13_lexical_search": lexical_search.oracle(),
     "op7_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
