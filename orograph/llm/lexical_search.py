@@ -45,14 +45,16 @@ SAMPLE, SAMPLE_BYTES = 4096, 1 << 16
 #: Halvings, and rounds of moves in each.
 DEPTH, MOVES = 6, 12
 #: A shard ends at so many documents or entries.
-SHARD_DOCS, SHARD_ENTRIES = 1024, 1 << 19
+SHARD_DOCS, SHARD_ENTRIES = 1024, 1 << 17
 #: Queries and bytes of their texts that are searched at once; what tasks are sent grows with these alone.
 BLOCK_ITEMS, BLOCK_BYTES = 2000, 4 << 20
+#: Shard numbers that are sent to all tasks at most.
+MOST_SENT = 100_000
 
 _SEPARATORS = bytes(i for i in range(128) if not chr(i).isalnum())
 _FOLD = bytes(32 if i in _SEPARATORS else i + 32 if 65 <= i <= 90 else i for i in range(256))
 _FORWARD = "doc_id long, leaf int, n long, terms binary, counts array<int>"
-_INDEX = "shard long, doc_ids array<long>, terms array<binary>, dfs array<int>, bounds array<long>, places array<int>, impacts array<int>"
+_INDEX = "shard long, doc_ids array<long>, terms array<binary>, dfs array<int>, bounds array<long>, places array<short>, impacts array<int>"
 _HITS = "query int, doc_id long, score long"
 
 
@@ -66,7 +68,7 @@ def terms_of(text: bytes) -> list[bytes]:
 
 @dataclass
 class Tree:
-    """Numbers of the terms that the sample held; for each node (1 is the root) the gain of each term for the left side, and the cut."""
+    """Numbers of the terms that the sample held; for each term its gain for the left side at each node (1 is the root), and the nodes' cuts."""
 
     terms: dict[bytes, int]
     gains: np.ndarray
@@ -75,10 +77,10 @@ class Tree:
 
     def leaf(self, terms: Iterable[bytes]) -> int:
         """Where a document with these (distinct) terms belongs."""
-        known = [i for i in map(self.terms.get, terms) if i is not None]
-        node = 1
+        known = np.array([i for i in map(self.terms.get, terms) if i is not None], np.int64)
+        right, node = self.gains[known].sum(0) < self.cuts, 1
         for _ in range(self.depth):
-            node = 2 * node + int(self.gains[node, known].sum() < self.cuts[node])
+            node = 2 * node + int(right[node])
         return node - (1 << self.depth)
 
 
@@ -95,7 +97,7 @@ def fit_tree(documents: list[list[bytes]], *, depth: int = DEPTH, moves: int = M
     shared = Counter(t for d in documents for t in d)
     terms = {t: i for i, t in enumerate(sorted(t for t, n in shared.items() if n > 1))}
     lists = [np.array([terms[t] for t in d if t in terms], np.int64) for d in documents]
-    gains, cuts = np.zeros((1 << depth, len(terms)), np.float32), np.zeros(1 << depth, np.float32)
+    gains, cuts = np.zeros((len(terms), 1 << depth), np.float32), np.zeros(1 << depth, np.float32)
     nodes = {1: np.arange(len(lists))}
     for node in range(1, 1 << depth):
         members = nodes.pop(node, np.zeros(0, np.int64))
@@ -106,7 +108,7 @@ def fit_tree(documents: list[list[bytes]], *, depth: int = DEPTH, moves: int = M
         for _ in range(moves):
             gain = _gains(term, side[owner], len(terms), (half, len(members) - half))
             value = np.bincount(owner, gain[term], len(members))
-            gains[node] = gain
+            gains[:, node] = gain
             # those that lose most by being on the left change places with those that gain most, while a pair of them gains
             left, right = np.flatnonzero(side), np.flatnonzero(~side)
             left, right = left[np.argsort(value[left], kind="stable")], right[np.argsort(-value[right], kind="stable")]
@@ -115,17 +117,19 @@ def fit_tree(documents: list[list[bytes]], *, depth: int = DEPTH, moves: int = M
             if not len(swap):
                 break
             side[left[swap]], side[right[swap]] = False, True
-        value = np.array([gains[node, lists[i]].sum() for i in members], np.float32)
+        value = np.array([gains[lists[i], node].sum() for i in members], np.float32)
         cuts[node] = np.median(value) if len(value) else 0
         nodes[2 * node], nodes[2 * node + 1] = members[value >= cuts[node]], members[value < cuts[node]]
     return Tree(terms, gains, cuts, depth)
 
 
 def fit_order(docs: DataFrame, *, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, depth: int = DEPTH) -> Tree:
-    """A tree from the ``sample`` documents with the smallest hashes, among those of at most ``sample_bytes`` bytes."""
-    text = utf8(F.col("text"))
+    """A tree from ``sample`` documents at most: those whose doc_id's hash is small, of at most ``sample_bytes`` bytes each."""
+    text, total = utf8(F.col("text")), docs.count()
     rows = docs.select(F.xxhash64("doc_id").alias("at"), text.alias("text")).where((F.octet_length("text") <= sample_bytes) & (F.octet_length("text") > 0))
-    return fit_tree([sorted(set(terms_of(bytes(r.text)))) for r in rows.orderBy("at").limit(sample).collect()], depth=depth)
+    share = min(1.0, 1.1 * sample / max(1, total))
+    chosen = rows.where(F.col("at") <= int((share - 0.5) * 2.0**64)) if share < 0.5 else rows
+    return fit_tree([sorted(set(terms_of(bytes(r.text)))) for r in chosen.select("text").limit(sample).collect()], depth=depth)
 
 
 # --- the index --------------------------------------------------------------
@@ -133,15 +137,23 @@ def fit_order(docs: DataFrame, *, sample: int = SAMPLE, sample_bytes: int = SAMP
 
 def _forward(tree: Tree):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = ["doc_id", "leaf", "n", "terms", "counts"], (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
+
+        def batch(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
         for b in batches:
             rows = []
-            for d, text in zip(b.column("doc_id").to_pylist(), each_text(b), strict=True):
+            for d, text in zip(b.column("doc_id"), each_text(b), strict=True):
                 words = terms_of(text)
                 if words:
                     found = Counter(words)
-                    rows.append((d, tree.leaf(found), len(words), b" ".join(found), list(found.values())))
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types, strict=True)], ["doc_id", "leaf", "n", "terms", "counts"])
+                    rows.append((d.as_py(), tree.leaf(found), len(words), b" ".join(found), np.fromiter(found.values(), np.int32, len(found))))
+                if len(rows) == 500:
+                    yield batch(rows)
+                    rows = []
+            if rows:
+                yield batch(rows)
 
     return run
 
@@ -167,7 +179,7 @@ def _shard(number: int, doc_ids: list, terms: list[bytes], counts: np.ndarray, p
         one(list(known), pa.binary()),
         one(df, pa.int32()),
         one(np.maximum.reduceat(impact, begins), pa.int64()),
-        one(place, pa.int32()),
+        one(place, pa.int16()),
         one(impact, pa.int32()),
     ]
     return pa.RecordBatch.from_arrays(columns, ["shard", "doc_ids", "terms", "dfs", "bounds", "places", "impacts"])
@@ -343,8 +355,12 @@ def _search_block(index: Index, items: list[list[bytes]], k: int, first: int) ->
         if (low == np.iinfo(np.int64).max).all():
             return found if found is not None else spark.createDataFrame([], "query int, doc_id long, score long, rank int")
         reach = spark.createDataFrame([(q, int(low[q]), int(high[q])) for q in range(len(items))], "query int, low long, high long")
-        shards = bounds.join(F.broadcast(reach), "query").where((F.col("bound") >= F.col("low")) & (F.col("bound") < F.col("high"))).select("shard").distinct()
-        hits = index.shards.join(shards, "shard", "left_semi").select("doc_ids", "terms", "dfs", "bounds", "places", "impacts").mapInArrow(_visit(block, low, high, least), _HITS)
+        rows = index.shards
+        visited = bounds.join(F.broadcast(reach), "query").where((F.col("bound") >= F.col("low")) & (F.col("bound") < F.col("high")))
+        visited = scratch(visited.select("shard").distinct(), "visited")
+        if visited.limit(MOST_SENT + 1).count() <= MOST_SENT:  # otherwise tasks look at all shards' bounds
+            rows = rows.join(F.broadcast(visited), "shard", "left_semi")
+        hits = rows.select("doc_ids", "terms", "dfs", "bounds", "places", "impacts").mapInArrow(_visit(block, low, high, least), _HITS)
         found = scratch(_top(hits if found is None else found.select("query", "doc_id", "score").unionByName(hits), k), "found")
         for r in found.where(F.col("rank") == k).select("query", "score").collect():
             least[r["query"]] = r.score
