@@ -292,12 +292,13 @@ def periodic_runs(docs: DataFrame, *, shortest: int = 12, batch_words: int = BAT
 
 def with_planted_periods(docs: DataFrame) -> DataFrame:
     """doc_id and text, where the words from some place on repeat with a period in a tenth of the documents, chosen by doc_id."""
-    words = F.expr(r"filter(split(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w != '')")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
-    planted = docs.where("h % 10 = 0").withColumn("words", words).withColumn("n", F.size("words")).withColumn("g", F.expr("h div 10"))
-    planted = planted.withColumn("a", F.expr("if(n > 0, g % n, 0)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.when(h % 10 == 0, h))  # null where nothing is changed
+    words = F.expr(r"filter(split(if(h is null, '', coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), w -> w != '')")
+    docs = docs.withColumn("words", words).withColumn("n", F.size("words")).withColumn("g", F.expr("h div 10"))
+    docs = docs.withColumn("a", F.expr("if(n > 0, g % n, 0)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
     again = F.expr("concat_ws(' ', transform(words, (w, i) -> if(i < a, w, words[int(a + (i - a) % p)])))")
-    return docs.where("h % 10 != 0 or h is null").select("doc_id", "text").unionByName(planted.select("doc_id", again.alias("text")))
+    return docs.select("doc_id", F.when(F.col("h").isNull(), F.col("text")).otherwise(again).alias("text"))
 
 
 def run_digests(found: DataFrame) -> DataFrame:
