@@ -195,6 +195,18 @@ def _header(data: bytes) -> tuple[dict[str, str], int] | None:
     return (fields, stop + len(_END)) if fields.get("content-length", "").isdigit() and "warc-type" in fields else None
 
 
+def _intact(piece: bytes) -> bytes:
+    """What a damaged member holds before the damage, up to a header's length."""
+    unpack, out = zlib.decompressobj(31), b""
+    try:
+        while piece and len(out) < _HEAD:
+            out += unpack.decompress(piece, 64)
+            piece = unpack.unconsumed_tail
+    except zlib.error:
+        pass
+    return out
+
+
 def _decoded(source: _Forward, offset: int) -> tuple[dict[str, str], bytes, int, str | None] | None:
     """Fields, block, end and error of the record whose member starts here; None if none does."""
     unpack, at, parts, held, head = zlib.decompressobj(31), offset, [], 0, None
@@ -211,6 +223,7 @@ def _decoded(source: _Forward, offset: int) -> tuple[dict[str, str], bytes, int,
                 if head is None and (not parts[0].startswith(b"WARC/") or held > _HEAD):
                     return None
     except zlib.error as e:
+        head = head or _header(_intact(source.at(offset, _FEED)))
         return (head[0], b"", offset + 1, f"{e}") if head else None
     data = b"".join(parts)
     head = head or _header(data)
@@ -276,14 +289,17 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[_Range]:
         system, root = locate(self.root)
         found = system.get_file_info(root)
-        files = [found] if found.is_file else system.get_file_info(fs.FileSelector(root, recursive=True))
+        files = [found] if found.is_file else system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
         files = [f for f in files if f.is_file and f.base_name[0] not in "._" and f.base_name.endswith(".gz")]
-        return [_Range(f.path, at, min(at + self.split, f.size)) for f in files for at in range(0, f.size, self.split)]
+        ranges = [_Range(f.path, at, min(at + self.split, f.size)) for f in files for at in range(0, f.size, self.split)]
+        return ranges or [_Range("", 0, 0)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         system, _ = locate(self.root)
         schema = pa.schema([(n, _ARROW[t]) for n, t in self.types.items()])
         rows, held = [], 0
+        if not partition.path:  # a folder without archives
+            return
         with system.open_input_file(partition.path) as source:
             for at, stop, fields, block, error in records(source, partition.start, partition.end):
                 row = _row(partition.path, at, stop, fields, block, error, set(self.types))
