@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orograph.functions import params, tiling
-from orograph.operators import catalog, encode, mesh, raster, stitch, tile_read
+from orograph.operators import catalog, encode, mesh, raster, sampling, stitch, tile_read
 from orograph.plans import inputs, mesh_queries
 from orograph.plans.inputs import SQL_EXTENTS, SQL_MESH_TILES
 from orograph.plans.registry import query
@@ -163,6 +163,41 @@ def raster_tile_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh_queries.rounded(vertices, "z, x, y, vid, vx, vy", "h nx ny nz", 6)
 
 
+#: Coarse tiles, whose pixels cover several of a raster's.
+COARSE, COARSE_CELLS = 3, 64
+_CW = f"(180e0 / {2**COARSE})"
+_CAT = "CASE WHEN {c} = %d THEN 255 ELSE trunc({c} * (255e0 / %d))::BIGINT END" % (COARSE_CELLS, COARSE_CELLS)
+_HALF = f"({_CW} / 256 / {PIXEL}::DOUBLE / 2)"
+SQL_AREAS = f"""WITH t AS (SELECT DISTINCT {COARSE}::BIGINT AS z, floor((s_suppkey % 100 + 0.5e0 + 180e0) / {_CW})::BIGINT AS x, floor((90e0 - (s_suppkey // 100 - 0.5e0)) / {_CW})::BIGINT AS y FROM supplier),
+    v AS (SELECT z, x, y, j * {COARSE_CELLS + 1} + i AS vid, ({_CAT.format(c="i")})::BIGINT AS vx, ({_CAT.format(c="j")})::BIGINT AS vy
+          FROM t, (SELECT unnest(range(0, {COARSE_CELLS + 1})) AS i), (SELECT unnest(range(0, {COARSE_CELLS + 1})) AS j)),
+    p AS (SELECT *, -180e0 + x * {_CW} + (vx + 0.5e0) * ({_CW} / 256) AS lon, 90e0 - y * {_CW} - (255 - vy + 0.5e0) * ({_CW} / 256) AS lat FROM v),
+    f AS (SELECT s_suppkey AS t, (s_suppkey % 100)::DOUBLE AS l, (s_suppkey // 100)::DOUBLE AS top FROM supplier),
+    c AS (SELECT p.*, t, (lon - l) / {PIXEL}::DOUBLE - 0.5e0 AS px, (top - lat) / {PIXEL}::DOUBLE - 0.5e0 AS py
+          FROM p JOIN f ON lon >= l AND lon < l + {SIDE} * {PIXEL}::DOUBLE AND lat <= top AND lat > top - {SIDE} * {PIXEL}::DOUBLE),
+    k AS (SELECT unnest(range(0, {SIDE})) AS k),
+    met AS (SELECT c.*, a.k AS i, b.k AS j, ((t * 31 + a.k * 7 + b.k * 13) % 97)::DOUBLE AS h
+            FROM c JOIN k a ON a.k >= px - {_HALF} AND a.k < px + {_HALF} JOIN k b ON b.k >= py - {_HALF} AND b.k < py + {_HALF}
+            WHERE (t * 31 + a.k * 7 + b.k * 13) % 97 <> {NODATA}),
+    w AS (SELECT *, exp(-((i - px) ** 2 + (j - py) ** 2) / (2 * {_HALF} ** 2)) AS w FROM met),
+    sums AS (SELECT z, x, y, vid, t, avg(h) AS average, sqrt(avg(h * h)) AS rms, sum(w * h) / sum(w) AS gauss FROM w GROUP BY ALL),
+    modes AS (SELECT z, x, y, vid, t, h AS mode FROM (SELECT z, x, y, vid, t, h, count(*) AS n FROM met GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY z, x, y, vid, t ORDER BY n DESC, h) = 1),
+    firsts AS (SELECT * FROM sums JOIN modes USING (z, x, y, vid, t) QUALIFY row_number() OVER (PARTITION BY z, x, y, vid ORDER BY t) = 1)
+    SELECT v.z, v.x, v.y, v.vid, """ + ", ".join(f"round(coalesce({m}, -1e0), 6) AS {m}" for m in ("average", "rms", "gauss", "mode")) + " FROM v LEFT JOIN firsts f ON f.z = v.z AND f.x = v.x AND f.y = v.y AND f.vid = v.vid"
+
+
+@query(SQL_AREAS)
+def raster_area_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights of coarse tiles by all four methods that take every pixel under the tile's, from raster files."""
+    rows = inputs.table(spark, sf_dir, "supplier").selectExpr(f"{COARSE}L as z", "s_suppkey % 100 + 0.5D as lon", "s_suppkey div 100 - 0.5D as lat")
+    asked = rows.select("z", tiling.tile_x(F.col("lon"), F.col("z")).alias("x"), tiling.tile_y(F.col("lat"), F.col("z")).alias("y")).distinct()
+    mosaic, out = _mosaic(spark, sf_dir), None
+    for method in sampling.AREAS:
+        rows = tile_read.tile_vertices(asked, mosaic, cells=COARSE_CELLS, method=method, no_data=-1.0, unsafe=True).select("z", "x", "y", "vid", F.round("h", 6).alias(method))
+        out = rows if out is None else out.join(rows, ["z", "x", "y", "vid"])
+    return out
+
+
 def _generated(spark: SparkSession, asked: DataFrame, mosaic: DataFrame) -> DataFrame:
     """The tiles' bytes, by way of the store: those that it has are not made again."""
     root = inputs.shared_folder(spark, "tiles")

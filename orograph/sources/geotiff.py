@@ -169,6 +169,13 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*keys, made[0], made[1].cast(_BLOCKS.field("heights").type), made[2]], schema=_BLOCKS)
 
 
+def places(found: DataFrame) -> DataFrame:
+    """path, level, block, offset and size of the blocks of headers, with what decoding them takes; blocks that a file leaves out give no row."""
+    part = F.posexplode(F.arrays_zip("offsets", "sizes")).alias("block", "at")
+    rows = found.where("error is null").select("path", "level", *_BLOCK, part).where("at.sizes > 0")
+    return rows.select("path", "level", *_BLOCK, F.col("block").cast("long").alias("block"), F.col("at.offsets").alias("offset"), F.col("at.sizes").alias("size"))
+
+
 def blocks(found: DataFrame, needed: DataFrame | None = None) -> DataFrame:
     """path, level, block, row, col (of the first pixel), columns, heights (by rows; null without data), error of the blocks of headers.
 
@@ -176,9 +183,7 @@ def blocks(found: DataFrame, needed: DataFrame | None = None) -> DataFrame:
     are. Blocks that a file leaves out give no row; one that can't be read has
     no heights and says why.
     """
-    part = F.posexplode(F.arrays_zip("offsets", "sizes")).alias("block", "at")
-    rows = found.where("error is null").select("path", "level", *_BLOCK, part).where("at.sizes > 0")
-    rows = rows.select("path", "level", *_BLOCK, F.col("block").cast("long").alias("block"), F.col("at.offsets").alias("offset"), F.col("at.sizes").alias("size"))
+    rows = places(found)
     if needed is not None:
         rows = rows.join(needed, ["path", "level", "block"], "left_semi")
     return rows.repartition("path", "level", "block").mapInArrow(_blocks, _BLOCKS_DDL)

@@ -74,6 +74,44 @@ def test_first_file_with_data_and_broken_blocks(spark, tmp_path):
     for r in tile_read.tile_vertices(tile(spark), found, cells=10, no_data=-9.0).collect():
         col, row = r.vx // 4, (255 - r.vy) // 4
         assert r.h == (5 if col < 32 else 7 if row < 48 else -9)
+        assert r.error is not None  # the first file's only block is broken
+    _, other = (F.col("path").endswith(n) for n in ("a.tif", "b.tif"))
+    assert {r.error for r in tile_read.tile_vertices(tile(spark), found.where(other), cells=10).collect()} == {None}
+
+
+def test_errors_stay_with_the_vertices_that_need_the_block(spark, tmp_path):
+    pixel = WIDTH / 64
+    data = bytearray(geotiff.encode(np.random.default_rng(2).normal(size=(64, 64)), LEFT, TOP, pixel, block=32))
+    data[20:30] = bytes(10)  # within the first block
+    found = stored(spark, tmp_path / "a", a=bytes(data))
+    for method, edge in (("nearest", 32), ("average", 32), ("mode", 32), ("lanczos", 35)):
+        for r in tile_read.tile_vertices(tile(spark), found, cells=15, method=method).collect():
+            col, row = (r.vx + 0.5) / 4, (255 - r.vy + 0.5) / 4
+            assert (r.error is not None) == (col < edge - 0.5 * (edge > 32) and row < edge - 0.5 * (edge > 32))
+
+
+def test_pixels_are_not_exchanged(spark, tmp_path):
+    """What is between the reading task and the vertices are vertex numbers and sums, and no join has pixels on a side."""
+    found = stored(spark, tmp_path / "a", a=geotiff.encode(np.ones((64, 64)), LEFT, TOP, WIDTH / 64, block=32))
+    plan = tile_read.tile_vertices(tile(spark), found, cells=4, method="cubic")._jdf.queryExecution().executedPlan().toString()
+    assert "heights" not in plan and plan.count("MapInArrow sampler") + plan.count("MapInArrow run") >= 1
+
+
+def test_areas_against_pixels_one_by_one(spark, tmp_path):
+    pixel, n = WIDTH / 900, 900  # no overview: each vertex covers three or four pixels on a side
+    grid = np.random.default_rng(3).integers(0, 4, size=(n, n)).astype(np.float32)
+    found = stored(spark, tmp_path / "a", a=geotiff.encode(grid, LEFT, TOP, pixel, nodata=0.0, block=256))
+    out = {m: {r.vid: r for r in tile_read.tile_vertices(tile(spark), found, cells=20, method=m, no_data=-1.0).collect()} for m in ("average", "rms", "gauss", "mode")}
+    half = 900 / 256 / 2
+    for vid, r in out["average"].items():
+        x, y = (r.vx + 0.5) / 256 * 900 - 0.5, (255 - r.vy + 0.5) / 256 * 900 - 0.5
+        rows, cols = (np.arange(n)[(np.arange(n) >= c - half) & (np.arange(n) < c + half)] for c in (y, x))
+        part = grid[np.ix_(rows, cols)].astype(float)
+        w = np.exp(-((rows[:, None] - y) ** 2 + (cols[None] - x) ** 2) / (2 * half**2))
+        ok = part != 0
+        value, count = np.unique(part[ok], return_counts=True)
+        wanted = {"average": part[ok].mean(), "rms": np.sqrt((part[ok] ** 2).mean()), "gauss": (part * w)[ok].sum() / w[ok].sum(), "mode": value[count.argmax()]}
+        assert {m: out[m][vid].h for m in out} == pytest.approx(wanted)
 
 
 def test_no_tiles_and_no_files(spark, tmp_path):
