@@ -101,9 +101,9 @@ def test_damaged_records_are_told_and_passed(spark, tmp_path):
         places.append(len(data))
         data += warc.record(i, None, body, hashlib.sha256(body).hexdigest(), len(body), None)
     hurt = bytearray(data)
-    hurt[places[4] + 200 : places[4] + 203] = b"\xff\xff\xff"  # within a member's data
+    hurt[places[4] + 2000 : places[4] + 2003] = b"\xff\xff\xff"  # within a member's data
     hurt[places[7]] = 0  # no magic any more
-    found = _read(bytes(hurt)[: places[11] + 60], [places[4] + 5, places[9] - 1])
+    found = _read(bytes(hurt)[: places[11] + 2000], [places[4] + 5, places[9] - 1])
     assert [(p, e is None) for _, _, p, e in found] == [(i, i not in (4, 11)) for i in range(12) if i != 7]
     (tmp_path / "x.warc.gz").write_bytes(bytes(hurt))
     read = warc.read_archives(spark, str(tmp_path), split_bytes=700)
