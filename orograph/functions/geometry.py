@@ -57,17 +57,27 @@ def quantize(v: Column, low: Column, high: Column) -> Column:
     return F.when(high > low, F.least(F.lit(32767), F.greatest(F.lit(0), F.floor((v - low) / (high - low) * 32767.0 + 0.5)))).otherwise(F.lit(0)).cast("long")
 
 
+#: The least cosine that is told from zero.
+EPSILON = 2.220446049250313e-16
+
+
 def occlusion_magnitude(p: Vector, centre: Vector) -> Column:
-    """How far along the centre's direction a point is hidden by the horizon; both in ellipsoid-scaled space."""
-    size2 = dot(p, p)
-    size = F.sqrt(size2)
-    direction = tuple(c / size for c in p)
-    size2, size = F.greatest(F.lit(1.0), size2), F.greatest(F.lit(1.0), size)
-    cos_alpha = dot(direction, centre)
-    sin_alpha = norm(cross(direction, centre))
-    cos_beta, sin_beta = F.lit(1.0) / size, F.sqrt(size2 - 1.0) * (F.lit(1.0) / size)
-    denominator = cos_alpha * cos_beta - sin_alpha * sin_beta
-    return F.lit(1.0) / F.when(denominator == 0, F.lit(2.220446049250313e-16)).otherwise(denominator)
+    """How far along the unit vector ``centre`` the eye has to be to see a point over the horizon; both in ellipsoid-scaled space.
+
+    There the ellipsoid is the unit sphere. In the plane of both vectors let the
+    point lie ``along`` the centre's direction and ``aside`` from it, at distance
+    d from the origin. The line of sight touches the sphere on the far side of
+    the point, at an angle of acos(1 / d) from it, so its tangent point is at
+    that angle plus the one between the vectors. The tangent meets the direction
+    at one over the sum's cosine, which is d² / (along - aside * sqrt(d² - 1)).
+    A point inside the sphere counts as if it lay on it.
+    """
+    along, aside, square = dot(p, centre), norm(cross(p, centre)), dot(p, p)
+    outside = square > 1.0
+    tangent = F.sqrt(F.greatest(square - 1.0, F.lit(0.0)))
+    reach = F.when(outside, square).otherwise(F.sqrt(square))
+    shadow = along - aside * tangent
+    return reach / F.when(shadow == 0, F.lit(EPSILON) * reach).otherwise(shadow)
 
 
 def scaled(p: Vector) -> Vector:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,41 +18,103 @@ def box(df_or_prefix: DataFrame | str, prefix: str = "") -> tuple[Column, Column
     return tuple(df_or_prefix[f"{prefix}{c}"] for c in BOX)
 
 
-def _cells(df: DataFrame, zoom: int, name: str) -> DataFrame:
-    """A row for each cell of a zoom that the row's box meets (touching counts), and the first cell's place."""
-    w = 180.0 / 2**zoom
-    # a box that only touches a cell's edge must meet its neighbours on both sides
-    first = {"_x0": F.floor((F.col("left") + 180.0 - 1e-9) / w), "_y0": F.floor((F.lit(90.0) - F.col("top") - 1e-9) / w)}
-    last = {"_x1": F.floor((F.col("right") + 180.0 + 1e-9) / w), "_y1": F.floor((F.lit(90.0) - F.col("bottom") + 1e-9) / w)}
-    ends = df.withColumns({k: c.cast("long") for k, c in (first | last).items()})
-    cells = ends.withColumn("_cx", F.explode(F.sequence("_x0", "_x1"))).withColumn("_cy", F.explode(F.sequence("_y0", "_y1")))
-    return cells.drop("_x1", "_y1").alias(name)
+#: Finest level of the cells that boxes are covered with.
+FINEST = 24
+#: How far a box reaches over its edges, so that boxes that only touch share a cell.
+_TOUCH = 1e-9
+_CELL = ["_l", "_cx", "_cy"]
 
 
-def cell_zoom(extents: DataFrame) -> int:
-    """A zoom whose cells are about as wide as the extents are on average, so that a cell holds few and a box meets few."""
-    width = extents.agg(F.avg(F.greatest(F.col("right") - F.col("left"), F.col("top") - F.col("bottom"), F.lit(1e-6)))).first()[0] or 180.0
-    return max(0, min(24, int(math.log2(180.0 / width))))
+def _own_level() -> Column:
+    """The finest level whose cells are at least as wide as the box, which then meets two on a side."""
+    size = F.greatest(F.col("right") - F.col("left"), F.col("top") - F.col("bottom")) + 4 * _TOUCH
+    return F.least(F.lit(FINEST), F.greatest(F.lit(0), F.floor(F.log2(F.lit(180.0) / F.greatest(size, F.lit(1e-6)))))).cast("int")
 
 
-def prune(tiles: DataFrame, extents: DataFrame, *, small: int = 10_000) -> DataFrame:
+def _whole() -> Column:
+    """Whether a box has all sides, and they are in order."""
+    return (F.col("left") <= F.col("right")) & (F.col("bottom") <= F.col("top"))
+
+
+def _place(lon: Column, lat: Column, level: Column) -> tuple[Column, Column]:
+    """The cell of a point. Cells of one level lie in cells of the level above, exactly: their widths differ by a power of two."""
+    w = F.lit(180.0) / F.pow(F.lit(2.0), level)
+    return F.floor((lon + 180.0) / w).cast("long"), F.floor((F.lit(90.0) - lat) / w).cast("long")
+
+
+def _levelled(boxes: DataFrame) -> DataFrame:
+    """Boxes (without nulls) with their own level ``_own`` and the first and last cell there on each side."""
+    rows = boxes.where(_whole()).withColumn("_own", _own_level())
+    x0, y0 = _place(F.col("left") - _TOUCH, F.col("top") + _TOUCH, F.col("_own"))
+    x1, y1 = _place(F.col("right") + _TOUCH, F.col("bottom") - _TOUCH, F.col("_own"))
+    return rows.withColumns({"_x0": x0, "_x1": x1, "_y0": y0, "_y1": y1})
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """A row for each cell of level ``_l`` (its own or a coarser one) that the box meets: four of its own level, if it touches no more and is not as wide as the world."""
+    line = lambda c: F.explode(F.sequence(F.expr(f"shiftright(_{c}0, _own - _l)"), F.expr(f"shiftright(_{c}1, _own - _l)")))
+    return rows.withColumn("_cx", line("x")).withColumn("_cy", line("y")).drop("_x0", "_x1", "_y0", "_y1")
+
+
+def cover(boxes: DataFrame) -> DataFrame:
+    """The cells of each box at its own level."""
+    return _cells(_levelled(boxes).withColumn("_l", F.col("_own")))
+
+
+def _around(boxes: DataFrame, levels: Sequence[int], *, itself: bool) -> DataFrame:
+    """The cells of each box at those of the given levels that are coarser than its own, or the same."""
+    above = F.filter(F.array(*map(F.lit, sorted(levels))), lambda v: (v <= F.col("_own")) if itself else (v < F.col("_own")))
+    return _cells(_levelled(boxes).withColumn("_l", F.explode(above)))
+
+
+def _spread(fine: DataFrame, coarse: DataFrame, hot: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Add ``_salt``: cells with more than ``hot`` fine boxes are dealt out, and their coarse boxes repeated for each part.
+
+    At most ``most`` cells are, those with the most boxes; their list is broadcast.
+    """
+    spark = fine.sparkSession
+    counts = fine.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot)
+    found = counts.orderBy(F.desc("_n")).limit(most).collect()
+    if not found:
+        return fine.withColumn("_salt", F.lit(0)), coarse.withColumn("_salt", F.lit(0))
+    rows = [(r["_l"], r["_cx"], r["_cy"], -(-r["_n"] // hot)) for r in found]
+    parts = F.broadcast(spark.createDataFrame(rows, "_l int, _cx long, _cy long, _parts int"))
+    salt = F.pmod(F.xxhash64(*BOX), F.coalesce("_parts", F.lit(1))).cast("int")
+    fine = fine.join(parts, _CELL, "left").withColumn("_salt", salt).drop("_parts")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    return fine, coarse.join(parts, _CELL, "left").withColumn("_salt", every).drop("_parts")
+
+
+def prune(tiles: DataFrame, extents: DataFrame, *, small: int = 64, hot: int = 100_000, most_hot: int = 10_000) -> DataFrame:
     """All pairs of a tile and an extent whose boxes meet: z, x, y, ordinal.
 
     ``extents`` has ``ordinal`` and a box, ``tiles`` z, x, y and a box; rows
-    repeated in either give repeated pairs, boxes with nulls none. A catalog of
+    repeated in either give repeated pairs, boxes with nulls or sides in the wrong order none. A catalog of
     at most ``small`` rows, which is counted, is broadcast and compared
-    directly; otherwise both sides are dealt to cells of a zoom that fits the
-    extents, and a pair stays in the first cell that both boxes meet.
+    directly. Otherwise each box is covered by a few cells of a level of its
+    own size, and the finer box of a pair looks for the coarser one among the
+    cells around its own; so rows grow with boxes and pairs, whatever sizes are
+    mixed. A pair is made in one cell: that of its common box's upper left corner.
     """
     meets = tiling.intersects(box("t"), box("e"))
-    if extents.limit(small + 1).count() <= small:
-        pairs = tiles.alias("t").join(F.broadcast(extents.alias("e")), meets)
-    else:
-        zoom = cell_zoom(extents)
-        t, e = _cells(tiles, zoom, "t"), _cells(extents, zoom, "e")
-        here = (F.col("t._cx") == F.greatest("t._x0", "e._x0")) & (F.col("t._cy") == F.greatest("t._y0", "e._y0"))
-        pairs = t.join(e, (F.col("t._cx") == F.col("e._cx")) & (F.col("t._cy") == F.col("e._cy")) & here & meets)
-    return pairs.select("t.z", "t.x", "t.y", "e.ordinal")
+    seen = extents.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(_whole(), _own_level())).alias("levels")).first()
+    if seen.n <= small:
+        pairs = tiles.where(_whole()).alias("t").join(F.broadcast(extents.where(_whole()).alias("e")), meets)
+        return pairs.select("t.z", "t.x", "t.y", "e.ordinal")
+    sides = {"t": tiles.select("z", "x", "y", *BOX), "e": extents.select("ordinal", *BOX)}
+    levels = {"e": seen.levels, "t": [r[0] for r in _levelled(sides["t"]).select("_own").distinct().collect()]}
+    out = None
+    for fine, coarse, itself in (("t", "e", True), ("e", "t", False)):
+        if not levels[coarse]:
+            continue
+        f, c = _spread(_around(sides[fine], levels[coarse], itself=itself), cover(sides[coarse]), hot, most_hot)
+        f, c = f.alias(fine), c.alias(coarse)
+        x, y = _place(F.greatest("t.left", "e.left"), F.least("t.top", "e.top"), F.col(f"{coarse}._l"))
+        here = (F.col(f"{coarse}._cx") == x) & (F.col(f"{coarse}._cy") == y)
+        same = [F.col(f"{fine}.{k}") == F.col(f"{coarse}.{k}") for k in (*_CELL, "_salt")]
+        pairs = f.join(c, [*same, here & meets]).select("t.z", "t.x", "t.y", "e.ordinal")
+        out = pairs if out is None else out.unionByName(pairs)
+    return tiles.join(extents, F.lit(False)).select("z", "x", "y", "ordinal") if out is None else out
 
 
 def fan_in_guard(pairs: DataFrame, *, most: int = 10, unsafe: bool = False) -> DataFrame:

@@ -15,7 +15,7 @@ from orograph.plans import inputs, mesh_queries
 from orograph.plans.inputs import SQL_EXTENTS, SQL_MESH_TILES
 from orograph.plans.registry import query
 from orograph.plans.tile_queries import sql_ranges
-from orograph.sources import datasets, files, geotiff, mosaics
+from orograph.sources import datasets, dem, files, geotiff, mosaics
 from orograph.sources import tiles as stored
 
 #: The stand-in rasters: SIDE pixels wide with blocks of BLOCK, so that blocks at the edges are cut.
@@ -40,11 +40,15 @@ def _rasters(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([f"{t}.tif" for t in tiles], pa.string()), pa.array(data, pa.binary())], ["name", "data"])
 
 
-def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The headers of a raster file for each supplier."""
+def _folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a raster file for each supplier."""
     root = inputs.shared_folder(spark, "rasters")
     files.write(inputs.mesh_tiles(spark, sf_dir).select("tile").mapInArrow(_rasters, "name string, data binary"), root)
-    return geotiff.headers(spark, root)
+    return root
+
+
+def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geotiff.headers(spark, _folder(spark, sf_dir))
 
 
 def _tile() -> Column:
@@ -58,7 +62,22 @@ SQL_PIXELS = f"""(SELECT tile, j AS "row", i AS col, ((tile * 31 + i * 7 + j * 1
 @query(f"SELECT tile, \"row\", col, h FROM {SQL_PIXELS}")
 def dem_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pixel with data of the raster files."""
-    return geotiff.pixels(_headers(spark, sf_dir)).select(_tile(), "row", "col", "h")
+    return dem.pixels(dem.scan(spark, _folder(spark, sf_dir))).select(_tile(), "row", "col", "h")
+
+
+@query(f"""SELECT tile, "row", col, h FROM (SELECT *, (tile % 100)::DOUBLE + (col + 0.5e0) * {PIXEL}::DOUBLE AS lon, (tile // 100)::DOUBLE - ("row" + 0.5e0) * {PIXEL}::DOUBLE AS lat FROM {SQL_PIXELS})
+           WHERE lon >= 3.2e0 AND lon <= 6.71e0 AND lat >= -0.61e0 AND lat <= 0.3e0""")
+def dem_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pixels of a window: blocks away from it are not read, since zoom, level and box reach the source."""
+    blocks = dem.scan(spark, _folder(spark, sf_dir)).where("z = 4 and level = 0 and right >= 3.2D and left <= 6.71D and top >= -0.61D and bottom <= 0.3D")
+    return dem.pixels(blocks).where("lon >= 3.2D and lon <= 6.71D and lat >= -0.61D and lat <= 0.3D").select(_tile(), "row", "col", "h")
+
+
+@query(f"""SELECT tile, "row" // {BLOCK} * 3 + col // {BLOCK} AS block, count(*) AS pixels FROM {SQL_PIXELS} GROUP BY ALL""")
+def dem_block_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pixels of each block have data."""
+    blocks = dem.scan(spark, _folder(spark, sf_dir), columns=["path", "level", "block", "heights"])
+    return blocks.select(_tile(), "block", F.size(F.filter("heights", lambda h: h.isNotNull())).cast("long").alias("pixels")).where("pixels > 0")
 
 
 @query(f"SELECT tile, min(col) AS min_col, min(\"row\") AS min_row, max(col) AS max_col, max(\"row\") AS max_row FROM {SQL_PIXELS} GROUP BY tile")

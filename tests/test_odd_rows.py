@@ -38,9 +38,25 @@ def test_prune_against_all_pairs(spark):
         extents.append((i, left, bottom, left + w * rng.choice((0, 0.5, 1, 2)), bottom + w))
     t = boxed(spark.createDataFrame(tiles, TILES).distinct())
     e = spark.createDataFrame(extents, BOXES)
-    ways = [sorted(map(tuple, catalog.prune(t, e, small=s).collect())) for s in (0, 1000)]
+    ways = [sorted(map(tuple, catalog.prune(t, e, **o).collect())) for o in ({"small": 0}, {"small": 1000}, {"small": 0, "hot": 10}, {"small": 0, "hot": 3, "most_hot": 4})]
     wanted = sorted((r.z, r.x, r.y, o) for r in t.collect() for o, a, b, c, d in extents if not (r.left > c or r.right < a or r.bottom > d or r.top < b))
-    assert ways[0] == ways[1] == wanted
+    assert all(w == wanted for w in ways)
+
+
+def test_prune_of_mixed_sizes_grows_with_pairs(spark):
+    """A world-wide extent and a tile of zoom 0 among very many small ones: covers stay small, each pair comes once."""
+    n = 200_000
+    small = spark.range(n).selectExpr("id as ordinal", "-180D + (id * 7919 % 36000) / 100D as left", "-90D + (id * 104729 % 17990) / 100D as bottom").selectExpr("*", "left + 0.01 as right", "bottom + 0.01 as top")
+    extents = small.unionByName(spark.createDataFrame([(-1, -180.0, -90.0, 180.0, 90.0)], BOXES))
+    tiles = [(0, 0, 0), (0, 1, 0), *((z, 2**z + z, 2**z // 3) for z in range(1, 19))]
+    t = boxed(spark.createDataFrame(tiles, TILES))
+    levels = [r[0] for r in catalog._levelled(t).select("_own").distinct().collect()]
+    assert catalog.cover(extents).count() <= 4.2 * n
+    assert catalog._around(extents, levels, itself=False).count() < 1.6 * n * len(levels)
+    got = catalog.prune(t, extents, hot=20_000).groupBy("z", "x", "y").agg(F.count("*").alias("n"), F.countDistinct("ordinal").alias("d"), F.min("ordinal").alias("first")).collect()
+    e = extents.alias("e")
+    wanted = {tuple(r)[:3]: r.n for r in e.join(F.broadcast(t.alias("t")), tiling.intersects(catalog.box("t"), catalog.box("e"))).groupBy("t.z", "t.x", "t.y").agg(F.count("*").alias("n")).collect()}
+    assert {(r.z, r.x, r.y): r.n for r in got} == wanted and all(r.n == r.d and r["first"] == -1 for r in got)
 
 
 def test_meshes_of_no_tiles(spark):
