@@ -205,21 +205,22 @@ _SCHEMA = pa.schema(
 )
 
 
-def triangulate(grids: DataFrame, method: str, *, max_error: float) -> DataFrame:
+def triangulate(grids: DataFrame, method: str, *, max_error: float | str) -> DataFrame:
     """z, x, y, vertices (vy from the south), triangles from ``heights``, the rows of a square raster, north first.
 
-    An unknown method gives a plain lattice.
+    ``max_error`` may be a column of the grids. An unknown method gives a plain lattice.
     """
     mesher = MESHERS.get(method, regular)
+    grids = grids.select("z", "x", "y", "heights", (F.col(max_error) if isinstance(max_error, str) else F.lit(float(max_error))).cast("double").alias("most"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = []
-            for h in b.column("heights"):
+            for h, most in zip(b.column("heights"), b.column("most").to_pylist(), strict=True):
                 flat = h.values.to_numpy().astype(np.float64)
                 side = int(round(len(flat) ** 0.5))
                 grid = flat.reshape(side, side)
-                at, triangles = mesher(grid, max_error)
+                at, triangles = mesher(grid, most)
                 made.append((np.column_stack([at[:, 0], side - 1 - at[:, 1]]), grid[at[:, 1], at[:, 0]], triangles))
             yield _rows(_SCHEMA, [b.column(c) for c in "zxy"], made)
 

@@ -118,16 +118,61 @@ class _Reader:
         self.path = self.source = None
 
 
-def sampler(method: str, *, last: int, pixels: int):
-    """Rows of tiles beside blocks, in any order but best by block, to rows of ``SCHEMA``."""
+def whole_grid(method: str, side: int, no_data: float):
+    """All partial rows of one tile to its heights, north first; ``no_data`` where no file has data."""
+
+    def one(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        grid, ordinal = np.full(side * side, np.nan), rows.column("ordinal").to_numpy()
+        lists = [rows.column(c).chunk(0) for c in ("vids", "a", "b")]
+        ends = lists[0].offsets.to_numpy()
+        owner = np.repeat(ordinal, np.diff(ends))
+        every = [x.flatten().to_numpy() for x in lists]
+        for o in np.unique(ordinal):
+            v, a, b = (c[owner == o] for c in every)
+            if method == "mode":
+                order = np.lexsort((a, v))
+                v, a, b = v[order], a[order], b[order]
+                new = np.flatnonzero(np.r_[True, (np.diff(v) != 0) | (np.diff(a) != 0)]) if len(v) else np.zeros(0, np.int64)
+                v, a, n = v[new], a[new], np.add.reduceat(b, new) if len(new) else b[:0]
+                best = np.lexsort((-a, n))  # the last one written is the most frequent, then the lowest
+                height = np.full(side * side, np.nan)
+                height[v[best]] = np.where(n[best] > 0, a[best], np.nan)
+            else:
+                above, below = np.bincount(v, a, side * side), np.bincount(v, b, side * side)
+                height = np.divide(above, below, out=np.full(side * side, np.nan), where=below != 0)
+                height = np.sqrt(height) if method == "rms" else height
+            grid = np.where(np.isnan(grid), height, grid)
+        heights = np.where(np.isnan(grid), no_data, grid).reshape(side, side)[::-1].ravel()
+        columns = [pa.array([k.as_py()], pa.int64()) for k in key]
+        error = max((e for e in rows.column("error").to_pylist() if e), default=None)
+        return pa.Table.from_arrays([*columns, pa.ListArray.from_arrays(pa.array([0, side * side], pa.int32()), pa.array(heights)), pa.array([error], pa.string())], names=["z", "x", "y", "heights", "error"])
+
+    return one
+
+
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    ends = pa.array(np.cumsum([0, *(len(r["vids"]) for r in rows)]), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.asarray(r[c], t) for r in rows]))) for c, t in (("vids", np.int64), ("a", float), ("b", float))]
+    columns = [*(pa.array([r[k] for r in rows], pa.int64()) for k in _KEY), *(x.cast(_ARROW.field(c).type) for x, c in zip(lists, ("vids", "a", "b"), strict=True))]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([r["error"] for r in rows], pa.string())], schema=_ARROW)
+
+
+def sampler(method: str, *, last: int, pixels: int, corners: bool = False):
+    """Rows of tiles beside blocks, in any order but best by block, to rows of ``SCHEMA``.
+
+    Vertices lie in the middle of the tile's pixels, or with ``corners`` between
+    them, so that neighbouring tiles share the places on their edges.
+    """
+    middle = 0.0 if corners else 0.5
 
     def one(reader: _Reader, r: dict) -> dict:
         key = {k: r[k] for k in _KEY}
         grid, valid, row, col, error = reader.block(r)
         width = 180.0 / 2.0 ** r["z"]
         pixel, line = width / pixels, lattice(r["cells"], last)
-        lon = (-180.0 + r["x"] * width) + (line + 0.5) * pixel
-        lat = (90.0 - r["y"] * width) - (last - line + 0.5) * pixel
+        lon = (-180.0 + r["x"] * width) + (line + middle) * pixel
+        lat = (90.0 - r["y"] * width) - (last - line + middle) * pixel
         inside_x, inside_y = np.flatnonzero((lon >= r["left"]) & (lon < r["right"])), np.flatnonzero((lat <= r["top"]) & (lat > r["bottom"]))
         across = weights(method, (lon[inside_x] - r["left"]) / r["pixel_x"], col, grid.shape[1], pixel / r["pixel_x"])
         down = weights(method, (r["top"] - lat[inside_y]) / r["pixel_y"], row, grid.shape[0], pixel / r["pixel_y"])
@@ -145,7 +190,7 @@ def sampler(method: str, *, last: int, pixels: int):
         try:
             for b in batches:
                 for at in range(0, b.num_rows, 64):
-                    yield pa.RecordBatch.from_pylist([one(reader, r) for r in b.slice(at, 64).to_pylist()], schema=_ARROW)
+                    yield _batch([one(reader, r) for r in b.slice(at, 64).to_pylist()])
         finally:
             reader.close()
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orograph.functions import geometry
-from orograph.operators import adaptive, encode, mesh, raster, stitch
+from orograph.operators import adaptive, encode, mesh, raster, serve, stitch
 from orograph.plans import inputs
 from orograph.plans.inputs import SQL_BOUNDS, SQL_MESH_TILES, SQL_TILES, sql_vertices
 from orograph.plans.registry import query
@@ -80,14 +80,12 @@ def grid_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vertices(spark, sf_dir).drop("h")
 
 
-@query("SELECT i, CASE WHEN i = n THEN 255 ELSE trunc(i * (255 / n))::BIGINT END AS place, n FROM (SELECT unnest(range(0, n + 1)) AS i, n FROM (SELECT unnest([18, 105, 117]) AS n))")
+@query("SELECT n, i, CASE WHEN i = n THEN 255 ELSE trunc(i * (255 / n))::BIGINT END AS place FROM (SELECT n, unnest(range(0, n + 1)) AS i FROM (SELECT DISTINCT (2 * p_size + 17)::BIGINT AS n FROM part))")
 def grid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lattice lines of sizes where whole-number division would be wrong."""
-    out = None
-    for n in (18, 105, 117):
-        rows = spark.range(n + 1).select(F.col("id").alias("i"), mesh.step(F.col("id"), F.lit(n).cast("long"), mesh.GRID).alias("place"), F.lit(n).cast("long").alias("n"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """Lattice lines of every grid size that is asked for; with some of them whole-number division would be wrong."""
+    sizes = inputs.table(spark, sf_dir, "part").select(F.expr("cast(2 * p_size + 17 as bigint)").alias("n")).distinct()
+    lines = sizes.withColumn("i", F.explode(F.expr("sequence(0L, n)")))
+    return lines.select("n", "i", mesh.step(F.col("i"), F.col("n"), mesh.GRID).alias("place"))
 
 
 @query(f"SELECT {_KEY}, tid, a, b, c FROM {SQL_T}")
@@ -316,9 +314,7 @@ def grid_tiles(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
 
     Normals come from each tile's own faces, weighted by area; then normals and heights are averaged over shared edges.
     """
-    normals = mesh.vertex_normals(mesh.to_ecef(mesh.rescale(vertices)), triangles)
-    joined = vertices.join(normals, ["z", "x", "y", "vid"])
-    return mesh.to_ecef(mesh.rescale(stitch.average_edges(joined, ["h", "nx", "ny", "nz"], size=mesh.GRID)))
+    return serve.GridStitcher().stitch(vertices, triangles)
 
 
 @query()
@@ -362,9 +358,7 @@ def adaptive_vertices(meshes: DataFrame) -> tuple[DataFrame, DataFrame]:
     Heights are averaged over the edges, then normals are taken from the faces and averaged too.
     """
     v, t = adaptive.flatten(meshes)
-    v = mesh.to_ecef(mesh.rescale(stitch.average_edges(v, ["h"], size=SIDE), size=SIDE))
-    v = v.join(mesh.vertex_normals(v, t), ["z", "x", "y", "vid"])
-    return stitch.average_edges(v, ["nx", "ny", "nz"], size=SIDE), t
+    return serve.AdaptiveStitcher().stitch(v, t), t
 
 
 @query()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orograph.functions import params, tiling
-from orograph.operators import catalog, encode, mesh, raster, sampling, stitch, tile_read
+from orograph.operators import catalog, encode, mesh, raster, sampling, serve, stitch, tile_read
 from orograph.plans import inputs, mesh_queries
 from orograph.plans.inputs import SQL_EXTENTS, SQL_MESH_TILES
 from orograph.plans.registry import query
@@ -217,14 +217,75 @@ def raster_area_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def seed(asked: DataFrame, mosaic: DataFrame, root: str) -> None:
+    """Make the tiles that the store under ``root`` does not have, and append them.
+
+    What is missing is fixed before anything is read, by the store's keys
+    alone; if nothing is, no file is opened. A run that fails halfway leaves the
+    store as it was, and the next one takes up what it had to do.
+    """
+    todo = inputs.kept(stored.missing(asked, root), "todo")
+    if not todo.isEmpty():
+        tiles = encode.encode_tiles(*tile_meshes(todo, mosaic))
+        stored.write(tiles.withColumn("code", tiling.morton(F.col("x"), F.col("y"))), root)
+
+
 def _generated(spark: SparkSession, asked: DataFrame, mosaic: DataFrame) -> DataFrame:
-    """The tiles' bytes, by way of the store: those that it has are not made again."""
+    """The tiles' bytes, by way of a new store."""
     root = inputs.shared_folder(spark, "tiles")
-    tiles = encode.encode_tiles(*tile_meshes(asked, mosaic))
-    stored.write(tiles.withColumn("code", tiling.morton(F.col("x"), F.col("y"))), root)
+    seed(asked, mosaic, root)
     return stored.read(spark, root)
 
 
+@query(f"SELECT z, x, y, x % 2 = 0 AS first FROM {SQL_ASKED}")
+def seed_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeding that goes on: every other tile, then all of them; those of the first run keep its bytes."""
+    root, asked, mosaic = inputs.shared_folder(spark, "tiles"), _asked(spark, sf_dir), _mosaic(spark, sf_dir)
+    seed(asked.where("x % 2 = 0"), mosaic, root)
+    first = inputs.kept(stored.read(spark, root).select("z", "x", "y", F.lit(True).alias("first")), "first")
+    seed(asked, mosaic, root)
+    return stored.read(spark, root).join(first, ["z", "x", "y"], "left").select("z", "x", "y", F.coalesce("first", F.lit(False)).alias("first"))
+
+
+def _smooth_rasters(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A slope and a bowl, which adaptive meshes can follow with few triangles."""
+    j, i = np.mgrid[:SIDE, :SIDE]
+    for b in batches:
+        tiles = b.column("tile").to_pylist()
+        data = [geotiff.encode(t % 7 * 3 + i / 9 + (j - 20) ** 2 / 40, float(t % 100), float(t // 100), PIXEL, block=BLOCK) for t in tiles]
+        yield pa.RecordBatch.from_arrays([pa.array([f"{t}.tif" for t in tiles], pa.string()), pa.array(data, pa.binary())], ["name", "data"])
+
+
+def request_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tile around each raster's middle, asked for with the parameters of its supplier's region; one more far from any raster."""
+    suppliers = inputs.table(spark, sf_dir, "supplier").join(inputs.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    tiles = suppliers.selectExpr("n_regionkey as region", f"{ZOOM}L as z", "s_suppkey % 100 + 0.5D as lon", "s_suppkey div 100 - 0.5D as lat")
+    tiles = tiles.select("region", "z", tiling.tile_x(F.col("lon"), F.col("z")).alias("x"), tiling.tile_y(F.col("lat"), F.col("z")).alias("y")).distinct()
+    r = F.col("r_regionkey")
+    options = inputs.table(spark, sf_dir, "region").select(
+        r.alias("region"),
+        F.when(r == 1, "martini").when(r == 2, "delatin").when(r == 3, "other").alias("meshing"),
+        F.when(r == 0, "average").when(r == 2, "bilinear").when(r == 3, "no such").alias("resampling"),
+        F.when(r == 3, -5.0).alias("no_data"),
+        F.when(r == 4, 9).cast("long").alias("min_zoom"),
+        F.when(r == 0, 6).cast("long").alias("grid_size"),
+        F.when(r == 2, 3.0).alias("max_error"),
+    )
+    far = options.where("region = 3").select(F.lit(ZOOM).cast("long").alias("z"), F.lit(10).cast("long").alias("x"), F.lit(10).cast("long").alias("y"), *options.columns)
+    return tiles.join(options, "region").unionByName(far)
+
+
+@query(f"""SELECT DISTINCT n_regionkey::BIGINT AS region, {ZOOM}::BIGINT AS z, floor((s_suppkey % 100 + 0.5e0 + 180e0) / {_W})::BIGINT AS x, floor((90e0 - (s_suppkey // 100 - 0.5e0)) / {_W})::BIGINT AS y,
+             'gzip' AS encoding, CASE n_regionkey WHEN 4 THEN 'empty' WHEN 1 THEN 'martini' WHEN 2 THEN 'delatin' ELSE 'grid' END AS kind FROM supplier JOIN nation ON s_nationkey = n_nationkey
+           UNION ALL SELECT r_regionkey, {ZOOM}, 10, 10, 'gzip', 'empty' FROM region WHERE r_regionkey = 3""")
+def request_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with mixed parameters (methods, resampling, sizes, errors, empty tiles) answered in one plan, from raster files to bytes."""
+    root = inputs.shared_folder(spark, "rasters")
+    files.write(inputs.mesh_tiles(spark, sf_dir).select("tile").mapInArrow(_smooth_rasters, "name string, data binary"), root)
+    found = inputs.kept(geotiff.headers(spark, root).withColumn("ordinal", F.regexp_extract("path", _NUMBER, 1).cast("long")), "headers")
+    return serve.answer(request_rows(spark, sf_dir), found).select(F.col("region").cast("long").alias("region"), "z", "x", "y", "kind", "encoding")
+
+
 @query(f"SELECT z, x, y, 'gzip' AS encoding FROM {SQL_ASKED}")
 def raster_to_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole request: raster files to stored tile bytes (their content is decoded in the tests)."""

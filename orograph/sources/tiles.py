@@ -17,6 +17,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("z", F.col("z").cast("long"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything was ever stored there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def missing(tiles: DataFrame, path: str) -> DataFrame:
-    """The tiles that aren't stored yet."""
+    """The tiles that aren't stored yet, each once; only keys of the zooms that are asked for are read."""
+    tiles = tiles.select(*KEY).distinct()
+    if not exists(tiles.sparkSession, path):
+        return tiles
     return tiles.join(read(tiles.sparkSession, path).select(*KEY), KEY, "left_anti")
