@@ -158,11 +158,17 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, pa.array([r["error"] for r in rows], pa.string())], schema=_ARROW)
 
 
-def sampler(method: str, *, last: int, pixels: int, corners: bool = False):
+def snapped(low: float, high: float, origin: float, pixel: float) -> tuple[float, float]:
+    """A side of a box moved outwards to lines of a raster's grid, the origin being one of them."""
+    return origin + np.floor((low - origin) / pixel + 1e-9) * pixel, origin + np.ceil((high - origin) / pixel - 1e-9) * pixel
+
+
+def sampler(method: str, *, last: int, pixels: int, corners: bool = False, aligned: bool = False):
     """Rows of tiles beside blocks, in any order but best by block, to rows of ``SCHEMA``.
 
     Vertices lie in the middle of the tile's pixels, or with ``corners`` between
-    them, so that neighbouring tiles share the places on their edges.
+    them, so that neighbouring tiles share the places on their edges. With
+    ``aligned`` the tile's box is moved outwards to the raster's grid first.
     """
     middle = 0.0 if corners else 0.5
 
@@ -171,11 +177,17 @@ def sampler(method: str, *, last: int, pixels: int, corners: bool = False):
         grid, valid, row, col, error = reader.block(r)
         width = 180.0 / 2.0 ** r["z"]
         pixel, line = width / pixels, lattice(r["cells"], last)
-        lon = (-180.0 + r["x"] * width) + (line + middle) * pixel
-        lat = (90.0 - r["y"] * width) - (last - line + middle) * pixel
+        west, north = -180.0 + r["x"] * width, 90.0 - r["y"] * width
+        if aligned:
+            west, east = snapped(west, west + width, r["left"], r["pixel_x"])
+            south, north = snapped(north - width, north, r["top"], r["pixel_y"])
+            pixel, pixel_down = (east - west) / pixels, (north - south) / pixels
+        else:
+            pixel_down = pixel
+        lon, lat = west + (line + middle) * pixel, north - (last - line + middle) * pixel_down
         inside_x, inside_y = np.flatnonzero((lon >= r["left"]) & (lon < r["right"])), np.flatnonzero((lat <= r["top"]) & (lat > r["bottom"]))
         across = weights(method, (lon[inside_x] - r["left"]) / r["pixel_x"], col, grid.shape[1], pixel / r["pixel_x"])
-        down = weights(method, (r["top"] - lat[inside_y]) / r["pixel_y"], row, grid.shape[0], pixel / r["pixel_y"])
+        down = weights(method, (r["top"] - lat[inside_y]) / r["pixel_y"], row, grid.shape[0], pixel_down / r["pixel_y"])
         if error:  # the vertices that the block would have a say in
             v = np.flatnonzero(np.outer((down != 0).any(1), (across != 0).any(1)))
             a = b = np.zeros(len(v))

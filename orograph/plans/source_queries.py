@@ -182,6 +182,26 @@ def raster_tile_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh_queries.rounded(vertices, "z, x, y, vid, vx, vy", "h nx ny nz", 6)
 
 
+_SNAP = "{o} + floor(({c} - {o}) / {p} + 1e-9) * {p}", "{o} + ceil(({c} - {o}) / {p} - 1e-9) * {p}"
+_P = f"{PIXEL}::DOUBLE"
+
+
+@query(f"""WITH v AS (SELECT z, x, y, j * {CELLS + 1} + i AS vid, ({_AT.format(c="i")})::BIGINT AS vx, ({_AT.format(c="j")})::BIGINT AS vy
+             FROM {SQL_ASKED}, (SELECT unnest(range(0, {CELLS + 1})) AS i), (SELECT unnest(range(0, {CELLS + 1})) AS j)),
+           f AS (SELECT s_suppkey AS t, (s_suppkey % 100)::DOUBLE AS l, (s_suppkey // 100)::DOUBLE AS top FROM supplier),
+           b AS (SELECT v.*, t, l, top, {_SNAP[0].format(o="l", c=f"(-180e0 + x * {_W})", p=_P)} AS west, {_SNAP[1].format(o="l", c=f"(-180e0 + x * {_W} + {_W})", p=_P)} AS east,
+                        {_SNAP[0].format(o="top", c=f"(90e0 - y * {_W} - {_W})", p=_P)} AS south, {_SNAP[1].format(o="top", c=f"(90e0 - y * {_W})", p=_P)} AS north
+                 FROM v JOIN f ON -180e0 + x * {_W} <= l + 1e0 AND -180e0 + x * {_W} + {_W} >= l AND 90e0 - y * {_W} >= top - 1e0 AND 90e0 - y * {_W} - {_W} <= top),
+           p AS (SELECT *, west + (vx + 0.5e0) * ((east - west) / 256) AS lon, north - (255 - vy + 0.5e0) * ((north - south) / 256) AS lat FROM b),
+           met AS (SELECT z, x, y, vid, t, (t * 31 + floor((lon - l) / {_P})::BIGINT * 7 + floor((top - lat) / {_P})::BIGINT * 13) % 97 AS h
+                   FROM p WHERE lon >= l AND lon < l + {SIDE} * {_P} AND lat <= top AND lat > top - {SIDE} * {_P}),
+           h AS (SELECT z, x, y, vid, min_by(h, t)::DOUBLE AS h FROM met WHERE h <> {NODATA} GROUP BY z, x, y, vid)
+           SELECT v.z, v.x, v.y, v.vid, coalesce(h, 0e0) AS h FROM v LEFT JOIN h ON h.z = v.z AND h.x = v.x AND h.y = v.y AND h.vid = v.vid""")
+def raster_aligned_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights of tiles whose boxes are moved to each raster's own grid before it is read."""
+    return tile_read.tile_vertices(_asked(spark, sf_dir), _mosaic(spark, sf_dir), cells=CELLS, aligned=True).select("z", "x", "y", "vid", "h")
+
+
 #: Coarse tiles, whose pixels cover several of a raster's.
 COARSE, COARSE_CELLS = 3, 64
 _CW = f"(180e0 / {2**COARSE})"

@@ -90,6 +90,24 @@ def test_errors_stay_with_the_vertices_that_need_the_block(spark, tmp_path):
             assert (r.error is not None) == (col < edge - 0.5 * (edge > 32) and row < edge - 0.5 * (edge > 32))
 
 
+def test_aligned_reading_takes_pixels_as_they_are(spark, tmp_path):
+    """A raster as fine as the tile, but off its lines by a part of a pixel: each vertex gets the pixel of its own number."""
+    pixel = WIDTH / 256
+    grid = np.random.default_rng(5).normal(size=(300, 300)).astype(np.float32)
+    found = stored(spark, tmp_path / "a", a=geotiff.encode(grid, LEFT - 20.3 * pixel, TOP + 20.7 * pixel, pixel, block=64))
+    for method in ("nearest", "bilinear"):
+        out = tile_read.tile_vertices(tile(spark), found, cells=12, method=method, aligned=True).collect()
+        for r in out:
+            # the box has 257 of the raster's pixels on a side
+            x, y = (r.vx + 0.5) * 257 / 256 + 20 - 0.5, (255 - r.vy + 0.5) * 257 / 256 + 20 - 0.5
+            if method == "nearest":
+                assert r.h == grid[int(y + 0.5), int(x + 0.5)]
+            else:
+                i, j = int(x), int(y)
+                wanted = np.array([1 - (y - j), y - j]) @ grid[j : j + 2, i : i + 2].astype(float) @ np.array([1 - (x - i), x - i])
+                assert r.h == pytest.approx(wanted, abs=1e-5)
+
+
 def test_pixels_are_not_exchanged(spark, tmp_path):
     """What is between the reading task and the vertices are vertex numbers and sums, and no join has pixels on a side."""
     found = stored(spark, tmp_path / "a", a=geotiff.encode(np.ones((64, 64)), LEFT, TOP, WIDTH / 64, block=32))
