@@ -179,15 +179,15 @@ def sampler(method: str, *, last: int, pixels: int, corners: bool = False, align
         pixel, line = width / pixels, lattice(r["cells"], last)
         west, north = -180.0 + r["x"] * width, 90.0 - r["y"] * width
         if aligned:
-            west, east = snapped(west, west + width, r["left"], r["pixel_x"])
-            south, north = snapped(north - width, north, r["top"], r["pixel_y"])
+            west, east = snapped(west, west + width, r["origin_x"], r["pixel_x"])
+            south, north = snapped(north - width, north, r["origin_y"], r["pixel_y"])
             pixel, pixel_down = (east - west) / pixels, (north - south) / pixels
         else:
             pixel_down = pixel
         lon, lat = west + (line + middle) * pixel, north - (last - line + middle) * pixel_down
         inside_x, inside_y = np.flatnonzero((lon >= r["left"]) & (lon < r["right"])), np.flatnonzero((lat <= r["top"]) & (lat > r["bottom"]))
-        across = weights(method, (lon[inside_x] - r["left"]) / r["pixel_x"], col, grid.shape[1], pixel / r["pixel_x"])
-        down = weights(method, (r["top"] - lat[inside_y]) / r["pixel_y"], row, grid.shape[0], pixel_down / r["pixel_y"])
+        across = weights(method, (lon[inside_x] - r["origin_x"]) / r["pixel_x"], col, grid.shape[1], pixel / r["pixel_x"])
+        down = weights(method, (r["origin_y"] - lat[inside_y]) / r["pixel_y"], row, grid.shape[0], pixel_down / r["pixel_y"])
         if error:  # the vertices that the block would have a say in
             v = np.flatnonzero(np.outer((down != 0).any(1), (across != 0).any(1)))
             a = b = np.zeros(len(v))

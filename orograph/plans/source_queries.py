@@ -15,7 +15,7 @@ from orograph.plans import inputs, mesh_queries
 from orograph.plans.inputs import SQL_EXTENTS, SQL_MESH_TILES
 from orograph.plans.registry import query
 from orograph.plans.tile_queries import sql_ranges
-from orograph.sources import datasets, dem, files, geotiff, mosaics
+from orograph.sources import datasets, dem, files, geotiff, mosaics, vrt
 from orograph.sources import tiles as stored
 
 #: The stand-in rasters: SIDE pixels wide with blocks of BLOCK, so that blocks at the edges are cut.
@@ -250,6 +250,18 @@ def seed(asked: DataFrame, mosaic: DataFrame, root: str) -> None:
         stored.write(tiles.withColumn("code", tiling.morton(F.col("x"), F.col("y"))), root)
 
 
+@query(f"""{SQL_RASTER_TILES} SELECT own.z, own.x, own.y, vid, h FROM own JOIN {SQL_ASKED} a ON a.z = own.z AND a.x = own.x AND a.y = own.y""")
+def vrt_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights of tiles from one virtual raster over all raster files."""
+    root = _folder(spark, sf_dir)
+    rect = "concat('<SimpleSource><SourceFilename relativeToVRT=\"1\">../', tile, '.tif</SourceFilename><SourceBand>1</SourceBand><SrcRect xOff=\"0\" yOff=\"0\" xSize=\"{n}\" ySize=\"{n}\"/><DstRect xOff=\"', {n} * (tile % 100), '\" yOff=\"', {n} * (1000 - tile div 100), '\" xSize=\"{n}\" ySize=\"{n}\"/></SimpleSource>')".format(n=SIDE)
+    head = f"<VRTDataset><GeoTransform>0.0, {PIXEL}, 0.0, 1000.0, 0.0, -{PIXEL}</GeoTransform><VRTRasterBand dataType=\"Float32\" band=\"1\"><NoDataValue>{NODATA}</NoDataValue>"
+    document = inputs.mesh_tiles(spark, sf_dir).agg(F.concat(F.lit(head), F.concat_ws("", F.collect_list(F.expr(rect))), F.lit("</VRTRasterBand></VRTDataset>")).alias("text"))
+    files.write(document.select(F.lit("virtual/all.vrt").alias("name"), F.col("text").cast("binary").alias("data")), root)
+    found = inputs.kept(vrt.headers(spark, f"{root}/virtual"), "headers")
+    return tile_read.tile_vertices(_asked(spark, sf_dir), found, cells=CELLS).select("z", "x", "y", "vid", "h")
+
+
 def _generated(spark: SparkSession, asked: DataFrame, mosaic: DataFrame) -> DataFrame:
     """The tiles' bytes, by way of a new store."""
     root = inputs.shared_folder(spark, "tiles")

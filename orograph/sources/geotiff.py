@@ -122,7 +122,12 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
     Files of no bytes are not listed.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("path").rlike(r"(?i)\.tiff?$"))
-    return found.select("path").mapInArrow(_headers, _HEADER_DDL)
+    return headers_of(found)
+
+
+def headers_of(paths: DataFrame) -> DataFrame:
+    """The same for the files of the column ``path``."""
+    return paths.select("path").mapInArrow(_headers, _HEADER_DDL)
 
 
 def decode(data: bytes, h: dict) -> np.ndarray:
@@ -172,8 +177,9 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def places(found: DataFrame) -> DataFrame:
     """path, level, block, offset and size of the blocks of headers, with what decoding them takes; blocks that a file leaves out give no row."""
     part = F.posexplode(F.arrays_zip("offsets", "sizes")).alias("block", "at")
-    rows = found.where("error is null").select("path", "level", *_BLOCK, part).where("at.sizes > 0")
-    return rows.select("path", "level", *_BLOCK, F.col("block").cast("long").alias("block"), F.col("at.offsets").alias("offset"), F.col("at.sizes").alias("size"))
+    keys = [c for c in ("ordinal", "path", "level") if c in found.columns]
+    rows = found.where("error is null").select(*keys, *_BLOCK, part).where("at.sizes > 0")
+    return rows.select(*keys, *_BLOCK, F.col("block").cast("long").alias("block"), F.col("at.offsets").alias("offset"), F.col("at.sizes").alias("size"))
 
 
 def blocks(found: DataFrame, needed: DataFrame | None = None) -> DataFrame:
@@ -183,7 +189,7 @@ def blocks(found: DataFrame, needed: DataFrame | None = None) -> DataFrame:
     are. Blocks that a file leaves out give no row; one that can't be read has
     no heights and says why.
     """
-    rows = places(found)
+    rows = places(found.drop("ordinal"))
     if needed is not None:
         rows = rows.join(needed, ["path", "level", "block"], "left_semi")
     return rows.repartition("path", "level", "block").mapInArrow(_blocks, _BLOCKS_DDL)
@@ -196,8 +202,16 @@ def pixels(found: DataFrame) -> DataFrame:
 
 
 def box(found: DataFrame) -> DataFrame:
-    """The headers' columns and the box of each: left, bottom, right, top."""
-    return found.withColumns({"right": F.col("left") + F.col("width") * F.col("pixel_x"), "bottom": F.col("top") - F.col("height") * F.col("pixel_y")})
+    """The headers' columns and the box of each: left, bottom, right, top; origin_x and origin_y are where the first pixel begins.
+
+    Headers with clip_left, clip_bottom, clip_right and clip_top end there.
+    """
+    sides = {"left": F.col("left"), "top": F.col("top"), "right": F.col("left") + F.col("width") * F.col("pixel_x"), "bottom": F.col("top") - F.col("height") * F.col("pixel_y")}
+    origin = {"origin_x": F.col("left"), "origin_y": F.col("top")}
+    if "clip_left" in found.columns:
+        inner = {"left": F.greatest, "bottom": F.greatest, "right": F.least, "top": F.least}
+        sides = {c: inner[c](v, F.col(f"clip_{c}")) for c, v in sides.items()}
+    return found.withColumns(sides | origin)
 
 
 def encode(grid: np.ndarray, left: float, top: float, pixel: float, *, nodata: float | None = None, block: int = 256, overviews: Sequence[int] = ()) -> bytes:
