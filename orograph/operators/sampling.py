@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 
+from orograph.functions import projections
 from orograph.sources import files, geotiff
 
 #: Methods that weigh the pixels around a place (with the pixels on each side), and those that take all pixels under the tile's pixel.
@@ -47,12 +48,45 @@ def weights(method: str, place: np.ndarray, first: int, count: int, footprint: f
     pixel = first + np.arange(count)
     if method == "nearest":
         return (pixel == np.floor(place)[:, None]).astype(float)
-    centre = (place - 0.5)[:, None]
+    return _weight(method, (place - 0.5)[:, None] - pixel, footprint)
+
+
+def _weight(method: str, d: np.ndarray, footprint: float) -> np.ndarray:
+    """Weight of a pixel whose centre lies so many pixels before a place."""
     if method in KERNELS:
-        return _kernel(method, centre - pixel)
+        return _kernel(method, d)
     half = max(footprint, 1.0) / 2
-    under = (pixel >= centre - half) & (pixel < centre + half)
-    return under * np.exp(-((pixel - centre) ** 2) / (2.0 * half**2)) if method == "gauss" else under.astype(float)
+    under = (d <= half) & (d > -half)
+    return under * np.exp(-(d**2) / (2.0 * half**2)) if method == "gauss" else under.astype(float)
+
+
+def _sums_at(method: str, grid: np.ndarray, valid: np.ndarray, x: np.ndarray, y: np.ndarray, footprint: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(touched, vertex, a, b) like ``_sums``, for places anywhere (in pixels from the block's edge); touched are all vertices with weight on the block."""
+    rows, cols = grid.shape
+    if method == "nearest":
+        c, r, offsets = np.floor(x).astype(np.int64), np.floor(y).astype(np.int64), [0]
+    else:
+        c, r = np.floor(x - 0.5).astype(np.int64), np.floor(y - 0.5).astype(np.int64)
+        far = int(np.ceil(reach(method, footprint)))
+        offsets = range(-far, far + 1)
+    a, b, touched, found = np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x), bool), []
+    for i in offsets:
+        down = np.ones(len(x)) if method == "nearest" else _weight(method, y - 0.5 - (r + i), footprint)
+        for j in offsets:
+            w = down if method == "nearest" else down * _weight(method, x - 0.5 - (c + j), footprint)
+            here = np.flatnonzero((w != 0) & (r + i >= 0) & (r + i < rows) & (c + j >= 0) & (c + j < cols))
+            touched[here] = True
+            here = here[valid[r[here] + i, c[here] + j]]
+            h = grid[r[here] + i, c[here] + j]
+            found.append((here, h))
+            a[here] += w[here] * (h * h if method == "rms" else h)
+            b[here] += w[here]
+    vertex = np.unique(np.concatenate([f[0] for f in found]))
+    if method == "mode":
+        both = np.concatenate([np.stack([f[0].astype(float), f[1]]) for f in found], axis=1)
+        (v, value), n = np.unique(both, axis=1, return_counts=True)
+        return touched, v.astype(np.int64), value, n.astype(float)
+    return touched, vertex, a[vertex], b[vertex]
 
 
 def reach(method: str, footprint: float) -> float:
@@ -178,13 +212,25 @@ def sampler(method: str, *, last: int, pixels: int, corners: bool = False, align
         width = 180.0 / 2.0 ** r["z"]
         pixel, line = width / pixels, lattice(r["cells"], last)
         west, north = -180.0 + r["x"] * width, 90.0 - r["y"] * width
-        if aligned:
+        if aligned and r["crs"] is None:
             west, east = snapped(west, west + width, r["origin_x"], r["pixel_x"])
             south, north = snapped(north - width, north, r["origin_y"], r["pixel_y"])
             pixel, pixel_down = (east - west) / pixels, (north - south) / pixels
         else:
             pixel_down = pixel
         lon, lat = west + (line + middle) * pixel, north - (last - line + middle) * pixel_down
+        if r["crs"] is not None:
+            every_lon, every_lat = (g.ravel() for g in np.meshgrid(lon, lat))
+            v = np.flatnonzero((every_lon >= r["left"]) & (every_lon <= r["right"]) & (every_lat <= r["top"]) & (every_lat >= r["bottom"]))
+            x, y = projections.project(r["crs"], every_lon[v], every_lat[v])
+            x, y = (x - r["origin_x"]) / r["unit_x"], (r["origin_y"] - y) / r["unit_y"]
+            ok = (x >= 0) & (x < r["width"]) & (y >= 0) & (y < r["height"])
+            v, x, y = v[ok], x[ok] - col, y[ok] - row
+            touched, at, a, b = _sums_at(method, grid, valid, x, y, pixel / r["pixel_x"])
+            if error:
+                at = np.flatnonzero(touched)
+                a = b = np.zeros(len(at))
+            return key | {"vids": v[at], "a": a, "b": b, "error": error}
         inside_x, inside_y = np.flatnonzero((lon >= r["left"]) & (lon < r["right"])), np.flatnonzero((lat <= r["top"]) & (lat > r["bottom"]))
         across = weights(method, (lon[inside_x] - r["origin_x"]) / r["pixel_x"], col, grid.shape[1], pixel / r["pixel_x"])
         down = weights(method, (r["origin_y"] - lat[inside_y]) / r["pixel_y"], row, grid.shape[0], pixel_down / r["pixel_y"])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orograph.functions import params, tiling
+from orograph.functions import geometry, params, projections, tiling
 from orograph.operators import catalog, encode, mesh, raster, sampling, serve, stitch, tile_read
 from orograph.plans import inputs, mesh_queries
 from orograph.plans.inputs import SQL_EXTENTS, SQL_MESH_TILES
@@ -336,6 +336,13 @@ def seed_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _generated(spark, seeds, mosaic).select("z", "x", "y")
 
 
+@query(f"""SELECT round({geometry.A!r}::DOUBLE * radians(lon), 3) AS x, round({geometry.A!r}::DOUBLE * atanh(sin(radians(lat))), 3) AS y, count(*) AS n FROM {inputs.SQL_POINTS} GROUP BY ALL""")
+def web_mercator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points' places in web Mercator, with how many lie there."""
+    x, y = projections.mercator(projections.COLUMNS, F.col("lon"), F.col("lat"))
+    return inputs.points(spark, sf_dir).groupBy(F.round(x, 3).alias("x"), F.round(y, 3).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- configurations and layer descriptions --------------------------------
 
 SQL_CONFIG = """(SELECT concat('c', p_size % 10) AS file, p_partkey AS id, CASE WHEN p_partkey % 97 <> 96 THEN concat('d', p_partkey % 40) END AS name, concat('./', p_brand, '.tif') AS cog,

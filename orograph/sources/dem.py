@@ -155,6 +155,8 @@ class DemReader(DataSourceReader):
         system, at = files.locate(path)
         with system.open_input_file(at) as source:
             for h in levels:
+                if h.get("crs") is not None:
+                    h = h | {"error": h.get("error", "blocks of projected files have no box in degrees; tile_vertices reads them")}
                 if h.get("error") or "left" not in h or "pixel_x" not in h:
                     if share.part == 0:
                         yield from self._told(path=path, level=h["level"], error=h.get("error", "the file doesn't say where it lies"))

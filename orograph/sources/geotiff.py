@@ -17,11 +17,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orograph.functions import projections
 from orograph.sources import files
 
 # Fixed values of the format: numbers of tags, field types as struct codes, kinds of samples, compressions.
 WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, SAMPLES, STRIP_ROWS, STRIP_BYTES, PREDICTOR = 256, 257, 258, 259, 273, 277, 278, 279, 317
 TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES, KIND, PIXEL_SCALE, TIE_POINT, NODATA = 322, 323, 324, 325, 339, 33550, 33922, 42113
+GEO_KEYS, PROJECTED = 34735, 3072
 FIELDS = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q"}
 KINDS = {1: "u", 2: "i", 3: "f"}
 RAW, DEFLATE, OLD_DEFLATE, ZSTD = 1, 8, 32946, 50000
@@ -33,12 +35,14 @@ _HEADER = [
     *((c, pa.int64()) for c in ("samples", "compression", "predictor")),
     ("offsets", pa.list_(pa.int64())),
     ("sizes", pa.list_(pa.int64())),
+    ("crs", pa.int64()),
+    *((c, pa.float64()) for c in ("west", "south", "east", "north")),
     ("error", pa.string()),
 ]
 HEADER = pa.schema([("path", pa.string()), *_HEADER])
 _HEADER_DDL = (
     "path string, level long, width long, height long, block_width long, block_height long, left double, top double, pixel_x double, pixel_y double, nodata double, "
-    "sample string, samples long, compression long, predictor long, offsets array<long>, sizes array<long>, error string"
+    "sample string, samples long, compression long, predictor long, offsets array<long>, sizes array<long>, crs long, west double, south double, east double, north double, error string"
 )
 
 
@@ -71,6 +75,16 @@ def directories(source: pa.NativeFile) -> Iterator[tuple[str, dict[int, tuple]]]
         (at,) = take(word, at)
 
 
+def _degrees(row: dict) -> dict[str, float]:
+    """west, south, east, north of a level in a projected system: the box around its outline, and a little more."""
+    along = np.linspace(0.0, 1.0, 65)
+    x, y = row["left"] + along * row["width"] * row["pixel_x"], row["top"] - along * row["height"] * row["pixel_y"]
+    outline = np.concatenate([x, x, np.full(65, x[0]), np.full(65, x[-1])]), np.concatenate([np.full(65, y[0]), np.full(65, y[-1]), y, y])
+    lon, lat = projections.unproject(row["crs"], *outline)
+    more = (lon.max() - lon.min()) / 1000, (lat.max() - lat.min()) / 1000
+    return {"west": float(lon.min() - more[0]), "south": float(lat.min() - more[1]), "east": float(lon.max() + more[0]), "north": float(lat.max() + more[1])}
+
+
 def header(path: str) -> list[dict]:
     """A row for each level of a file, the finest first; ``error`` tells why a level can't be read."""
     system, at = files.locate(path)
@@ -93,12 +107,19 @@ def header(path: str) -> list[dict]:
                 first = rows[0]
                 row |= {"left": first.get("left"), "top": first.get("top")}
                 row |= {p: first[p] * first[s] / row[s] for p, s in (("pixel_x", "width"), ("pixel_y", "height")) if p in first}
+            keys = t.get(GEO_KEYS, ())
+            code = next((keys[i + 3] for i in range(4, len(keys) - 3, 4) if keys[i] == PROJECTED and keys[i + 1] == 0), None)
+            row["crs"] = code if code is not None or not rows else rows[0].get("crs")
+            if row["crs"] is not None and "left" in row and "pixel_x" in row and projections.known(row["crs"]):
+                row |= _degrees(row)
             if NODATA in t:
                 row["nodata"] = float(t[NODATA][0].rstrip(b"\0 ") or b"nan")
             elif rows:
                 row["nodata"] = rows[0].get("nodata")
             if row["compression"] not in (RAW, DEFLATE, OLD_DEFLATE, ZSTD):
                 row["error"] = f"compression {row['compression']} is not known"
+            elif row["crs"] is not None and not projections.known(row["crs"]):
+                row["error"] = f"coordinate system {row['crs']} is not known"
             elif row["predictor"] == 3 and row["samples"] > 1:
                 row["error"] = "predictor 3 with several bands is not known"
             rows.append(row)
@@ -202,24 +223,35 @@ def pixels(found: DataFrame) -> DataFrame:
 
 
 def box(found: DataFrame) -> DataFrame:
-    """The headers' columns and the box of each: left, bottom, right, top; origin_x and origin_y are where the first pixel begins.
+    """The headers' columns and the box of each in degrees: left, bottom, right, top, and the pixels' size there.
 
+    origin_x and origin_y are where the first pixel begins, unit_x and unit_y
+    how large pixels are, in the file's own coordinates; for a file in a
+    projected system (``crs``) these are metres, and the box lies around it.
     Headers with clip_left, clip_bottom, clip_right and clip_top end there.
     """
     sides = {"left": F.col("left"), "top": F.col("top"), "right": F.col("left") + F.col("width") * F.col("pixel_x"), "bottom": F.col("top") - F.col("height") * F.col("pixel_y")}
-    origin = {"origin_x": F.col("left"), "origin_y": F.col("top")}
+    origin = {"origin_x": F.col("left"), "origin_y": F.col("top"), "unit_x": F.col("pixel_x"), "unit_y": F.col("pixel_y")}
+    around = {"left": "west", "bottom": "south", "right": "east", "top": "north"}
+    plain = F.col("crs").isNull()
+    sides = {c: F.when(plain, v).otherwise(F.col(around[c])) for c, v in sides.items()}
+    degrees = {"pixel_x": (F.col("east") - F.col("west")) / F.col("width"), "pixel_y": (F.col("north") - F.col("south")) / F.col("height")}
+    origin |= {c: F.when(plain, F.col(c)).otherwise(v) for c, v in degrees.items()}
     if "clip_left" in found.columns:
         inner = {"left": F.greatest, "bottom": F.greatest, "right": F.least, "top": F.least}
         sides = {c: inner[c](v, F.col(f"clip_{c}")) for c, v in sides.items()}
     return found.withColumns(sides | origin)
 
 
-def encode(grid: np.ndarray, left: float, top: float, pixel: float, *, nodata: float | None = None, block: int = 256, overviews: Sequence[int] = ()) -> bytes:
-    """A raster of heights as the bytes of a tiled, deflated file; each overview takes the first pixel of so many each way."""
+def encode(grid: np.ndarray, left: float, top: float, pixel: float, *, nodata: float | None = None, block: int = 256, overviews: Sequence[int] = (), crs: int | None = None) -> bytes:
+    """A raster of heights as the bytes of a tiled, deflated file; each overview takes the first pixel of so many each way.
+
+    ``crs`` is the code of a projected system that left, top and pixel are in.
+    """
     out = b"II*\0" + bytes(4)
     link = 4  # where the place of the next directory is written
     for factor in (1, *overviews):
-        parts, directory = _level(np.asarray(grid, "<f4")[::factor, ::factor], left, top, pixel * factor, nodata, block, len(out))
+        parts, directory = _level(np.asarray(grid, "<f4")[::factor, ::factor], left, top, pixel * factor, nodata, block, len(out), crs)
         at = len(out) + len(parts)
         out = out[:link] + struct.pack("<I", at) + out[link + 4 :] + parts
         data, link = directory(at)
@@ -227,7 +259,7 @@ def encode(grid: np.ndarray, left: float, top: float, pixel: float, *, nodata: f
     return out
 
 
-def _level(grid: np.ndarray, left: float, top: float, pixel: float, nodata: float | None, block: int, start: int) -> tuple[bytes, Callable[[int], tuple[bytes, int]]]:
+def _level(grid: np.ndarray, left: float, top: float, pixel: float, nodata: float | None, block: int, start: int, crs: int | None) -> tuple[bytes, Callable[[int], tuple[bytes, int]]]:
     """The blocks of one level, and its directory (with the place of its link) once its own place is known."""
     rows, cols = (-(-n // block) * block for n in grid.shape)
     whole = np.full((rows, cols), 0 if nodata is None else nodata, "<f4")
@@ -237,6 +269,8 @@ def _level(grid: np.ndarray, left: float, top: float, pixel: float, nodata: floa
     tags = [(WIDTH, "I", (grid.shape[1],)), (HEIGHT, "I", (grid.shape[0],)), (BITS, "H", (32,)), (COMPRESSION, "H", (DEFLATE,)), (SAMPLES, "H", (1,))]
     tags += [(TILE_WIDTH, "I", (block,)), (TILE_HEIGHT, "I", (block,)), (TILES, "I", tuple(offsets[:-1])), (TILE_BYTES, "I", tuple(map(len, parts))), (KIND, "H", (3,))]
     tags += [(PIXEL_SCALE, "d", (pixel, pixel, 0.0)), (TIE_POINT, "d", (0.0, 0.0, 0.0, left, top, 0.0))]
+    if crs is not None:
+        tags.append((GEO_KEYS, "H", (1, 1, 0, 1, PROJECTED, 0, 1, crs)))
     if nodata is not None:
         text = f"{nodata}\0".encode()
         tags.append((NODATA, "s", (text,)))
