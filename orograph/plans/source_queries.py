@@ -244,7 +244,7 @@ def seed(asked: DataFrame, mosaic: DataFrame, root: str) -> None:
     alone; if nothing is, no file is opened. A run that fails halfway leaves the
     store as it was, and the next one takes up what it had to do.
     """
-    todo = inputs.kept(stored.missing(asked, root), "todo")
+    todo = inputs.kept(stored.missing(asked.select("z", "x", "y"), root), "todo")
     if not todo.isEmpty():
         tiles = encode.encode_tiles(*tile_meshes(todo, mosaic))
         stored.write(tiles.withColumn("code", tiling.morton(F.col("x"), F.col("y"))), root)

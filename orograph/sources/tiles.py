@@ -25,7 +25,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def missing(tiles: DataFrame, path: str) -> DataFrame:
     """The tiles that aren't stored yet, each once; only keys of the zooms that are asked for are read."""
-    tiles = tiles.select(*KEY).distinct()
+    tiles = tiles.dropDuplicates(KEY)
     if not exists(tiles.sparkSession, path):
         return tiles
     return tiles.join(read(tiles.sparkSession, path).select(*KEY), KEY, "left_anti")
