@@ -420,3 +420,24 @@ def test_odd_and_empty_tables(spark):
         assert run(frame(spark, ODD)).count() == len(ODD), name
         assert run(frame(spark, [])).count() == 0, name
     assert substring_dedup.shared_passages(frame(spark, [])).count() == 0
+
+
+def test_values_on_odd_rows(spark):
+    docs = frame(spark, ODD)
+    mixed = mixing.mix_positions(docs).collect()
+    assert sorted(r.position for r in mixed) == list(range(len(ODD)))
+    assert Counter((r.doc_id, r.source) for r in mixed) == Counter((d, s) for d, _, s in ODD)
+    for source in ("a", "b", None):  # within a source the order is that of doc_id
+        ids = [r.doc_id for r in sorted(mixed, key=lambda r: r.position) if r.source == source and r.doc_id is not None]
+        assert ids == sorted(ids)
+
+    labels = spark.createDataFrame([(4, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    scored = quality.score_quality(docs, model).collect()
+    wanted = Counter((d, d is not None and zlib.crc32(str(d).encode()) % 5 == 0, round(model.score((t or "").encode()), 9)) for d, t, _ in ODD)
+    assert Counter((r.doc_id, bool(r.held_out), round(r.score, 9)) for r in scored) == wanted
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in scored)
+
+    none = hashlib.sha256(b"").hexdigest()
+    found = secret_scan.scan_secrets(docs, secret_scan.train(docs)).collect()
+    assert Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in found) == Counter((d, 0, 0, 0, none) for d, _, _ in ODD)
