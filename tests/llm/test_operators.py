@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import oracle
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -310,6 +311,39 @@ def test_passage_whose_parts_stand_elsewhere(spark):
     assert {(r.doc_id, r.other_id) for r in out} == {(101, 100)} and _covered(out, 101, 30, 80)
 
 
+@pytest.mark.parametrize("holders", [6, 10, 14])
+@pytest.mark.parametrize("rate", [0.05, 0.10, 0.15])
+def test_edited_passages_whose_parts_are_common(spark, holders, rate):
+    """Each run of the passages stands in ``holders`` earlier documents or more, by pieces of 15 words that overlap."""
+    rng = random.Random(holders)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, wanted = [], set()
+    for k in range(40):
+        passage, edited = words(80), []
+        for i in range(0, 80 - 10, 5):
+            rows += [(len(rows), " ".join(words(30) + passage[i : i + 15] + words(30)), "a") for _ in range((holders + 1) // 2)]
+        edited = [words(1)[0] if rng.random() < rate else w for w in passage]
+        rows += [(10**6 + 2 * k + j, " ".join(words(30) + p + words(30)), "a") for j, p in enumerate((passage, edited))]
+        wanted.add((10**6 + 2 * k + 1, 10**6 + 2 * k))
+    out = substring_dedup.shared_passages(frame(spark, rows)).collect()
+    found = {(r.doc_id, r.other_id) for r in out}
+    assert len(found & wanted) >= 36 and found <= wanted, len(found & wanted)
+
+
+def test_strobes_against_every_pair_of_seeds():
+    rng = np.random.default_rng(5)
+    docs = np.sort(rng.integers(0, 6, 400))
+    places = np.concatenate([np.sort(rng.integers(0, 120, n)) for n in np.bincount(docs)])
+    keys = rng.integers(0, 50, 400).astype(np.uint64)
+    for number, (low, high) in enumerate((substring_dedup.NEAR, substring_dedup.FAR)):
+        at, joint, step = list(substring_dedup.lengthen(docs, keys, places))[number]
+        got = dict(zip(at.tolist(), zip(joint.tolist(), step.tolist(), strict=True), strict=True))
+        base = substring_dedup.fmix(keys + np.uint64(number + 1) * np.uint64(0x9E3779B97F4A7C15))
+        for i in range(400):
+            all_ = [(int(substring_dedup.fmix(base[i : i + 1] ^ keys[j : j + 1])[0]), int(places[j] - places[i])) for j in range(i + 1, 400) if docs[j] == docs[i] and low <= places[j] - places[i] <= high]
+            assert (i in got) == bool(all_) and (not all_ or (got[i][0] == min(all_)[0] and got[i] in all_))
+
+
 def test_passage_of_a_large_group(spark):
     rng = random.Random(13)
     words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
