@@ -338,7 +338,7 @@ def test_strobes_against_every_pair_of_seeds():
     for number, (low, high) in enumerate((substring_dedup.NEAR, substring_dedup.FAR)):
         at, joint, step = list(substring_dedup.lengthen(docs, keys, places))[number]
         got = dict(zip(at.tolist(), zip(joint.tolist(), step.tolist(), strict=True), strict=True))
-        base = substring_dedup.fmix(keys + np.uint64(number + 1) * np.uint64(0x9E3779B97F4A7C15))
+        base = substring_dedup.fmix(keys + substring_dedup._SALTS[number])
         for i in range(400):
             all_ = [(int(substring_dedup.fmix(base[i : i + 1] ^ keys[j : j + 1])[0]), int(places[j] - places[i])) for j in range(i + 1, 400) if docs[j] == docs[i] and low <= places[j] - places[i] <= high]
             assert (i in got) == bool(all_) and (not all_ or (got[i][0] == min(all_)[0] and got[i] in all_))
