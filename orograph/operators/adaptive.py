@@ -6,7 +6,6 @@ small numpy problem (at most 257 x 257 pixels).
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -136,42 +135,132 @@ class Delaunay:
         return bad, added
 
 
-def _worst(height: np.ndarray, points: np.ndarray) -> tuple[float, tuple[int, int]]:
-    """Largest vertical error over the pixels of a triangle, and its place (col, row); ties by row, then column."""
-    (x0, y0), (x1, y1) = points.min(axis=0), points.max(axis=0)
-    ys, xs = np.mgrid[y0 : y1 + 1, x0 : x1 + 1]
-    (ax, ay), (bx, by), (cx, cy) = points
-    area = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
-    wa = (bx - xs) * (cy - ys) - (by - ys) * (cx - xs)
-    wb = (cx - xs) * (ay - ys) - (cy - ys) * (ax - xs)
-    wc = area - wa - wb
-    plane = (wa * height[ay, ax] + wb * height[by, bx] + wc * height[cy, cx]) / area
-    error = np.where((wa >= 0) & (wb >= 0) & (wc >= 0), np.abs(plane - height[y0 : y1 + 1, x0 : x1 + 1]), -1.0)
-    k = int(error.argmax())
-    return float(error.flat[k]), (int(xs.flat[k]), int(ys.flat[k]))
+def _double_area(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0])
+
+
+def _worst_of_each(height: np.ndarray, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each triangle (n x 3 x 2) the largest vertical error over its pixels but the corners, and its place (col, row).
+
+    Ties go by row, then column; pixels without a height have no error. -1 where there is no such pixel.
+    """
+    low, size = corners.min(axis=1), np.ptp(corners, axis=1) + 1
+    count = size.prod(axis=1)
+    start = np.r_[0, np.cumsum(count)[:-1]]
+    own = np.repeat(np.arange(len(corners)), count)
+    at = np.arange(len(own)) - start[own]
+    pixels = np.stack([at % size[own, 0], at // size[own, 0]], axis=1) + low[own]
+    a, b, c = (corners[own, k] for k in range(3))
+    weights = np.stack([_double_area(pixels, b, c), _double_area(a, pixels, c), _double_area(a, b, pixels)])
+    area = weights.sum(axis=0)
+    plane = sum(w * height[p[:, 1], p[:, 0]] for w, p in zip(weights, (a, b, c), strict=True)) / area
+    error = np.abs(plane - height[pixels[:, 1], pixels[:, 0]])
+    error = np.where((weights >= 0).all(axis=0) & (weights < area).all(axis=0) & ~np.isnan(error), error, -1.0)
+    most = np.maximum.reduceat(error, start)
+    hit = np.flatnonzero(error == most[own])
+    first = hit[np.r_[True, np.diff(own[hit]) > 0]]
+    return most, pixels[first]
+
+
+def _worst(height: np.ndarray, corners: np.ndarray) -> tuple[float, tuple[int, int]]:
+    """The same for one triangle."""
+    error, place = _worst_of_each(height, corners[None])
+    return float(error[0]), (int(place[0, 0]), int(place[0, 1]))
+
+
+def _winners(wanted: np.ndarray, n: int) -> np.ndarray:
+    """Of rows of triangles (-1: none), those that share no triangle with an earlier row that asks for it."""
+    rank = np.repeat(np.arange(len(wanted)), wanted.shape[1]).reshape(wanted.shape)
+    first = np.empty(n + 1, np.int64)
+    first[wanted.ravel()[::-1]] = rank.ravel()[::-1]  # the earliest is written last
+    return ((first[wanted] == rank) | (wanted < 0)).all(axis=1)
+
+
+def _edges(triangles: np.ndarray) -> np.ndarray:
+    """For each half edge 3 * t + k, from corner k to the next one of triangle t, its other half, or -1."""
+    i, j = triangles.ravel(), np.roll(triangles, -1, axis=1).ravel()
+    key = np.minimum(i, j) << 32 | np.maximum(i, j)
+    order = np.argsort(key, kind="stable")
+    at = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    other = np.full(len(key), -1)
+    other[order[at]], other[order[at + 1]] = order[at + 1], order[at]
+    return other
+
+
+def _next(half: np.ndarray, step: int) -> np.ndarray:
+    return half // 3 * 3 + (half + step) % 3
+
+
+def _flip(points: np.ndarray, triangles: np.ndarray, changed: np.ndarray) -> None:
+    """Flip edges, many apart from each other at a time, until each circle around a triangle is empty; whole numbers, so exact.
+
+    Only edges of ``changed`` triangles need it at first, then those of the ones that a flip made.
+    """
+    other, flat = _edges(triangles), triangles.reshape(-1)
+    todo = np.flatnonzero(changed)
+    while len(todo):
+        half = (3 * todo[:, None] + np.arange(3)).ravel()
+        half = half[other[half] >= 0]
+        d = points[flat[_next(other[half], 2)]]
+        (ax, ay), (bx, by), (cx, cy) = ((points[flat[_next(half, k)]] - d).T for k in range(3))
+        a, b, c = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
+        bad = half[a * (bx * cy - by * cx) - b * (ax * cy - ay * cx) + c * (ax * by - ay * bx) > 0]
+        won = _winners(np.stack([bad // 3, other[bad] // 3], axis=1), len(triangles))
+        half, back = bad[won], other[bad[won]]
+        t, u = half // 3, back // 3
+        i, j, k, m = flat[half], flat[back], flat[_next(half, 2)], flat[_next(back, 2)]
+        # the four outer edges move to (i, m, k) and (m, j, k)
+        old = np.concatenate([_next(half, 1), _next(half, 2), _next(back, 1), _next(back, 2)])
+        new = np.concatenate([3 * u + 1, 3 * t + 2, 3 * t, 3 * u])
+        moved = np.arange(len(other))
+        moved[old] = new
+        beyond = other[old]
+        beyond = np.where(beyond < 0, -1, moved[beyond])
+        other[new], other[beyond[beyond >= 0]] = beyond, new[beyond >= 0]
+        other[3 * t + 1], other[3 * u + 2] = 3 * u + 2, 3 * t + 1
+        triangles[t], triangles[u] = np.stack([i, m, k], axis=1), np.stack([m, j, k], axis=1)
+        changed[t] = changed[u] = True
+        todo = np.unique(np.concatenate([t, u, bad[~won] // 3]))
 
 
 def greedy(height: np.ndarray, max_error: float) -> Mesh:
-    """The same by inserting the pixel with the largest error until none exceeds ``max_error``."""
-    d = Delaunay(len(height) - 1)
-    alive: set[Triangle] = set()
-    heap: list[tuple[float, int, int, Triangle]] = []
-
-    def enter(new: Iterable[Triangle]) -> None:
-        for t in new:
-            error, (x, y) = _worst(height, np.array([d.points[i] for i in t]))
-            alive.add(t)
-            if error > max_error:
-                heapq.heappush(heap, (-error, y, x, t))
-
-    enter(d.triangles)
-    while heap:
-        _, y, x, t = heapq.heappop(heap)
-        if t in alive:
-            gone, new = d.insert((x, y))
-            alive -= gone
-            enter(new)
-    return np.array(d.points), np.array(sorted(d.triangles))
+    """The same by inserting pixels with large errors until none exceeds ``max_error``.
+
+    In a round each triangle whose largest error is over half of the largest of all gets that pixel, if no
+    worse one touches it: a triangle is cut in three, the two at an edge in four. Then edges are flipped.
+    """
+    side = len(height) - 1
+    points = np.array([(0, 0), (side, 0), (0, side), (side, side)])
+    triangles = np.array([(0, 1, 2), (2, 1, 3)])
+    error, place, changed = np.zeros(2), np.zeros((2, 2), np.int64), np.ones(2, bool)
+    while True:
+        new = np.flatnonzero(changed)
+        error[new], place[new] = _worst_of_each(height, points[triangles[new]])
+        changed[:] = False
+        at = np.flatnonzero((error > max_error) & (2 * error >= error.max()))
+        if not len(at):
+            named = np.take_along_axis(triangles, (triangles.argmin(axis=1)[:, None] + np.arange(3)) % 3, axis=1)
+            return points, named[np.lexsort(named.T[::-1])]
+        at = at[np.lexsort((place[at, 0], place[at, 1], -error[at]))]
+        corners = points[triangles[at]]
+        on_edge = np.stack([_double_area(corners[:, k], corners[:, (k + 1) % 3], place[at]) == 0 for k in range(3)], axis=1)
+        half = 3 * at + on_edge.argmax(axis=1)
+        back = np.where(on_edge.any(axis=1), _edges(triangles)[half], -1)
+        won = _winners(np.stack([at, np.where(back < 0, -1, back // 3)], axis=1), len(triangles))
+        at, half, back, on_edge = at[won], half[won], back[won], on_edge[won].any(axis=1)
+        p = len(points) + np.arange(len(at))
+        points = np.concatenate([points, place[at]])
+        flat = triangles.ravel()
+        i, j, k, m = flat[half], flat[_next(half, 1)], flat[_next(half, 2)], flat[_next(back, 2)]
+        inside, shared = ~on_edge, back >= 0
+        made = [np.stack(t, axis=1) for t in ((p, j, k), (p[inside], i[inside], j[inside]), (j[shared], p[shared], m[shared]))]
+        triangles = np.concatenate([triangles, *made])
+        triangles[at] = np.stack([p, k, i], axis=1)
+        triangles[back[shared] // 3] = np.stack([p, i, m], axis=1)[shared]
+        grown = len(triangles) - len(error)
+        error, place, changed = np.r_[error, np.zeros(grown)], np.concatenate([place, np.zeros((grown, 2), np.int64)]), np.r_[changed, np.ones(grown, bool)]
+        changed[at] = changed[back[shared] // 3] = True
+        _flip(points, triangles, changed)
 
 
 def regular(height: np.ndarray, max_error: float) -> Mesh:

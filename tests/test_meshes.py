@@ -143,3 +143,28 @@ def test_heights_of_all_tiles(spark, tmp_path, name, size):
     rows = plans.QUERIES[name](spark, str(tmp_path)).collect()
     assert {t: sum(r.tile == t for r in rows) for t in keys} == dict.fromkeys(keys, 36) and len(rows) == 144
     assert all(r.h == (r.tile * 31 + r.vx * 7 + (size - r.vy) * 13) % 97 for r in rows)
+
+
+@pytest.mark.parametrize("max_error", [0.0, 3.0, 12.0])
+def test_greedy_keeps_the_error_and_empty_circles(max_error):
+    rng = np.random.default_rng(3)
+    y, x = np.mgrid[0:33, 0:33]
+    height = 40 * np.sin(x / 5) * np.cos(y / 7) + rng.normal(0, 2, (33, 33))
+    height[4, 9] = np.nan  # a pixel without a height asks for nothing
+    points, triangles = adaptive.greedy(height, max_error)
+    assert len(np.unique(points, axis=0)) == len(points)
+    a, b, c = (points[triangles[:, k]] for k in range(3))
+    area = (b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0])
+    assert (area > 0).all() and area.sum() == 2 * 32 * 32
+    for (i, j, k), (p, q, r) in zip(triangles.tolist(), points[triangles].tolist(), strict=True):
+        d = points - np.array(r)
+        (ax, ay), (bx, by) = np.array(p) - r, np.array(q) - r
+        s = ax * ax + ay * ay, bx * bx + by * by, (d**2).sum(axis=1)
+        circle = s[2] * (ax * by - bx * ay) - s[0] * (d[:, 0] * by - bx * d[:, 1]) - s[1] * (ax * d[:, 1] - d[:, 0] * ay)
+        assert (circle >= 0).all()  # no point lies inside the circle around the triangle
+        for col in range(min(p[0], q[0], r[0]), max(p[0], q[0], r[0]) + 1):
+            for row in range(min(p[1], q[1], r[1]), max(p[1], q[1], r[1]) + 1):
+                w = [(v[0] - u[0]) * (row - u[1]) - (v[1] - u[1]) * (col - u[0]) for u, v in ((q, r), (r, p), (p, q))]
+                if min(w) >= 0:
+                    plane = sum(n * height[o[1], o[0]] for n, o in zip(w, (p, q, r), strict=True)) / sum(w)
+                    assert np.isnan(height[row, col]) or abs(plane - height[row, col]) <= max_error + 1e-9
