@@ -344,6 +344,62 @@ def test_strobes_against_every_pair_of_seeds():
             assert (i in got) == bool(all_) and (not all_ or (got[i][0] == min(all_)[0] and got[i] in all_))
 
 
+@pytest.mark.parametrize("rate", [0.05, 0.10, 0.15])
+def test_edited_passages_whose_strobes_are_common(spark, rate):
+    """Each two seeds of the passages stand at their distance in many earlier documents, which hold two pieces of 18 words in their places."""
+    rng = random.Random(21)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, wanted = [], set()
+    for k in range(20):
+        passage = words(70)
+        for _ in range(300):
+            i, j = rng.randrange(-13, 66), rng.randrange(-13, 66)
+            rows.append((len(rows), " ".join(words(10) + [w if i <= b < i + 18 or j <= b < j + 18 else words(1)[0] for b, w in enumerate(passage)] + words(10)), "a"))
+        edited = [words(1)[0] if rng.random() < rate else w for w in passage]
+        rows += [(10**6 + 2 * k + n, " ".join(words(30) + p + words(30)), "a") for n, p in enumerate((passage, edited))]
+        wanted.add((10**6 + 2 * k + 1, 10**6 + 2 * k))
+    found = {(r.doc_id, r.other_id) for r in substring_dedup.shared_passages(frame(spark, rows)).collect()}
+    assert len(found & wanted) >= 18 and found <= wanted, len(found & wanted)
+
+
+def test_group_of_more_edited_passages_than_a_strobe_lists(spark):
+    rng = random.Random(22)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, rows = words(70), []
+    for i in range(3 * substring_dedup.HUGE):
+        edited = list(passage)
+        for at in rng.sample(range(70), 3):
+            edited[at] = words(1)[0]
+        rows.append((i, " ".join(words(20) + edited + words(20)), "a"))
+    out = substring_dedup.shared_passages(frame(spark, rows).coalesce(2)).collect()
+    groups = {d: d for d, _, _ in rows}
+    for r in sorted(out, key=lambda r: (r.doc_id, r.other_id)):
+        assert r.other_id < r.doc_id and r.edits <= 0.25 * max(r.n_words, r.other_words)
+        groups[r.doc_id] = min(groups[r.doc_id], groups[r.other_id])
+    assert set(groups.values()) == {0}
+
+
+def test_longer_strobes_and_windows_against_every_seed():
+    rng = np.random.default_rng(6)
+    docs = np.repeat(np.arange(5), 160)
+    places = np.concatenate([np.sort(rng.integers(0, 120, 160)) for _ in range(5)])
+    keys = rng.integers(0, 30, 800).astype(np.uint64)
+    steps = rng.integers(5, 40, 800)
+    at, joint, distance = substring_dedup.further((docs, keys, places), docs, keys, places, steps)
+    got, base = dict(zip(at.tolist(), zip(joint.tolist(), distance.tolist(), strict=True), strict=True)), substring_dedup.fmix(keys + substring_dedup._SALTS[0])
+    for i in range(800):
+        behind = np.flatnonzero((docs == docs[i]) & (places >= places[i] + steps[i] + 5) & (places <= places[i] + 45))
+        all_ = [(int(substring_dedup.fmix(base[i : i + 1] ^ keys[j : j + 1])[0]), int(places[j] - places[i])) for j in behind]
+        assert (i in got) == bool(all_) and (not all_ or (got[i][0] == min(all_)[0] and got[i] in all_))
+    # two documents with equal words from place 20 and 27 on, the second with a seed missing behind them
+    names = rng.integers(0, 1 << 60, 60).astype(np.uint64)
+    two = np.repeat([1, 2], 60), np.r_[names, names], np.r_[20 + np.arange(60), 27 + np.arange(60)]
+    keep = np.arange(120) != 60 + 50
+    windows = substring_dedup.whole_windows(*(c[keep] for c in two))
+    assert (windows[:15] > 0).all() and (windows[15:60] == 0).all() and len(set(windows[:15].tolist())) == 15
+    assert (windows[60:65] == windows[:5]).all() and (windows[65:] == 0).all()
+
+
 def test_passage_of_a_large_group(spark):
     rng = random.Random(13)
     words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
