@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orograph.llm.common import each_text, scratch, utf8
+from orograph.llm.common import each_text, rows_at_once, scratch, utf8
 
 #: Documents of the sample that the bisection is fitted on, and the most bytes of one of them.
 SAMPLE, SAMPLE_BYTES = 4096, 1 << 16
@@ -375,7 +375,8 @@ def search(index: Index, items: DataFrame, *, k: int = 50, first: int = 4, block
     def done(rows: list) -> None:
         nonlocal out
         names = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "query int, item_id long")
-        ranked = _search_block(index, [r[1] for r in rows], k, first)
+        with rows_at_once(spark, 1):  # of the index: a shard
+            ranked = _search_block(index, [r[1] for r in rows], k, first)
         ranked = ranked.join(F.broadcast(names), "query").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
         out = ranked if out is None else out.unionByName(ranked)
 

@@ -93,3 +93,20 @@ def test_few_shards_are_visited(spark, monkeypatch):
     got = lexical_search.search(index, asked, k=5, first=1)
     assert Counter(map(tuple, got.select("item_id", "rank", "doc_id", "score").collect())) == brute(docs, [(1, "t3w1 t3w2 t3w5"), (2, "t6w7 t6w9")], 5)
     assert shards >= 12 and 1 <= len(visits) <= 3
+
+
+def test_shards_are_read_one_at_once(spark, monkeypatch):
+    """While a block is searched tasks hold one shard; what was set before holds afterwards, after an error too."""
+    names, seen = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"], []
+    settings = lambda: [spark.conf.get(n) for n in names]
+    before, block = settings(), lexical_search._search_block
+    monkeypatch.setattr(lexical_search, "_search_block", lambda *a: seen.append(settings()) or block(*a))
+    docs, items = frames(spark, [(i, f"a b w{i}") for i in range(40)], [(1, "a w3"), (2, "w9")])
+    index = lexical_search.build_index(docs, shard_docs=4)
+    assert lexical_search.search(index, items, k=3).count() == 4 and seen == [["1", "1"]] and settings() == before
+    monkeypatch.setattr(lexical_search, "_search_block", lambda *a: 1 / 0)
+    try:
+        lexical_search.search(index, items)
+    except ZeroDivisionError:
+        pass
+    assert settings() == before
