@@ -410,6 +410,44 @@ def test_passage_of_a_large_group(spark):
     assert {r.doc_id for r in out if r.other_id == 0} == set(range(1, 400)) and len(out) < 2 * 400
 
 
+def test_copies_and_holders_of_one_passage_are_not_paired(spark):
+    """Each copy meets its first one, and of passages with fifty equal words each the first; other texts stay linked with all."""
+    rng = random.Random(23)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, text = words(68), words(120)
+    edited = [words(1)[0] if i % 9 == 4 else w for i, w in enumerate(passage)]
+    rows = [(i, " ".join(words(20) + passage + words(20)), "a") for i in range(100)]
+    rows += [(200 + i, " ".join(text), "a") for i in range(7)]
+    rows += [(300, " ".join([*text[:60], "x", *text[61:]]), "a"), (400, " ".join(words(20) + edited + words(20)), "a")]
+    out = substring_dedup.shared_passages(frame(spark, rows).coalesce(2)).collect()
+    pairs = Counter((r.doc_id, r.other_id) for r in out)
+    assert {p for p in pairs if 200 <= p[0] < 300} == {(200 + i, 200) for i in range(1, 7)}
+    assert {p for p in pairs if p[0] == 300} == {(300, 200)} and {p[1] for p in pairs if p[0] == 400} == set(range(100))
+    held = [r for r in out if r.doc_id < 100]
+    assert {r.doc_id for r in held if r.other_id == 0} == set(range(1, 100)) and len(held) < 3 * 100
+    assert all((r.start_word, r.n_words, r.other_start, r.other_words, r.edits) == (0, 120, 0, 120, 0) for r in out if 200 < r.doc_id < 300)
+
+
+def test_windows_that_hold_a_strobe():
+    """Two strobes of one place and length are told equal only where fifty words around both are."""
+    rng = np.random.default_rng(7)
+    names = rng.integers(0, 1 << 60, 60).astype(np.uint64)
+    # sixty equal seeds in a row, from place 40 and from place 33 on; the second has others before and behind them, apart
+    docs, keys = np.repeat([3, 9], [60, 132]), np.r_[names, rng.integers(0, 1 << 60, 32).astype(np.uint64), names, rng.integers(0, 1 << 60, 40).astype(np.uint64)]
+    places = np.r_[40 + np.arange(60), np.arange(32), 33 + np.arange(60), 94 + np.arange(40)]
+    windows = substring_dedup.whole_windows(docs, keys, places)
+    held = substring_dedup.held_windows(windows, (docs, places), docs, places, np.full(192, 20))
+    assert (held[:40] > 0).all() and (held[40:60] == 0).all() and len(set(held[:40].tolist())) == 40
+    assert (held[92:132] == held[:40]).all() and not held[60:92].any() and not held[132:].any()
+
+
+def test_a_text_goes_to_few_cells(spark):
+    pairs = [(d, o, [0, 0, 30], [1]) for d in range(60) for o in range(d)] + [(1000 + d, 999, [0, 0, 30], [1]) for d in range(5)]
+    cells = substring_dedup._cells(spark.createDataFrame(pairs, "doc_id long, other_id long, runs array<int>, lengths array<int>")).collect()
+    assert sorted((r.doc_id, r.other_id) for r in cells) == sorted(p[:2] for p in pairs)
+    assert len({(r.cell, d) for r in cells for d in (r.doc_id, r.other_id)}) <= 3 * 60 + 6
+
+
 def test_passages_against_every_stretch(spark):
     """Random texts of common phrases: each stretch of fifty equal words or more has a row over part of it."""
     rng = random.Random(14)
