@@ -75,3 +75,10 @@ def test_expired_tiles(spark, sf_dir):
     got = plans.QUERIES["stream_expiry"](spark, sf_dir).selectExpr("z", "x", "y", "cast(ts as double) as ts").collect()
     assert len(got) == len(wanted) > 0
     assert all(abs(wanted[r.z, r.x, r.y] - r.ts) < 1e-3 for r in got)
+
+
+def test_tile_files_beyond_the_pyramid_are_read_back(spark, tmp_path):
+    keys = [(1, 0, 0), (1, 1, 2), (7, 9, 599), (3, -1, -2)]
+    tiles = spark.createDataFrame([(*k, bytearray(repr(k).encode())) for k in keys], "z long, x long, y long, data binary")
+    files.write_tiles(tiles, str(tmp_path))
+    assert {(r.z, r.x, r.y): bytes(r.data).decode() for r in files.read_tiles(spark, str(tmp_path)).collect()} == {k: repr(k) for k in keys}
