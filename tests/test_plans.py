@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orograph import plans
-from orograph.operators import mesh, tables
+from orograph.operators import mesh, raster, tables
 
 
 def planned(df):
@@ -31,3 +31,14 @@ def test_only_pixels_under_vertices_are_exchanged(spark):
 def test_tiles_are_dealt_by_their_number(spark):
     assert tables.spread(spark.range(250), "id", each=100).rdd.getNumPartitions() == 3
     assert tables.spread(spark.range(0), "id", each=100).rdd.getNumPartitions() == 1
+
+
+def test_taps_are_added_in_one_order(spark):
+    """1e16 + 1 - 1e16 and the like: the sum hangs on the order, and that is by row and column for any number of partitions."""
+    values = {(0, 0): 1e16, (0, 1): 1.0, (1, 0): -1e16, (1, 1): 1.0}
+    points = spark.createDataFrame([(t, 0, 0.5, 0.5) for t in range(20)], "tile long, pid long, px double, py double")
+    rows = [(t, r, c, h) for t in range(20) for (r, c), h in values.items()]
+    for n in (1, 3):
+        pixels = spark.createDataFrame(rows[::-1], "tile long, row long, col long, h double").repartition(n)
+        got = {r.h for r in raster.interpolate(points, pixels, ["tile"], "bilinear").collect()}
+        assert got == {(((2.5e15 + 0.25) - 2.5e15) + 0.25) / 1.0}
