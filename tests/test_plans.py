@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from orograph import plans
-from orograph.operators import mesh, raster, tables
+from orograph.operators import mesh, raster, serve, stitch, tables, tile_meshes
+from orograph.plans import inputs
 
 
 def planned(df):
@@ -42,3 +43,23 @@ def test_taps_are_added_in_one_order(spark):
         pixels = spark.createDataFrame(rows[::-1], "tile long, row long, col long, h double").repartition(n)
         got = {r.h for r in raster.interpolate(points, pixels, ["tile"], "bilinear").collect()}
         assert got == {(((2.5e15 + 0.25) - 2.5e15) + 0.25) / 1.0}
+
+
+def test_lists_of_tiles_are_not_sent_whole(spark, sf_dir):
+    for name in ("encode_grid_tiles", "gzip_roundtrip"):
+        assert "BroadcastHashJoin" not in planned(plans.QUERIES[name](spark, sf_dir))
+
+
+def test_stitching_tiles_as_lists_equals_stitching_rows(spark, sf_dir):
+    """Against windows and joins over rows."""
+    tiles = inputs.mesh_tiles(spark, sf_dir)
+    v = mesh.grid_vertices(tiles, 4).withColumn("h", F.expr(inputs.HEIGHT)).drop("tile", "i", "j")
+    t = mesh.grid_triangles(tiles, 4).drop("tile")
+    normals = mesh.vertex_normals(mesh.to_ecef(mesh.rescale(v)), t)
+    wanted = mesh.to_ecef(mesh.rescale(stitch.average_edges(v.join(normals, ["z", "x", "y", "vid"]), ["h", "nx", "ny", "nz"], size=mesh.GRID)))
+    columns = ["z", "x", "y", "vid", "vx", "vy", "h", "lon", "lat", "px", "py", "pz", "nx", "ny", "nz"]
+    got = tile_meshes.vertices(tile_meshes.stitched_grids(tile_meshes.grouped(v, t), size=mesh.GRID))
+    a, b = (sorted(map(tuple, df.select(columns).collect())) for df in (got, wanted))
+    assert len(a) == len(b) == 250 and all(p == pytest.approx(q, rel=1e-9, abs=1e-9) for p, q in zip(a, b, strict=True))
+    grid = serve.GridStitcher().stitch(v, t)
+    assert sorted(map(tuple, grid.select(columns).collect())) == a
