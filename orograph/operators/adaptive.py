@@ -6,6 +6,7 @@ small numpy problem (at most 257 x 257 pixels).
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,46 +14,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orograph.operators import stitch
+from orograph.operators import tile_meshes
 
 Mesh = tuple[np.ndarray, np.ndarray]
 _VERTICES = "vertices array<struct<vx: long, vy: long, h: double>>"
 _TRIANGLES = "triangles array<struct<a: long, b: long, c: long>>"
 
 
-def _halves(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    m = (a + b) // 2
-    return m, np.concatenate([c, b]), np.concatenate([a, c]), np.concatenate([m, m])
+@functools.cache
+def _split_levels(side: int) -> list[tuple[np.ndarray, ...]]:
+    """For each level of halving a grid of side + 1 pixels, from the coarsest: corners a, b, c and middle m of the triangles, as places in the grid's rows.
 
-
-def rtin(height: np.ndarray, max_error: float) -> Mesh:
-    """(pixel places (col, row), triangles) of a right-triangulated irregular network on a (2^k + 1)² grid."""
-    t = len(height) - 1
-    a, b, c = (np.array(p) for p in ([[0, 0], [t, t]], [[t, t], [0, 0]], [[t, 0], [0, t]]))
-    at = lambda grid, p: grid[p[:, 1], p[:, 0]]
+    Then, of each middle once, the numbers of the one or two triangles that have it. The halves of triangle i are i
+    and i + n on the next level.
+    """
+    a, b, c = (np.array(p) for p in ([[0, 0], [side, side]], [[side, side], [0, 0]], [[side, 0], [0, side]]))
+    flat = lambda p: (p[:, 1] * (side + 1) + p[:, 0]).astype(np.int32)
     levels = []
     while np.abs(a[0] - b[0]).max() > 1:
-        m, na, nb, nc = _halves(a, b, c)
-        levels.append((a, b, m))
-        a, b, c = na, nb, nc
-    error = np.zeros(height.shape)
-    for k in range(len(levels) - 1, -1, -1):
-        a, b, m = levels[k]
-        own = np.abs((at(height, a) + at(height, b)) / 2 - at(height, m))
-        if k + 1 < len(levels):
-            below = at(error, levels[k + 1][2]).reshape(2, -1).max(axis=0)
-            own = np.maximum(own, below)
-        np.maximum.at(error, (m[:, 1], m[:, 0]), own)
-    a, b, c = (np.array(p) for p in ([[0, 0], [t, t]], [[t, t], [0, 0]], [[t, 0], [0, t]]))
-    done = []
-    while len(a):
         m = (a + b) // 2
-        split = (np.abs(a - b).max(axis=1) > 1) & (at(error, m) > max_error)
-        done.append(np.stack([a, b, c], axis=1)[~split])
-        _, a, b, c = _halves(a[split], b[split], c[split])
-    corners = np.concatenate(done).reshape(-1, 2)
-    places, number = np.unique(corners, axis=0, return_inverse=True)
-    return places, number.reshape(-1, 3)
+        at = flat(m)
+        order = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0])
+        last = np.r_[first[1:], len(at)] - 1
+        levels.append((flat(a), flat(b), flat(c), at, order[first], order[last]))
+        a, b, c = np.concatenate([c, b]), np.concatenate([a, c]), np.concatenate([m, m])
+    levels.append((flat(a), flat(b), flat(c)))
+    return levels
+
+
+def rtin(height: np.ndarray, max_error: float) -> Mesh:
+    """(pixel places (col, row), triangles) of a right-triangulated irregular network on a (2^k + 1)² grid."""
+    levels, h = _split_levels(len(height) - 1), height.ravel()
+    error, below = np.zeros(h.size), None
+    for a, b, _, m, first, last in levels[-2::-1]:
+        own = np.abs((h[a] + h[b]) / 2 - h[m])
+        if below is not None:
+            own = np.maximum(own, error[below].reshape(2, -1).max(axis=0))
+        error[m[first]] = np.maximum(own[first], own[last])
+        below = m
+    done, rows = [], np.arange(2)
+    for a, b, c, *middle in levels:
+        split = error[middle[0][rows]] > max_error if middle else np.zeros(len(rows), bool)
+        whole = rows[~split]
+        done.append(np.stack([a[whole], b[whole], c[whole]], axis=1))
+        rows = np.concatenate([rows[split], rows[split] + len(a)])
+    corners = np.concatenate(done)
+    used, number = np.unique(corners, return_inverse=True)
+    places = np.stack([used % len(height), used // len(height)], axis=1).astype(np.int64)
+    order = np.lexsort((places[:, 1], places[:, 0]))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return places[order], rank[number].reshape(-1, 3)
 
 
 Triangle = tuple[int, int, int]
@@ -139,32 +152,48 @@ def _double_area(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0])
 
 
-def _worst_of_each(height: np.ndarray, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each triangle (n x 3 x 2) the largest vertical error over its pixels but the corners, and its place (col, row).
+def _worst_of_each(heights: np.ndarray, grid: np.ndarray, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each triangle (n x 3 x 2, of positive area) on its grid the largest vertical error over its pixels but the corners, and its place (col, row).
 
-    Ties go by row, then column; pixels without a height have no error. -1 where there is no such pixel.
+    Ties go by row, then column; pixels without a height have no error. -1 where there is no such pixel. In each row a
+    triangle's pixels are one span, along which its plane is a line.
     """
-    low, size = corners.min(axis=1), np.ptp(corners, axis=1) + 1
-    count = size.prod(axis=1)
-    start = np.r_[0, np.cumsum(count)[:-1]]
+    side = heights.shape[-1]
+    x, y = corners[..., 0], corners[..., 1]
+    low = y.min(axis=1)
+    count = y.max(axis=1) + 1 - low
+    start = np.r_[0, np.cumsum(count)]
     own = np.repeat(np.arange(len(corners)), count)
-    at = np.arange(len(own)) - start[own]
-    pixels = np.stack([at % size[own, 0], at // size[own, 0]], axis=1) + low[own]
-    a, b, c = (corners[own, k] for k in range(3))
-    weights = np.stack([_double_area(pixels, b, c), _double_area(a, pixels, c), _double_area(a, b, pixels)])
-    area = weights.sum(axis=0)
-    plane = sum(w * height[p[:, 1], p[:, 0]] for w, p in zip(weights, (a, b, c), strict=True)) / area
-    error = np.abs(plane - height[pixels[:, 1], pixels[:, 0]])
-    error = np.where((weights >= 0).all(axis=0) & (weights < area).all(axis=0) & ~np.isnan(error), error, -1.0)
-    most = np.maximum.reduceat(error, start)
-    hit = np.flatnonzero(error == most[own])
-    first = hit[np.r_[True, np.diff(own[hit]) > 0]]
-    return most, pixels[first]
+    row = np.arange(len(own)) - start[own] + low[own]
+    left, right = x.min(axis=1)[own], x.max(axis=1)[own]
+    for k in range(3):  # inside is where (bx - ax) (row - ay) >= (by - ay) (col - ax)
+        ax, ay, dx, dy = x[:, k], y[:, k], np.roll(x, -1, axis=1)[:, k] - x[:, k], np.roll(y, -1, axis=1)[:, k] - y[:, k]
+        over, by = dx[own] * (row - ay[own]), dy[own]
+        cut = ax[own] + np.where(by > 0, over // np.where(by > 0, by, 1), -(over // np.where(by < 0, -by, 1)))
+        right, left = np.where(by > 0, np.minimum(right, cut), right), np.where(by < 0, np.maximum(left, cut), left)
+    length = np.maximum(right - left + 1, 0)
+    a, b, c = (heights[grid, y[:, k], x[:, k]] for k in range(3))
+    area = _double_area(corners[:, 0], corners[:, 1], corners[:, 2])
+    slope_x = ((b - a) * (y[:, 2] - y[:, 0]) - (c - a) * (y[:, 1] - y[:, 0])) / area
+    slope_y = ((c - a) * (x[:, 1] - x[:, 0]) - (b - a) * (x[:, 2] - x[:, 0])) / area
+    begin = a[own] + slope_x[own] * (left - x[own, 0]) + slope_y[own] * (row - y[own, 0])
+    first = np.r_[0, np.cumsum(length)]
+    along = np.arange(first[-1]) - np.repeat(first[:-1], length)
+    at = along + np.repeat((grid[own] * side + row) * side + left, length)
+    error = np.abs(np.repeat(begin, length) + np.repeat(slope_x[own], length) * along - heights.ravel()[at])
+    error[np.isnan(error)] = -1.0
+    spans = start[:-1, None] + y - low[:, None]
+    error[(first[spans] + x - left[spans]).ravel()] = -1.0  # corners
+    most = np.maximum.reduceat(error, first[start[:-1]])
+    hit = np.flatnonzero(error == np.repeat(most, np.add.reduceat(length, start[:-1])))
+    triangle = np.searchsorted(first[start[1:]], hit, side="right")
+    hit = at[hit[np.r_[True, np.diff(triangle) > 0]]]
+    return most, np.stack([hit % side, hit // side % side], axis=1)
 
 
 def _worst(height: np.ndarray, corners: np.ndarray) -> tuple[float, tuple[int, int]]:
     """The same for one triangle."""
-    error, place = _worst_of_each(height, corners[None])
+    error, place = _worst_of_each(height[None], np.zeros(1, np.int64), corners[None])
     return float(error[0]), (int(place[0, 0]), int(place[0, 1]))
 
 
@@ -224,23 +253,31 @@ def _flip(points: np.ndarray, triangles: np.ndarray, changed: np.ndarray) -> Non
 
 
 def greedy(height: np.ndarray, max_error: float) -> Mesh:
-    """The same by inserting pixels with large errors until none exceeds ``max_error``.
+    """The same by inserting pixels with large errors until none exceeds ``max_error``."""
+    return greedy_many(height[None], np.array([max_error]))[0]
+
 
-    In a round each triangle whose largest error is over half of the largest of all gets that pixel, if no
-    worse one touches it: a triangle is cut in three, the two at an edge in four. Then edges are flipped.
+def greedy_many(heights: np.ndarray, max_error: np.ndarray) -> list[Mesh]:
+    """The same for grids of one size at once, each as if it were alone.
+
+    In a round each triangle whose largest error is over half of the largest of its grid gets that pixel, if no
+    worse one touches it: a triangle is cut in three, the two at an edge in four. Then edges are flipped. Points
+    and triangles of all grids stand in the same arrays, and no two grids share any.
     """
-    side = len(height) - 1
-    points = np.array([(0, 0), (side, 0), (0, side), (side, side)])
-    triangles = np.array([(0, 1, 2), (2, 1, 3)])
-    error, place, changed = np.zeros(2), np.zeros((2, 2), np.int64), np.ones(2, bool)
+    n, side = len(heights), heights.shape[-1] - 1
+    points = np.tile(np.array([(0, 0), (side, 0), (0, side), (side, side)]), (n, 1))
+    triangles = (np.array([(0, 1, 2), (2, 1, 3)]) + 4 * np.arange(n)[:, None, None]).reshape(-1, 3)
+    grid, of_point = np.repeat(np.arange(n), 2), np.repeat(np.arange(n), 4)
+    error, place, changed = np.zeros(2 * n), np.zeros((2 * n, 2), np.int64), np.ones(2 * n, bool)
     while True:
         new = np.flatnonzero(changed)
-        error[new], place[new] = _worst_of_each(height, points[triangles[new]])
+        error[new], place[new] = _worst_of_each(heights, grid[new], points[triangles[new]])
         changed[:] = False
-        at = np.flatnonzero((error > max_error) & (2 * error >= error.max()))
+        most = np.zeros(n)
+        np.maximum.at(most, grid, error)
+        at = np.flatnonzero((error > max_error[grid]) & (2 * error >= most[grid]))
         if not len(at):
-            named = np.take_along_axis(triangles, (triangles.argmin(axis=1)[:, None] + np.arange(3)) % 3, axis=1)
-            return points, named[np.lexsort(named.T[::-1])]
+            return [_of_one(points[of_point == g], np.flatnonzero(of_point == g), triangles[grid == g]) for g in range(n)]
         at = at[np.lexsort((place[at, 0], place[at, 1], -error[at]))]
         corners = points[triangles[at]]
         on_edge = np.stack([_double_area(corners[:, k], corners[:, (k + 1) % 3], place[at]) == 0 for k in range(3)], axis=1)
@@ -249,12 +286,13 @@ def greedy(height: np.ndarray, max_error: float) -> Mesh:
         won = _winners(np.stack([at, np.where(back < 0, -1, back // 3)], axis=1), len(triangles))
         at, half, back, on_edge = at[won], half[won], back[won], on_edge[won].any(axis=1)
         p = len(points) + np.arange(len(at))
-        points = np.concatenate([points, place[at]])
+        points, of_point = np.concatenate([points, place[at]]), np.r_[of_point, grid[at]]
         flat = triangles.ravel()
         i, j, k, m = flat[half], flat[_next(half, 1)], flat[_next(half, 2)], flat[_next(back, 2)]
         inside, shared = ~on_edge, back >= 0
         made = [np.stack(t, axis=1) for t in ((p, j, k), (p[inside], i[inside], j[inside]), (j[shared], p[shared], m[shared]))]
         triangles = np.concatenate([triangles, *made])
+        grid = np.concatenate([grid, grid[at], grid[at][inside], grid[at][shared]])
         triangles[at] = np.stack([p, k, i], axis=1)
         triangles[back[shared] // 3] = np.stack([p, i, m], axis=1)[shared]
         grown = len(triangles) - len(error)
@@ -263,6 +301,13 @@ def greedy(height: np.ndarray, max_error: float) -> Mesh:
         _flip(points, triangles, changed)
 
 
+def _of_one(points: np.ndarray, numbers: np.ndarray, triangles: np.ndarray) -> Mesh:
+    """One grid's points, which have these numbers, and its triangles in order, each from its smallest corner on."""
+    own = np.searchsorted(numbers, triangles)
+    named = np.take_along_axis(own, (own.argmin(axis=1)[:, None] + np.arange(3)) % 3, axis=1)
+    return points, named[np.lexsort(named.T[::-1])]
+
+
 def regular(height: np.ndarray, max_error: float) -> Mesh:
     """A plain lattice of 18 cells at most, whatever the error: what an unknown method gives."""
     side = len(height) - 1
@@ -276,17 +321,13 @@ def regular(height: np.ndarray, max_error: float) -> Mesh:
 MESHERS: dict[str, Callable[[np.ndarray, float], Mesh]] = {"martini": rtin, "delatin": greedy}
 
 
-def _structs(parts: list[list[np.ndarray]], names: str, types: list[pa.DataType]) -> pa.Array:
-    """Lists of structs, from the columns of each list."""
-    columns = [pa.array(np.concatenate([np.zeros(0), *(p[i] for p in parts)]), pa.float64()).cast(t) for i, t in enumerate(types)]
-    offsets = np.cumsum([0, *(len(p[0]) for p in parts)])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, names.split()))
+def _lists(counts: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Array:
+    """Lists of so many structs each."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.StructArray.from_arrays([pa.array(c) for c in columns.values()], list(columns)))
 
 
-def _rows(schema: pa.Schema, keys: list, made: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    vertices = _structs([[v[:, 0], v[:, 1], h] for v, h, _ in made], "vx vy h", [pa.int64(), pa.int64(), pa.float64()])
-    triangles = _structs([[t[:, 0], t[:, 1], t[:, 2]] for _, _, t in made], "a b c", [pa.int64()] * 3)
-    return pa.RecordBatch.from_arrays([*keys, vertices.cast(schema.field("vertices").type), triangles.cast(schema.field("triangles").type)], schema=schema)
+def _rows(keys: list, vertices: pa.Array, triangles: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*keys, vertices.cast(_SCHEMA.field("vertices").type), triangles.cast(_SCHEMA.field("triangles").type)], schema=_SCHEMA)
 
 
 _SCHEMA = pa.schema(
@@ -294,6 +335,22 @@ _SCHEMA = pa.schema(
 )
 
 
+#: Grids that greedy insertion works on at once.
+AT_ONCE = 32
+
+
+def _meshes(mesher: Callable[[np.ndarray, float], Mesh], grids: list[np.ndarray], most: list[float]) -> list[Mesh]:
+    if mesher is not greedy:
+        return [mesher(g, e) for g, e in zip(grids, most, strict=True)]
+    made: list = [None] * len(grids)
+    for side in {len(g) for g in grids}:
+        same = [i for i, g in enumerate(grids) if len(g) == side]
+        for at in (same[k : k + AT_ONCE] for k in range(0, len(same), AT_ONCE)):
+            for i, m in zip(at, greedy_many(np.stack([grids[i] for i in at]), np.array([most[i] for i in at])), strict=True):
+                made[i] = m
+    return made
+
+
 def triangulate(grids: DataFrame, method: str, *, max_error: float | str) -> DataFrame:
     """z, x, y, vertices (vy from the south), triangles from ``heights``, the rows of a square raster, north first.
 
@@ -303,42 +360,97 @@ def triangulate(grids: DataFrame, method: str, *, max_error: float | str) -> Dat
     grids = grids.select("z", "x", "y", "heights", (F.col(max_error) if isinstance(max_error, str) else F.lit(float(max_error))).cast("double").alias("most"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = []
-            for h, most in zip(b.column("heights"), b.column("most").to_pylist(), strict=True):
-                flat = h.values.to_numpy().astype(np.float64)
-                side = int(round(len(flat) ** 0.5))
-                grid = flat.reshape(side, side)
-                at, triangles = mesher(grid, most)
-                made.append((np.column_stack([at[:, 0], side - 1 - at[:, 1]]), grid[at[:, 1], at[:, 0]], triangles))
-            yield _rows(_SCHEMA, [b.column(c) for c in "zxy"], made)
+        for whole in batches:
+            for b in (whole.slice(k, AT_ONCE) for k in range(0, whole.num_rows, AT_ONCE)):
+                flat = [h.values.to_numpy(zero_copy_only=False).astype(np.float64) for h in b.column("heights")]
+                grids = [f.reshape(side := int(round(len(f) ** 0.5)), side) for f in flat]
+                made = _meshes(mesher, grids, b.column("most").to_pylist())
+                at, faces = np.concatenate([p for p, _ in made]), np.concatenate([t for _, t in made])
+                n = np.array([len(p) for p, _ in made])
+                height = np.concatenate([g[p[:, 1], p[:, 0]] for g, (p, _) in zip(grids, made, strict=True)])
+                south = np.repeat([len(g) - 1 for g in grids], n) - at[:, 1]
+                vertices = _lists(n, {"vx": at[:, 0], "vy": south, "h": height})
+                yield _rows([b.column(c) for c in "zxy"], vertices, _lists(np.array([len(t) for _, t in made]), dict(zip("abc", faces.T, strict=True))))
 
     return grids.mapInArrow(run, f"z long, x long, y long, {_VERTICES}, {_TRIANGLES}")
 
 
+def _insert_on_sides(points: np.ndarray, tile: np.ndarray, added: np.ndarray, triangles: np.ndarray, size: int) -> np.ndarray:
+    """The triangles after points ``added`` (numbers) on the sides of their tiles have cut those that lie there into fans."""
+    for axis, end in ((0, 0), (0, size), (1, 0), (1, size)):
+        on = points[:, axis] == end
+        mine = added[on[added]]
+        half = np.flatnonzero(on[triangles.ravel()] & on[np.roll(triangles, -1, axis=1).ravel()])
+        flat, along = triangles.ravel(), points[:, 1 - axis]
+        i, j = flat[half], flat[_next(half, 1)]
+        order = np.argsort(tile[i] * (size + 1) + np.minimum(along[i], along[j]))
+        half, i, j = half[order], i[order], j[order]
+        edge = np.searchsorted(tile[i] * (size + 1) + np.minimum(along[i], along[j]), tile[mine] * (size + 1) + along[mine], side="right") - 1
+        ahead = np.where(along[i] < along[j], 1, -1)[edge]
+        by = np.lexsort((along[mine] * ahead, edge))
+        mine, edge = mine[by], edge[by]
+        last = np.r_[np.diff(edge) > 0, True][: len(edge)]
+        first = np.r_[True, np.diff(edge) > 0][: len(edge)]
+        after = np.where(last, j[edge], np.roll(mine, -1))
+        fans = np.stack([mine, after, flat[_next(half[edge], 2)]], axis=1)
+        cut = triangles.ravel().copy()
+        cut[_next(half[edge[first]], 1)] = mine[first]
+        triangles = np.concatenate([cut.reshape(-1, 3), fans])
+    return triangles
+
+
+def remeshed(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
+    """Delaunay meshes of tiles with what is ``around`` them."""
+    n, tile, items = tile_meshes.lists(batch.column("v"))
+    m, of_face, faces = tile_meshes.lists(batch.column("t"))
+    _, other, near = tile_meshes.lists(batch.column("around"))
+    own, theirs = (np.stack([tile_meshes.numbers(p, c) for c in ("vx", "vy")], axis=1).astype(np.int64) for p in (items, near))
+    h, their_h = tile_meshes.numbers(items, "h"), tile_meshes.numbers(near, "h")
+    code = lambda t, p: (t * (size + 1) + p[:, 0]) * (size + 1) + p[:, 1]
+    new = np.flatnonzero(~np.isin(code(other, theirs), code(tile, own)))
+    new = new[np.lexsort((their_h[new], code(other, theirs)[new]))]
+    new = new[np.r_[True, np.diff(code(other, theirs)[new]) > 0][: len(new)]]  # the lowest of each place
+    points, of_point, h = np.concatenate([own, theirs[new]]), np.r_[tile, other[new]], np.r_[h, their_h[new]]
+    triangles = np.stack([tile_meshes.numbers(faces, k) for k in "abc"], axis=1) + np.r_[0, np.cumsum(n)][of_face][:, None]
+    turned = _double_area(*(points[triangles[:, k]] for k in range(3))) < 0
+    triangles[turned] = triangles[turned][:, [0, 2, 1]]
+    triangles = _insert_on_sides(points, of_point, np.arange(len(own), len(points)), triangles, size)
+    _flip(points, triangles, np.ones(len(triangles), bool))
+    # the corners stand first, then points by column and row; triangles by number
+    corner = ((points == 0) | (points == size)).all(axis=1)
+    order = np.lexsort((np.where(corner, points[:, 0], points[:, 1]), np.where(corner, points[:, 1], points[:, 0]), ~corner, of_point))
+    counts = np.bincount(of_point, minlength=len(n))
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order)) - np.repeat(np.r_[0, np.cumsum(counts)[:-1]], counts)
+    of_face = of_point[triangles[:, 0]]
+    named = number[triangles]
+    named = np.take_along_axis(named, (named.argmin(axis=1)[:, None] + np.arange(3)) % 3, axis=1)
+    named = named[np.lexsort((*named.T[::-1], of_face))]
+    vertices = _lists(counts, {"vx": points[order, 0], "vy": points[order, 1], "h": h[order]})
+    return _rows([batch.column(c) for c in "zxy"], vertices, _lists(np.bincount(of_face, minlength=len(n)), dict(zip("abc", named.T, strict=True))))
+
+
 def remesh(meshes: DataFrame, *, size: int) -> DataFrame:
     """Delaunay meshes of each tile's own vertices and its neighbours' edge vertices.
 
     Neighbours exchange only edge vertices, so both sides of an edge get the
-    same points; heights where two tiles disagree are the tile's own.
+    same points; heights where two tiles disagree are the tile's own. What comes
+    from the neighbours cuts the triangles on the edges, then edges are flipped.
     """
-    own = meshes.select("z", "x", "y", F.explode("vertices").alias("p")).select("z", "x", "y", "p.vx", "p.vy", "p.h")
-    merged = stitch.merged_vertices(own, size=size)
-    tiles = merged.groupBy("z", "x", "y").agg(F.sort_array(F.collect_list(F.struct("vx", "vy", "h"))).alias("p"))
+    tiles = meshes.select("z", "x", "y", F.col("vertices").alias("v"), F.col("triangles").alias("t"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = []
-            for p in b.column("p"):
-                xs, ys, hs = (p.values.field(k).to_numpy() for k in ("vx", "vy", "h"))
-                height = {(int(x), int(y)): h for x, y, h in zip(xs, ys, hs, strict=True)}
-                d = Delaunay(size)
-                for at in sorted(set(height) - set(d.points)):
-                    d.insert(at)
-                made.append((np.array(d.points), np.array([height.get(at, 0.0) for at in d.points]), np.array(sorted(d.triangles))))
-            yield _rows(_SCHEMA, [b.column(c) for c in "zxy"], made)
-
-    return tiles.mapInArrow(run, f"z long, x long, y long, {_VERTICES}, {_TRIANGLES}")
+        for whole in batches:
+            for k in range(0, whole.num_rows, AT_ONCE):
+                yield remeshed(whole.slice(k, AT_ONCE), size)
+
+    return tile_meshes.gathered(tiles, ["h"], size=size).mapInArrow(run, f"z long, x long, y long, {_VERTICES}, {_TRIANGLES}")
+
+
+def as_tiles(meshes: DataFrame) -> DataFrame:
+    """The meshes as ``tile_meshes`` has them."""
+    v = F.transform("vertices", lambda p, i: F.struct(i.cast("long").alias("vid"), p["vx"].alias("vx"), p["vy"].alias("vy"), p["h"].alias("h")))
+    return meshes.select("z", "x", "y", v.alias("v"), F.col("triangles").alias("t"))
 
 
 def flatten(meshes: DataFrame) -> tuple[DataFrame, DataFrame]:
