@@ -126,3 +126,12 @@ def test_a_second_seeding_reads_no_block(spark, mosaic, tmp_path):
         assert [tuple(r) for r in made.call_args.args[0].collect()] == [(Z, X + 1, Y)]
     after = tiles.read(spark, root).collect()
     assert len(after) == 2 and {bytes(r.data) for r in first} < {bytes(r.data) for r in after}
+
+
+def test_tiles_beyond_the_pyramid_are_made_too(spark, mosaic, tmp_path):
+    """Rows north of the world have no neighbours, but who asks for one gets it."""
+    asked, root = spark.createDataFrame([(Z, X, Y), (Z, X, -1), (Z, X + 1, 2**Z + 3)], "z long, x long, y long"), str(tmp_path / "store")
+    source_queries.seed(asked, mosaic, root)
+    got = {(r.z, r.x, r.y): r for r in tiles.read(spark, root).collect()}
+    assert set(got) == {(Z, X, Y), (Z, X, -1), (Z, X + 1, 2**Z + 3)}
+    assert all(len(heights(r)[2]) == 19 * 19 for r in got.values())
